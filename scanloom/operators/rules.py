@@ -88,17 +88,21 @@ def _matches(line: Column, kind: Column, kinds: list[str]) -> Column:
     return F.filter(F.array(*tests), lambda m: m.isNotNull())
 
 
-def _screen(lowered: Column, kind: Column, kinds: list[str]) -> Column:
-    tests = []
-    for k in kinds:
-        hit = text.contains_any(lowered, KEY_WORDS[k])
-        tests.append(hit if k == SECRET else (kind == k) & hit)
-    return reduce(lambda a, b: a | b, tests)
+def _screen(col: Column, kind: Column, kinds: list[str]) -> Column:
+    """Does the text hold a key word of its rule sets? The lambda makes ``lower`` run once per text."""
+    def test(lowered):
+        tests = []
+        for k in kinds:
+            hit = text.contains_any(lowered, KEY_WORDS[k])
+            tests.append(hit if k == SECRET else (kind == k) & hit)
+        return reduce(lambda a, b: a | b, tests)
+
+    return F.exists(F.array(F.lower(col)), test)
 
 
 def match_lines(lines: DataFrame, kinds: list[str]) -> DataFrame:
     """Lines (with ``rule_set``) to one row per (line, rule) hit."""
-    screened = lines.where(_screen(F.lower("line"), F.col("rule_set"), kinds))
+    screened = lines.where(_screen(F.col("line"), F.col("rule_set"), kinds))
     return screened.withColumn("_hit", F.explode(_matches(F.col("line"), F.col("rule_set"), kinds))).select(
         *lines.columns, "_hit.scanner", "_hit.hit_set", "_hit.rule")
 
@@ -144,7 +148,7 @@ def scan_files(files: DataFrame, kinds: tuple[str, ...] = (DOCKER, CI, APP, SECR
     kinds = list(kinds)
     routed = files.withColumn("rule_set", rule_set(F.col("name"), F.col("relative_path")))
     keep = ["repository_name", "file_seq", "relative_path", "rule_set"]
-    screened = routed.where(_screen(F.lower("content"), F.col("rule_set"), kinds)).select(*keep, "content")
+    screened = routed.where(_screen(F.col("content"), F.col("rule_set"), kinds)).select(*keep, "content")
     hits = match_lines(explode_lines(screened, keep), kinds)
     out = _finding(hits)
     if DOCKER in kinds:

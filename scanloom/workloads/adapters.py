@@ -65,6 +65,11 @@ def read_texts(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """Keep computed columns from being inlined into every filter above them (one row in, one row out)."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -124,7 +129,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("doc_id")
     kind = pick(CODE_KINDS, d % 10)
     extension = pick(CODE_EXTENSIONS, d % 10)
-    place = pick(DIRECTORIES, F.floor(d / 10) % 6)
+    place = pick(DIRECTORIES, F.floor(d / 20) % 6)
     number = d.cast("string")
     name = F.when(kind == "docker", "Dockerfile").when(kind == "ci", F.concat(F.lit("w"), number, F.lit(".yml"))).otherwise(
         F.concat(F.lit("f"), number, extension))
@@ -135,8 +140,8 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
                      TEMPLATES, F.lit(None).cast("string"))
     # Some Python files do not parse.
     content = F.when((F.col("_k") == "py") & (d % 7 == 3), F.concat(content, F.lit("\ndef broken(:"))).otherwise(content)
-    out = docs.select(F.col("source").alias("repository_name"), d.alias("file_seq"), name.alias("name"), extension.alias("extension"),
-                      path.alias("relative_path"), content.alias("content"))
+    out = once(docs.select(F.col("source").alias("repository_name"), d.alias("file_seq"), name.alias("name"),
+                           extension.alias("extension"), path.alias("relative_path"), content.alias("content")))
     return out.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
@@ -160,9 +165,10 @@ def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
         return F.array_join(F.transform("_w", lambda w, j: _fill(F.get(options, _slot(w, j + 1) % len(templates)), j + 1, w)), "\n")
 
     content = reduce(lambda acc, n: F.when(F.col("name") == n, listing(MANIFEST_LINES[n])).otherwise(acc), MANIFEST_LINES, package)
-    return docs.select(F.col("source").alias("repository_name"), d.alias("file_seq"), "name", F.lit("").alias("extension"),
-                       F.concat(F.lit("m"), d.cast("string"), F.lit("/"), F.col("name")).alias("relative_path"), content.alias("content"),
-                       F.lit(0).cast("bigint").alias("size"))
+    return once(docs.select(
+        F.col("source").alias("repository_name"), d.alias("file_seq"), "name", F.lit("").alias("extension"),
+        F.concat(F.lit("m"), d.cast("string"), F.lit("/"), F.col("name")).alias("relative_path"), content.alias("content"),
+        F.lit(0).cast("bigint").alias("size")))
 
 
 def raw_findings(spark: SparkSession, folder: str, by_repository: bool = False) -> DataFrame:
@@ -175,7 +181,7 @@ def raw_findings(spark: SparkSession, folder: str, by_repository: bool = False)
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("finding_seq"),
         F.concat(F.lit("id-"), part.cast("string")).alias("finding_id"), pick(FINDING_TITLES, supplier % 3).alias("title"),
         F.concat(F.lit("d"), part.cast("string")).alias("description"), pick(SEVERITIES, supplier % 5).alias("severity"),
-        pick(CONFIDENCES, part % 3).alias("confidence"), pick(FINDING_PATHS, part % 2).alias("file_path"),
+        pick(CONFIDENCES, part % 3).alias("confidence"), pick(FINDING_PATHS, F.floor(part / 8) % 2).alias("file_path"),
         F.when(number % 3 != 0, number % 2 + 1).alias("line_number"),
         F.concat(F.lit("s"), supplier.cast("string")).alias("code_snippet"), text("e", "l_quantity % 7").alias("explanation"),
         text("f", "l_quantity % 5").alias("fix_suggestion"), pick(FINDING_CATEGORIES, part % 8).alias("category"),
@@ -238,7 +244,7 @@ def _sql_templated(templates: list[str], plain: str = "") -> str:
 def _sql_code() -> str:
     kind = sql_pick(CODE_KINDS, "doc_id % 10")
     cases = " ".join(f"WHEN k = '{k}' THEN {_sql_templated(t, '# ' if k == 'py' else '')}" for k, t in TEMPLATES.items())
-    place = sql_pick(DIRECTORIES, "(doc_id // 10) % 6")
+    place = sql_pick(DIRECTORIES, "(doc_id // 20) % 6")
     ext = sql_pick(CODE_EXTENSIONS, "doc_id % 10")
     return f"""code_docs AS (SELECT doc_id, source, {_SQL_WORDS} AS ws, {kind} AS k FROM documents),
 code_files AS (SELECT source AS repository_name, doc_id AS file_seq, {ext} AS extension,
@@ -271,7 +277,7 @@ def _sql_findings(name: str, scan: str) -> str:
   row_number() OVER (PARTITION BY {scan} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
   'id-' || l_partkey AS finding_id, {sql_pick(FINDING_TITLES, 'l_suppkey % 3')} AS title, 'd' || l_partkey AS description,
   {sql_pick(SEVERITIES, 'l_suppkey % 5')} AS severity, {sql_pick(CONFIDENCES, 'l_partkey % 3')} AS confidence,
-  {sql_pick(FINDING_PATHS, 'l_partkey % 2')} AS file_path,
+  {sql_pick(FINDING_PATHS, 'l_partkey // 8 % 2')} AS file_path,
   CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % 2 + 1 END AS line_number, 's' || l_suppkey AS code_snippet,
   'e' || repeat('x', (l_quantity::bigint % 7)::int) || l_partkey AS explanation,
   'f' || repeat('x', (l_quantity::bigint % 5)::int) || l_partkey AS fix_suggestion,

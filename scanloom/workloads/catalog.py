@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from scanloom.workloads import scan_queries  # noqa: F401  (registers)
+from scanloom.workloads import chunk_queries, finding_queries, inventory_queries, scan_queries  # noqa: F401  (import registers)
 from scanloom.workloads.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
