@@ -59,7 +59,7 @@ def pack_files(chunked: DataFrame, cap: int = fv.PACK_CHARS) -> DataFrame:
         "_starts", pack_starts(F.col("_sorted"), cap))
     groups = F.transform("_starts", lambda s, g: F.slice(
         "_sorted", s + 1, F.coalesce(F.get("_starts", g + 1), F.size("_sorted")) - s))
-    keep = [c for c in chunked.columns if c != "chunks"]
+    keep = ["repository_name", "file_seq", "relative_path"]
     packed = sorted_.select(*keep, F.posexplode(groups).alias("pack_seq", "_g"))
     return packed.withColumn("_m", merge_chunks(F.col("relative_path"), F.col("_g"))).select(
         *keep, "pack_seq", F.size("_g").alias("segments"), "_m.*")

@@ -72,9 +72,9 @@ _SLOT = "((i * 31 + length(w) * 17) % 101)"
 _PY = f"""py_docs AS (SELECT 'f' || doc_id AS stem, c.relative_path, c.content, ws FROM code_docs d JOIN code_files c ON c.file_seq = d.doc_id WHERE d.k = 'py' AND doc_id % 7 <> 3),
 py_words AS (SELECT relative_path, i, CASE WHEN {_SLOT} < 4 THEN {_SLOT} END AS slot FROM (
   SELECT relative_path, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM py_docs)),
-py_at AS (SELECT *, (1 + coalesce(sum(CASE WHEN slot IS NULL THEN 1 ELSE 3 END) OVER (PARTITION BY relative_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::int AS at FROM py_words),
+py_at AS (SELECT *, (1 + coalesce(sum(CASE WHEN slot IS NULL THEN 1 ELSE 3 END) OVER (PARTITION BY relative_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::int AS pos FROM py_words),
 defs AS (SELECT relative_path, CASE slot WHEN 1 THEN 'class' ELSE 'function' END AS chunk_type, (['f','C','g','h'])[slot + 1] || i AS name,
-  at + CASE WHEN slot > 1 THEN 1 ELSE 0 END AS start_line, at + 2 AS end_line FROM py_at WHERE slot IS NOT NULL)"""
+  pos + CASE WHEN slot > 1 THEN 1 ELSE 0 END AS start_line, pos + 2 AS end_line FROM py_at WHERE slot IS NOT NULL)"""
 
 
 @query("d4_python_definitions", _PY + " SELECT relative_path, chunk_type, name, start_line, end_line FROM defs", ("code_files",))
@@ -173,7 +173,7 @@ _CAP = 2500  # small enough to split these files often
 
 def pack_cte(cap: int) -> str:
     """Packs of the 100-line blocks of the review targets."""
-    return text_cte("corpus", _TARGETS) + f""",
+    return text_cte("code_files", _TARGETS) + f""",
 nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY start_line) AS n, length(content) AS len FROM blocks),
 walk AS (SELECT relative_path, n, len AS run, 1 AS pack FROM nb WHERE n = 1
   UNION ALL SELECT b.relative_path, b.n, CASE WHEN w.run + b.len > {cap} THEN b.len ELSE w.run + b.len END, CASE WHEN w.run + b.len > {cap} THEN w.pack + 1 ELSE w.pack END
@@ -188,19 +188,18 @@ packs AS (SELECT repository_name, file_seq, relative_path, pack - 1 AS pack_seq,
 
 
 def _packs(spark, folder, cap=_CAP):
-    files = packing.review_targets(ad.corpus(spark, folder)).where(~text.is_blank(F.col("content")))
+    files = packing.review_targets(ad.code_files(spark, folder)).where(~text.is_blank(F.col("content")))
     files = files.withColumn("lines", text.split_lines(F.col("content")))
     chunked = ch.as_chunks(files.withColumn("spans", ch.text_spans(F.col("lines")))).drop("content")
-    # one block per 10 lines would be too fine to read; the cap splits long prose
     return packing.pack_files(chunked, cap)
 
 
-@query("w6_greedy_packs", pack_cte(_CAP) + " SELECT relative_path, pack_seq, segments, start_line, end_line FROM packs", ("corpus",))
+@query("w6_greedy_packs", pack_cte(_CAP) + " SELECT relative_path, pack_seq, segments, start_line, end_line FROM packs", ("code_files",))
 def w6_greedy_packs(spark, folder):
     return _packs(spark, folder).select("relative_path", "pack_seq", "segments", "start_line", "end_line")
 
 
-@query("a12_merged_chunks", pack_cte(10**9) + " SELECT relative_path, chunk_id, chunk_type, name, start_line, end_line, md5(content) AS digest FROM packs", ("corpus",))
+@query("a12_merged_chunks", pack_cte(10**9) + " SELECT relative_path, chunk_id, chunk_type, name, start_line, end_line, md5(content) AS digest FROM packs", ("code_files",))
 def a12_merged_chunks(spark, folder):
     return _packs(spark, folder, 10**9).withColumn("digest", F.md5("content")).select(*_CHUNK)
 
@@ -230,7 +229,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY repository_name ORDER BY pr
 top AS (SELECT * FROM ranked WHERE chunk_rank <= 6)"""
 
 
-@query("o2_top_packs", _TOP + " SELECT repository_name, chunk_rank, chunk_id, priority FROM top", ("corpus",))
+@query("o2_top_packs", _TOP + " SELECT repository_name, chunk_rank, chunk_id, priority FROM top", ("code_files",))
 def o2_top_packs(spark, folder):
     return packing.top_packs(_packs(spark, folder)).select("repository_name", "chunk_rank", "chunk_id", "priority")
 
@@ -244,7 +243,7 @@ _PROMPT = """'File Path: ' || relative_path || chr(10) || 'Chunk Type: ' || chun
   || 'Code Content:' || chr(10) || '```' || chr(10) || content || chr(10) || '```'"""
 
 
-@query("f7_prompts", _TOP + f" SELECT repository_name, chunk_rank, md5({_PROMPT}) AS digest FROM top", ("corpus",))
+@query("f7_prompts", _TOP + f" SELECT repository_name, chunk_rank, md5({_PROMPT}) AS digest FROM top", ("code_files",))
 def f7_prompts(spark, folder):
     return review.with_prompt(packing.top_packs(_packs(spark, folder))).select(
         "repository_name", "chunk_rank", F.md5("prompt").alias("digest"))
@@ -297,9 +296,9 @@ _REL = "CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 2 THEN NULL ELSE l_suppkey END"
 _LINE = f"CASE WHEN {_REL} IS NULL THEN s WHEN {_REL} < s THEN s + {_REL} - 1 ELSE {_REL} END::int"
 _PARSED = f"""asked AS (SELECT *, l_linenumber * 10 AS s, l_suppkey % 10 AS kind FROM lineitem),
 parsed AS (SELECT l_orderkey::varchar AS scan_id, 'ai-xss-f' || l_partkey || '-' || {_LINE} AS finding_id, 'T' || l_partkey AS title, 'D' AS description, 'HIGH' AS severity,
-  'LOW' AS confidence, 'f' || l_partkey AS file_path, {_LINE} AS line_number, 'E' AS explanation, 'xss' AS category, 'CWE-79' AS cwe, NULL AS owasp FROM asked WHERE kind = 3 OR kind >= 5
+  'LOW' AS confidence, 'f' || l_partkey AS file_path, {_LINE} AS line_number, 'E' AS explanation, 'xss' AS category, 'CWE-79' AS cwe, NULL::varchar AS owasp FROM asked WHERE kind = 3 OR kind >= 5
 UNION ALL SELECT l_orderkey::varchar, 'ai-None-f' || l_partkey || '-' || {_LINE}, 'AI Vulnerability Finding', 'Vulnerability detected by LLM analysis.', 'MEDIUM', 'MEDIUM', 'f' || l_partkey, {_LINE}, '',
-  'insecure_config', NULL, 'A1' FROM asked WHERE kind = 3)"""
+  'insecure_config', NULL::varchar, 'A1' FROM asked WHERE kind = 3)"""
 
 
 @query("f5_parse_responses", _PARSED + " SELECT * FROM parsed")

@@ -1,5 +1,6 @@
 """Run registered queries next to their SQL and report differences: python tests/compare.py [names...]"""
 
+import logging
 import math
 import os
 import sys
@@ -62,6 +63,7 @@ def main():
     spark = build_session("compare", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                                         "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     con = connect(folder)
     names = [n for n in entry.queries() if not sys.argv[1:] or any(n == a or n.startswith(a + "_") for a in sys.argv[1:])]
     bad = 0
