@@ -21,11 +21,15 @@ from scanloom.session import cut_lineage
 _ENTRY = "repository_name string, root string, absolute_path string, is_dir boolean, size bigint, modified_time timestamp"
 
 
-def _filesystem(path: str):
-    """Any file system pyarrow can reach by address; plain paths are local or mounted."""
+def _filesystem(location: str):
+    """File system and path behind a location: an address pyarrow knows, or a local/mounted path."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if location.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + location[5:].lstrip("/")
+    if "://" in location:
+        return fs.FileSystem.from_uri(location.replace("s3a://", "s3://", 1))
+    return fs.LocalFileSystem(), location
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +42,7 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 infos = system.get_file_info(fs.FileSelector(path, recursive=False))
             except OSError:
                 continue
-            prefix = row.absolute_path[: len(row.absolute_path) - len(path)] if "://" in row.absolute_path else ""
+            prefix = row.absolute_path.removesuffix(path)
             found = [
                 (row.repository_name, row.root, prefix + i.path, i.type == fs.FileType.Directory, i.size,
                  (i.mtime or datetime.fromtimestamp(0, timezone.utc)))

@@ -74,6 +74,12 @@ def pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def wall_micros(column: str) -> Column:
+    """Microseconds of a zone-less time since 1970, whatever the session's zone."""
+    return F.expr(f"unix_date(cast({column} as date)) * 86400000000 + hour({column}) * 3600000000 + minute({column}) * 60000000"
+                  f" + cast(extract(SECOND FROM {column}) * 1000000 as bigint)")
+
+
 def quote(value: str) -> str:
     """SQL text literal; line ends are spelled with chr()."""
     parts = ["'" + p.replace("'", "''") + "'" for p in value.split("\n")]
@@ -211,7 +217,7 @@ def state_events(spark: SparkSession, folder: str) -> DataFrame:
         pick(EVENT_STATES, F.col("_i")).alias("stage"), F.col("event_type").alias("message"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
         F.when(F.col("_i") == 23, F.concat(F.lit("reports/"), e.cast("string"), F.lit(".json"))).alias("report_path"),
-        F.unix_micros("ts").alias("ts"))
+        wall_micros("ts").alias("ts"))
 
 
 def dependency_rows(spark: SparkSession, folder: str) -> DataFrame:

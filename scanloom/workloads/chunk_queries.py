@@ -257,7 +257,14 @@ def stub_scorer(prompt: str) -> str:
     return json.dumps({"findings": [{"title": f"T{n % 7}", "severity": ["high", "low"][n % 2], "line_number": n % 50, "category": "xss"}]})
 
 
-@query("d3_model_review")
+@query("d3_model_review", _TOP + f""",
+sized AS (SELECT repository_name AS scan_id, chunk_rank, relative_path, start_line AS s, length({_PROMPT}) AS n FROM top
+  WHERE length(regexp_replace(content, '^[{BLANK}]+|[{BLANK}]+$', '', 'g')) >= 40),
+limited AS (SELECT scan_id, min(chunk_rank) AS stop FROM sized WHERE n % 13 = 0 GROUP BY 1),
+answered AS (SELECT z.*, CASE WHEN n % 50 < s THEN s + n % 50 - 1 ELSE n % 50 END::int AS line_number FROM sized z LEFT JOIN limited l USING (scan_id)
+  WHERE stop IS NULL OR chunk_rank < stop)
+SELECT scan_id, 'ai-xss-' || relative_path || '-' || line_number AS finding_id, 'T' || (n % 7) AS title,
+  CASE n % 2 WHEN 0 THEN 'HIGH' ELSE 'LOW' END AS severity, line_number FROM answered""", ("code_files",))
 def d3_model_review(spark, folder):
     """Prompts of the best packs through a stand-in model, parsed to findings."""
     packs = review.reviewable(packing.top_packs(_packs(spark, folder)))
