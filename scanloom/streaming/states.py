@@ -33,7 +33,7 @@ def accepts(current: str, status: str | None) -> bool:
     return not (current in _ORDER and status in _ORDER and _ORDER[status] < _ORDER[current])
 
 
-def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
     """Fold one scan's new events into its state."""
     if state.hasTimedOut:
         state.remove()
@@ -49,7 +49,7 @@ def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupS
         sent_status, sent_progress = status, progress
         rows.append((key[0], event.seq, status, progress, event.stage, event.message, error, report_path, changed))
     state.update((status, progress, sent_status, sent_progress, error, report_path))
-    if status in fv.TERMINAL_STATES:
+    if expire and status in fv.TERMINAL_STATES:
         state.setTimeoutDuration(_TTL_MS)  # finished scans are forgotten after 72 hours
     if rows:
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in CHANGES.split(", ")])
@@ -59,16 +59,24 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
     return spark.readStream.schema(schemas.STATE_EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def accepted_stream(events: DataFrame) -> DataFrame:
-    """Accepted events with the state they lead to; ``changed`` marks the change feed."""
+def accepted_stream(events: DataFrame, expire: bool = True) -> DataFrame:
+    """Accepted events with the state they lead to; ``changed`` marks the change feed.
+
+    With ``expire`` the query wakes up for time-outs and so never ends by itself; a
+    bounded replay (``availableNow``) sets it to False.
+    """
     typed = events.select("seq", "scan_id", "status", "progress", "stage", "message", "error", "report_path")
-    return typed.groupBy("scan_id").applyInPandasWithState(
-        advance, CHANGES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+
+    def step(key, batches, state):
+        yield from advance(key, batches, state, expire)
+
+    return typed.groupBy("scan_id").applyInPandasWithState(step, CHANGES, STATE, "append", timeout)
 
 
-def change_stream(events: DataFrame) -> DataFrame:
+def change_stream(events: DataFrame, expire: bool = True) -> DataFrame:
     """Only what a listener would be sent: percent or status differs from the last one sent."""
-    return accepted_stream(events).where("changed").drop("changed")
+    return accepted_stream(events, expire).where("changed").drop("changed")
 
 
 def upsert_sink(path: str):

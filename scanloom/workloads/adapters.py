@@ -76,7 +76,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 def wall_micros(column: str) -> Column:
     """Microseconds of a zone-less time since 1970, whatever the session's zone."""
-    return F.expr(f"unix_date(cast({column} as date)) * 86400000000 + hour({column}) * 3600000000 + minute({column}) * 60000000"
+    return F.expr(f"unix_date(cast({column} as date)) * 86400000000L + hour({column}) * 3600000000L + minute({column}) * 60000000L"
                   f" + cast(extract(SECOND FROM {column}) * 1000000 as bigint)")
 
 

@@ -171,7 +171,7 @@ def _streamed(spark, folder, keep: str) -> DataFrame:
     source, sink = scratch(spark, "events"), scratch(spark, "changes")
     events = ad.state_events(spark, folder).select(*[F.col(c.split()[0]) for c in schemas.STATE_EVENTS.split(", ")])
     events.repartitionByRange(2, "seq").write.parquet(source)
-    rows = live.accepted_stream(live.read_events(spark, source)) if keep == "all" else live.change_stream(live.read_events(spark, source))
+    rows = live.accepted_stream(live.read_events(spark, source), expire=False) if keep == "all" else live.change_stream(live.read_events(spark, source), expire=False)
     started = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream")).trigger(
         availableNow=True).start()
     started.awaitTermination()
@@ -195,7 +195,7 @@ def k8_state_upsert(spark, folder):
     source, sink = scratch(spark, "events"), scratch(spark, "states")
     events = ad.state_events(spark, folder).select(*[F.col(c.split()[0]) for c in schemas.STATE_EVENTS.split(", ")])
     events.repartitionByRange(2, "seq").write.parquet(source)
-    started = live.accepted_stream(live.read_events(spark, source)).writeStream.foreachBatch(live.upsert_sink(sink)).option(
+    started = live.accepted_stream(live.read_events(spark, source), expire=False).writeStream.foreachBatch(live.upsert_sink(sink)).option(
         "checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     started.awaitTermination()
     return live.latest_states(spark, sink).select("scan_id", "status", "progress", "error", "report_path")
