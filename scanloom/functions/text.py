@@ -41,6 +41,14 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it.
+
+    Inside a lambda a plain column expression would be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode white space on both ends (``trim`` knows blanks only)."""
     return F.regexp_replace(col, rf"^[{BLANK}]+|[{BLANK}]+\z", "")

@@ -142,10 +142,12 @@ def config_spans(lines: Column, headers: Column) -> Column:
     A section keeps its header's name unless the header opens the file or follows a
     piece that was exactly full; then the piece is ``root`` or ``section-<line>``.
     """
-    n = F.size(lines)
     opens = F.filter(headers, lambda h: h["at"] > 1)
-    marks = F.concat(F.array(F.struct(F.lit(1).alias("at"), F.lit("root").alias("name"))), opens)
+    first = F.array(F.struct(F.lit(1).alias("at"), F.lit("root").alias("name")))
+    return text.let(F.concat(first, opens), lambda marks: text.let(F.size(lines), lambda n: _sections(marks, n)))
 
+
+def _sections(marks: Column, n: Column) -> Column:
     def section(mark, j):
         start = mark["at"]
         end = F.coalesce(F.get(marks, j + 1)["at"] - 1, n)
@@ -164,8 +166,11 @@ def config_spans(lines: Column, headers: Column) -> Column:
 
 def module_spans(lines: Column, definitions: Column) -> Column:
     """Lines outside every definition, per gap and cut every 100 lines."""
-    n = F.size(lines)
     taken = F.array_sort(F.transform(definitions, lambda d: F.struct(d["start_line"].alias("a"), d["end_line"].alias("b"))))
+    return text.let(taken, lambda spans: text.let(F.size(lines), lambda n: _gaps(spans, n)))
+
+
+def _gaps(taken: Column, n: Column) -> Column:
     gaps = F.transform(
         F.sequence(F.lit(0), F.size(taken)),
         lambda i: F.struct(
@@ -200,13 +205,12 @@ def with_spans(files: DataFrame) -> DataFrame:
 
 def as_chunks(spanned: DataFrame, spans: str = "spans", path: str = "relative_path") -> DataFrame:
     """Turn line spans into a ``chunks`` array with text and ids; blank chunks are dropped."""
-    lines = F.col("lines")
-    chunks = F.transform(F.col(spans), lambda s: F.struct(
+    chunks = text.let(F.col("lines"), lambda lines: F.transform(F.col(spans), lambda s: F.struct(
         F.concat_ws("#", F.col(path), s["label"]).alias("chunk_id"),
         s["chunk_type"].alias("chunk_type"), s["name"].alias("name"),
         F.array_join(F.slice(lines, s["start_line"], s["end_line"] - s["start_line"] + 1), "\n").alias("content"),
         s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
-    ))
+    )))
     built = spanned.withColumn("_built", chunks)
     return built.withColumn("chunks", F.filter("_built", lambda c: ~text.is_blank(c["content"]))).drop("_built", "lines", spans)
 

@@ -55,12 +55,12 @@ def sort_chunks(chunks: Column) -> Column:
 
 def pack_files(chunked: DataFrame, cap: int = fv.PACK_CHARS) -> DataFrame:
     """``chunks`` arrays to one row per pack. Narrow: a file's chunks sit in its own row."""
-    sorted_ = chunked.withColumn("_sorted", sort_chunks(F.col("chunks"))).withColumn(
-        "_starts", pack_starts(F.col("_sorted"), cap))
-    groups = F.transform("_starts", lambda s, g: F.slice(
-        "_sorted", s + 1, F.coalesce(F.get("_starts", g + 1), F.size("_sorted")) - s))
+    def groups(chunks):
+        return text.let(pack_starts(chunks, cap), lambda starts: F.transform(starts, lambda s, g: F.slice(
+            chunks, s + 1, F.coalesce(F.get(starts, g + 1), F.size(chunks)) - s)))
+
     keep = ["repository_name", "file_seq", "relative_path"]
-    packed = sorted_.select(*keep, F.posexplode(groups).alias("pack_seq", "_g"))
+    packed = chunked.select(*keep, F.posexplode(text.let(sort_chunks(F.col("chunks")), groups)).alias("pack_seq", "_g"))
     return packed.withColumn("_m", merge_chunks(F.col("relative_path"), F.col("_g"))).select(
         *keep, "pack_seq", F.size("_g").alias("segments"), "_m.*")
 
