@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode word and blank classes, spelled out because Java's \w, \s and \b are ASCII.
 WORD = r"\p{L}\p{N}_"
@@ -49,6 +49,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_array(df: DataFrame, keep: list, array: Column, value: str, position: str = "_at") -> DataFrame:
+    """One row per array element, with its 0-based position.
+
+    A plain ``explode`` makes the optimizer add "array is not empty" below it and so
+    evaluates a computed array several times; the outer form does not.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode white space on both ends (``trim`` knows blanks only)."""
     return F.regexp_replace(col, rf"^[{BLANK}]+|[{BLANK}]+\z", "")

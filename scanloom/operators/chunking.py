@@ -221,7 +221,7 @@ def chunk_arrays(files: DataFrame) -> DataFrame:
 
 
 def explode_chunks(chunked: DataFrame, keep: list[str]) -> DataFrame:
-    return chunked.select(*keep, F.posexplode("chunks").alias("chunk_seq", "_c")).select(*keep, "chunk_seq", "_c.*")
+    return text.explode_array(chunked, keep, F.col("chunks"), "_c", "chunk_seq").select(*keep, "chunk_seq", "_c.*")
 
 
 def chunk_totals(chunked: DataFrame) -> DataFrame:

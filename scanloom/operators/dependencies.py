@@ -27,7 +27,7 @@ def match_vulnerabilities(dependencies: DataFrame) -> DataFrame:
         for i, (_, pattern, versions, *_) in enumerate(fv.VULNERABLE_PACKAGES)
     ]
     hits = F.filter(F.array(*tests), lambda h: h.isNotNull())
-    return rows.withColumn("rule", F.explode(hits))
+    return text.explode_array(rows, rows.columns, hits, "rule").drop("_at")
 
 
 def first_files(files: DataFrame) -> DataFrame:

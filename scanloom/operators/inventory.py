@@ -42,7 +42,7 @@ def config_labels(name: Column) -> Column:
 
 def config_files(files: DataFrame) -> DataFrame:
     """(repository, file, label) rows."""
-    return files.select(REPO, "relative_path", F.explode(config_labels(F.col("name"))).alias("label")).select(
+    return text.explode_array(files, [REPO, "relative_path"], config_labels(F.col("name")), "label").select(
         REPO, "relative_path", "label", F.format_string("%s (%s)", "label", "relative_path").alias("config"))
 
 
@@ -96,7 +96,7 @@ def package_json(files: DataFrame) -> DataFrame:
         return F.coalesce(found, F.array().cast("array<struct<at:struct<member:int,at:int>,name:string,version:string>>"))
 
     entries = F.concat(member(0, "dependencies"), member(1, "devDependencies"))
-    rows = parsed.select(*_KEYS, F.explode(entries).alias("_e")).groupBy(*_KEYS, F.col("_e.name").alias("package")).agg(
+    rows = text.explode_array(parsed, _KEYS, entries, "_e").groupBy(*_KEYS, F.col("_e.name").alias("package")).agg(
         F.max_by("_e.version", "_e.at").alias("version"))
     return rows.select(
         *_KEYS, F.concat_ws("==", "package", "version").alias("dependency"),
@@ -135,7 +135,7 @@ def pyproject_toml(files: DataFrame) -> DataFrame:
             (F.coalesce(F.get("_heads", j + 1)["at"], F.size("_lines")) - h["at"] - 1).alias("length"))),
         lambda s: s["wanted"])
     lines = F.flatten(F.transform(sections, lambda s: F.slice("_lines", s["at"] + 2, s["length"])))
-    rows = found.select(*_KEYS, F.explode(lines).alias("line")).where(
+    rows = text.explode_array(found, _KEYS, lines, "line").where(
         F.contains("line", F.lit("=")) & ~F.col("line").startswith("#"))
     parts = F.split("line", "=", -1)
     name = _unquote(parts[0])
@@ -158,7 +158,7 @@ def go_mod(files: DataFrame) -> DataFrame:
 
 def pom_xml(files: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all("content", F.lit(r"<dependency>([\s\S]*?)</dependency>"), 1)
-    rows = manifests(files, "pom.xml").select(*_KEYS, F.explode(blocks).alias("block"))
+    rows = text.explode_array(manifests(files, "pom.xml"), _KEYS, blocks, "block")
     tag = lambda t: text.strip(F.regexp_extract("block", f"<{t}>([^<]+)</{t}>", 1))
     group, artifact = tag("groupId"), tag("artifactId")
     version = F.when(F.col("block").rlike("<version>[^<]+</version>"), tag("version")).otherwise("latest")

@@ -14,5 +14,5 @@ def explode_lines(files: DataFrame, keep: list[str] | None = None,
     Only ``keep`` columns travel with the lines, so the content is not repeated.
     """
     keep = keep or [c for c in files.columns if c != "content"]
-    return files.select(*keep, F.posexplode(text.split_lines(F.col("content"), breaks)).alias("_pos", "line")).select(
+    return text.explode_array(files, keep, text.split_lines(F.col("content"), breaks), "line", "_pos").select(
         *keep, (F.col("_pos") + 1).alias("line_number"), "line")

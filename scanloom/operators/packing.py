@@ -60,7 +60,7 @@ def pack_files(chunked: DataFrame, cap: int = fv.PACK_CHARS) -> DataFrame:
             chunks, s + 1, F.coalesce(F.get(starts, g + 1), F.size(chunks)) - s)))
 
     keep = ["repository_name", "file_seq", "relative_path"]
-    packed = chunked.select(*keep, F.posexplode(text.let(sort_chunks(F.col("chunks")), groups)).alias("pack_seq", "_g"))
+    packed = text.explode_array(chunked, keep, text.let(sort_chunks(F.col("chunks")), groups), "_g", "pack_seq")
     return packed.withColumn("_m", merge_chunks(F.col("relative_path"), F.col("_g"))).select(
         *keep, "pack_seq", F.size("_g").alias("segments"), "_m.*")
 

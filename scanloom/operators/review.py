@@ -99,7 +99,8 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     text field, or a list/object as line number, voids the whole response. Malformed
     JSON yields nothing.
     """
-    doc = responses.withColumn("_items", F.expr("try_variant_get(try_parse_json(response), '$.findings', 'array<variant>')"))
+    parsed = F.expr("try_variant_get(try_parse_json(response), '$.findings', 'array<variant>')")
+    doc = responses.select("*", F.explode(F.array(parsed)).alias("_items"))  # parsed once: nothing is inlined past this
     item = "_item"
     kind = lambda f: f"schema_of_variant(variant_get(x, '$.{f}'))"
     present = lambda f: f"variant_get(x, '$.{f}') is not null"
@@ -109,20 +110,24 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     bad_list = f"({present('references')} and {kind('references')} not in ('VOID', 'ARRAY<STRING>', 'ARRAY<VOID>'))"
     bad_item = "schema_of_variant(x) not like 'OBJECT%'"
     valid = doc.where(F.expr(f"not exists(_items, x -> {bad_item} or {bad_text} or {bad_optional} or {bad_line} or {bad_list})"))
-    rows = valid.select(
-        F.col("repository_name").alias("scan_id"), "chunk_rank", "file_path", "start_line",
-        F.posexplode("_items").alias("item", item))
+    keep = [F.col("repository_name").alias("scan_id"), "chunk_rank", "file_path", "start_line"]
+    rows = text.explode_array(valid, keep, F.col("_items"), item, "item")
 
     def field(name):
         return F.expr(f"try_variant_get({item}, '$.{name}', 'string')")
 
     number = F.expr(f"schema_of_variant(variant_get({item}, '$.line_number'))")
-    raw = field("line_number")
-    # JSON numbers are cut to whole, text must already be whole.
-    relative = F.when(number == "STRING", F.when(text.strip(raw).rlike(r"^[+-]?[0-9]+$"), text.strip(raw))).when(
-        number == "BOOLEAN", raw.try_cast("boolean").cast("int").cast("string")).otherwise(
-        raw.try_cast("double").cast("bigint").cast("string"))
-    line = rebase_line(relative, F.col("start_line"))
+
+    def whole(kind, raw):
+        """JSON numbers are cut to whole, text must already be whole."""
+        bare = text.strip(raw)
+        return F.when(kind == "STRING", F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare)).when(
+            kind == "BOOLEAN", raw.try_cast("boolean").cast("int").cast("string")).otherwise(
+            raw.try_cast("double").cast("bigint").cast("string"))
+
+    relative = text.let(F.struct(number.alias("kind"), field("line_number").alias("raw")), lambda v: whole(v["kind"], v["raw"]))
+    rows = rows.select("*", F.explode(F.array(text.let(relative, lambda r: rebase_line(r, F.col("start_line"))))).alias("_line"))
+    line = F.col("_line")
     given = {f: F.coalesce(field(f), F.lit(default)) for f, default in fv.REVIEW_DEFAULTS.items()}
     return rows.select(
         "scan_id",

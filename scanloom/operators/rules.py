@@ -103,7 +103,7 @@ def _screen(col: Column, kind: Column, kinds: list[str]) -> Column:
 def match_lines(lines: DataFrame, kinds: list[str]) -> DataFrame:
     """Lines (with ``rule_set``) to one row per (line, rule) hit."""
     screened = lines.where(_screen(F.col("line"), F.col("rule_set"), kinds))
-    return screened.withColumn("_hit", F.explode(_matches(F.col("line"), F.col("rule_set"), kinds))).select(
+    return text.explode_array(screened, lines.columns, _matches(F.col("line"), F.col("rule_set"), kinds), "_hit").select(
         *lines.columns, "_hit.scanner", "_hit.hit_set", "_hit.rule")
 
 

@@ -59,15 +59,19 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def read_texts(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A text table whose rows cost much work each: a table in fewer pieces than there are cores is spread."""
+def read_spread(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table whose rows cost much work each; one that comes in fewer pieces than there are cores is spread first."""
     df, cores = read(spark, folder, table), spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """Keep computed columns from being inlined into every filter above them (one row in, one row out)."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+def once(df: DataFrame, column: str) -> DataFrame:
+    """Keep a computed column from being inlined into every expression above it (one row in, one row out).
+
+    Filters on the other columns still pass below it.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode(F.array(column)).alias(column))
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -100,7 +104,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("doc_id")
     extension = pick(CORPUS_EXTENSIONS, d % 8)
     name = F.concat(F.lit("f"), d.cast("string"), extension)
-    return read_texts(spark, folder, "documents").select(
+    return read_spread(spark, folder, "documents").select(
         F.col("source").alias("repository_name"), d.alias("file_seq"), name.alias("name"), extension.alias("extension"),
         F.concat(pick(DIRECTORIES, F.floor(d / 8) % 6), name).alias("relative_path"),
         F.octet_length("text").cast("bigint").alias("size"), F.col("text").alias("content"))
@@ -141,13 +145,13 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("f"), number, extension))
     path = F.when(kind == "docker", F.concat(place, F.lit("d"), number, F.lit("/Dockerfile"))).when(
         kind == "ci", F.concat(F.lit(".github/workflows/"), name)).otherwise(F.concat(place, name))
-    docs = read_texts(spark, folder, "documents").withColumn("_w", _words(F.col("text"))).withColumn("_k", kind)
+    docs = read_spread(spark, folder, "documents").withColumn("_w", _words(F.col("text"))).withColumn("_k", kind)
     content = reduce(lambda acc, k: F.when(F.col("_k") == k, _templated(F.col("_w"), TEMPLATES[k], "# " if k == "py" else "")).otherwise(acc),
                      TEMPLATES, F.lit(None).cast("string"))
     # Some Python files do not parse.
     content = F.when((F.col("_k") == "py") & (d % 7 == 3), F.concat(content, F.lit("\ndef broken(:"))).otherwise(content)
     out = once(docs.select(F.col("source").alias("repository_name"), d.alias("file_seq"), name.alias("name"),
-                           extension.alias("extension"), path.alias("relative_path"), content.alias("content")))
+                           extension.alias("extension"), path.alias("relative_path"), content.alias("content")), "content")
     return out.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
@@ -155,7 +159,7 @@ def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as dependency manifests of five ecosystems."""
     d = F.col("doc_id")
     name = pick(MANIFESTS, d % 5)
-    docs = read_texts(spark, folder, "documents").withColumn("_w", _words(F.col("text"))).withColumn("name", name)
+    docs = read_spread(spark, folder, "documents").withColumn("_w", _words(F.col("text"))).withColumn("name", name)
 
     def npm(keep):
         at = F.transform("_w", lambda w, j: F.struct(w.alias("w"), (j + 1).alias("i")))
@@ -174,7 +178,7 @@ def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
     return once(docs.select(
         F.col("source").alias("repository_name"), d.alias("file_seq"), "name", F.lit("").alias("extension"),
         F.concat(F.lit("m"), d.cast("string"), F.lit("/"), F.col("name")).alias("relative_path"), content.alias("content"),
-        F.lit(0).cast("bigint").alias("size")))
+        F.lit(0).cast("bigint").alias("size")), "content")
 
 
 def raw_findings(spark: SparkSession, folder: str, by_repository: bool = False) -> DataFrame:
@@ -182,7 +186,7 @@ def raw_findings(spark: SparkSession, folder: str, by_repository: bool = False)
     part, supplier, number = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     scan = F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")) if by_repository else F.col("l_orderkey").cast("string")
     text = lambda prefix, times: F.concat(F.lit(prefix), F.expr(f"repeat('x', cast({times} as int))"), part.cast("string"))
-    return read(spark, folder, "lineitem").select(
+    return read_spread(spark, folder, "lineitem").select(
         scan.alias("scan_id"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("finding_seq"),
         F.concat(F.lit("id-"), part.cast("string")).alias("finding_id"), pick(FINDING_TITLES, supplier % 3).alias("title"),

@@ -294,7 +294,7 @@ def _responses(spark, folder):
         kind == 1, F.concat(F.lit('{"findings":['), wrong, F.lit("]}"))).when(kind == 2, F.concat(F.lit('{"findings":['), full)).when(
         kind == 3, F.concat(F.lit('{"findings":['), lean, F.lit(","), full, F.lit("]}"))).when(kind == 4, F.lit('{"other":1}')).otherwise(
         F.concat(F.lit('{"findings":['), full, F.lit("]}")))
-    return ad.read(spark, folder, "lineitem").select(
+    return ad.read_spread(spark, folder, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("repository_name"), n.alias("chunk_rank"), F.concat(F.lit("c"), p.cast("string")).alias("chunk_id"),
         F.concat(F.lit("f"), p.cast("string")).alias("file_path"), (n * 10).alias("start_line"), doc.alias("response"), F.lit(None).cast("string").alias("note"))
 
