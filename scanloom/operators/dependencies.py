@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
+from scanloom.operators.ordered import spread_join
+from scanloom.session import cut_lineage
 
 
 def split_dependency(dependency: Column) -> tuple[Column, Column, Column]:
@@ -44,8 +46,7 @@ def dependency_findings(dependencies: DataFrame, files: DataFrame) -> DataFrame:
     table = hits.sparkSession.createDataFrame(
         [(i, p, t, s, c, e, f) for i, (p, _, _, t, s, c, e, f) in enumerate(fv.VULNERABLE_PACKAGES)],
         "rule int, vulnerable string, title string, severity string, confidence string, explanation string, fix_suggestion string")
-    from scanloom.operators.ordered import spread_join
-
+    hits = cut_lineage(hits)
     located = spread_join(hits, first_files(files), ["repository_name", "declaring_file"], ["dependency"], "left")
     rows = located.join(F.broadcast(table), "rule")
     return rows.select(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
+from scanloom.operators.ordered import POS, spread_in_order
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:
@@ -37,27 +39,28 @@ def _rank(col: Column, table: dict[str, int]) -> Column:
 
 def _weights() -> dict[str, Column]:
     return {
-        "explanation": F.length("explanation"),
-        "fix_suggestion": F.length("fix_suggestion"),
+        "explanation": F.coalesce(F.length("explanation"), F.lit(0)),
+        "fix_suggestion": F.coalesce(F.length("fix_suggestion"), F.lit(0)),
         "severity": _rank(F.col("severity"), fv.SEVERITY_RANK),
         "confidence": _rank(F.col("confidence"), fv.CONFIDENCE_RANK),
     }
 
 
-def _best_of(df: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
-    """Heaviest value per field; among equal weights the earliest row's.
+_STEP = 10 ** 19  # larger than any position
+_HEAVIEST = 2 ** 31
 
-    A best is (-weight, seq, value), so its minimum is the answer and partial bests
-    combine with the same minimum.
+
+def _place(weight: Column) -> Column:
+    """Number that is smallest for the heaviest row and, among equals, for the earliest one.
+
+    A number (not a struct) keeps the aggregations hash-based.
     """
-    return df.groupBy(*keys).agg(*[F.min(f"_b_{f}").alias(f"_b_{f}") for f in _BEST], *extra)
+    inverse = (F.lit(_HEAVIEST).cast("decimal(10,0)") - weight.cast("decimal(10,0)")).cast("decimal(12,0)")
+    return (inverse * F.lit(Decimal(_STEP)) + F.col(POS).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
-def _with_bests(findings: DataFrame) -> DataFrame:
-    out = findings
-    for f, weight in _weights().items():
-        out = out.withColumn(f"_b_{f}", F.struct((-weight).alias("w"), F.col("finding_seq").alias("seq"), F.col(f).alias("v")))
-    return out
+def _best_of(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.min(f"_b_{f}").alias(f"_b_{f}") for f in _BEST], *extra)
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:
@@ -67,40 +70,39 @@ def deduplicate(findings: DataFrame) -> DataFrame:
     severity and confidence of its copies. A repeated row without a line merges into
     the first surviving row of the same file and title, whatever line that has.
 
-    Needs ``(scan_id, finding_seq)`` unique. Everything is map-side combined
-    aggregation plus joins on keys that are unique on both sides, so a key with very
-    many copies is reduced before it is shuffled.
+    Rows are stamped with their place in the order of ``finding_seq`` once. The rest is
+    map-side combined hash aggregation over narrow rows and joins on keys that are
+    unique on both sides, so a key with very many copies is reduced before any shuffle.
     """
     columns = findings.columns
-    lined, unlined = F.col("line_number").isNotNull(), F.col("line_number").isNull()
-    rows = _with_bests(findings.select(
-        "scan_id", "finding_seq", "file_path", "title", "category", "line_number", *_BEST))
+    rows = spread_in_order(findings, ["scan_id"], ["finding_seq"])
+    slim = rows.select("scan_id", "file_path", "title", "category", "line_number", POS,
+                       *[_place(w).alias(f"_b_{f}") for f, w in _weights().items()])
     bests = [f"_b_{f}" for f in _BEST]
-
-    # Lined keys: the group's first row is the target of the whole group.
-    lined_groups = _best_of(rows.where(lined), ["scan_id", "file_path", "line_number", "category"], [
-        F.min(F.struct("finding_seq", "title")).alias("_first")])
-    lined_first = lined_groups.select("scan_id", "file_path", F.col("_first.title").alias("title"),
-                                      F.col("_first.finding_seq").alias("target"), *bests)
-
-    # Keys without a line: the first row survives, the rest look for the earliest survivor.
-    null_rows = rows.where(unlined)
-    null_first = null_rows.groupBy("scan_id", "file_path", "title").agg(F.min("finding_seq").alias("target"))
-    marks = null_first.select("scan_id", F.col("target").alias("finding_seq"))
-    repeats = _best_of(null_rows.join(marks, ["scan_id", "finding_seq"], "left_anti"),
-                       ["scan_id", "file_path", "title"], [])
-    own = _best_of(null_rows.join(marks, ["scan_id", "finding_seq"], "left_semi"), ["scan_id", "finding_seq"], []) \
-        .select("scan_id", F.col("finding_seq").alias("target"), *bests)
-    survivors = lined_first.select("scan_id", "file_path", "title", "target").unionByName(null_first)
-    earliest = survivors.groupBy("scan_id", "file_path", "title").agg(F.min("target").alias("target"))
-    moved = repeats.join(earliest, ["scan_id", "file_path", "title"]).select("scan_id", "target", *bests)
-
-    merged = _best_of(
-        lined_first.select("scan_id", "target", *bests).unionByName(own).unionByName(moved), ["scan_id", "target"], [])
-    merged = merged.select("scan_id", F.col("target").alias("finding_seq"),
-                           *[F.col(f"_b_{f}.v").alias(f"_m_{f}") for f in _BEST])
-    out = findings.join(merged, ["scan_id", "finding_seq"])
-    return out.select(*[F.col(f"_m_{c}").alias(c) if c in _BEST else F.col(c) for c in columns])
+    lined, unlined = slim.where(F.col("line_number").isNotNull()), slim.where(F.col("line_number").isNull())
+    place = ["scan_id", "file_path", "title"]
+
+    # The first row of a key survives.
+    lined_keys = _best_of(lined, ["scan_id", "file_path", "line_number", "category"], F.min(POS).alias("target"))
+    null_firsts = unlined.groupBy(*place).agg(F.min(POS).alias(POS))
+    firsts = lined_keys.select(F.col("target").alias(POS)).unionByName(null_firsts.select(POS))
+
+    # Later rows without a line look for the earliest survivor of their file and title.
+    earliest = slim.join(firsts, POS, "left_semi").groupBy(*place).agg(F.min(POS).alias("target"))
+    repeats = _best_of(unlined.join(null_firsts.select(POS), POS, "left_anti"), place)
+    moved = repeats.join(earliest, place).select("target", *bests)
+    own = unlined.join(null_firsts.select(POS), POS, "left_semi").select(F.col(POS).alias("target"), *bests)
+
+    merged = _best_of(lined_keys.select("target", *bests).unionByName(own).unionByName(moved), ["target"])
+    # Only fields whose best row is another one have to be fetched.
+    source = lambda f: (F.col(f"_b_{f}") % F.lit(Decimal(_STEP))).cast("bigint")
+    wanted = merged.select("target", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), source(f).alias(POS)) for f in _BEST])).alias("_w")).select("target", "_w.*").where(
+        F.col("target") != F.col(POS))
+    fetched = wanted.join(rows.select(POS, *_BEST), POS).groupBy(F.col("target").alias(POS)).agg(
+        *[F.max(F.when(F.col("field") == f, F.col(f))).alias(f"_m_{f}") for f in _BEST])
+    out = rows.join(merged.select(F.col("target").alias(POS)), POS, "left_semi").join(fetched, POS, "left")
+    return out.select(*[F.coalesce(f"_m_{c}", c).alias(c) if c in _BEST else F.col(c) for c in columns])
 
 
 # ------------------------------------------------------------------ test data

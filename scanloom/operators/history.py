@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.operators.ordered import drop_stamps, previous, spread_in_order, spread_join
+from scanloom.session import cut_lineage
 
 
 def with_previous(scans: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def scan_diff(keys: DataFrame, links: DataFrame) -> DataFrame:
     """Keys that appear or vanish between a scan and its previous one.
 
     ``links(scan_id, previous_id)``. Each side holds a key once, so neither difference
-    meets a repeated key; the copies are in ``n``.
+    meets a repeated key; the copies are in ``n``. ``keys`` is read several times: pass a
+    stored table.
     """
     pairs = links.where(F.col("previous_id").isNotNull())
     current = spread_join(keys, pairs.select("scan_id"), ["scan_id"], ["file_path", "title"])
@@ -49,11 +51,11 @@ def history_entries(scans: DataFrame, findings: DataFrame, reported: DataFrame |
     first scan of a repository counts all its findings as new; a previous scan whose
     report is not in ``reported(scan_id)`` leaves both counts at 0.
     """
-    linked = with_previous(scans)
+    linked = cut_lineage(with_previous(scans))
     links = linked.select("scan_id", F.col("previous.scan_id").alias("previous_id"))
     if reported is not None:
         links = links.join(reported.select(F.col("scan_id").alias("previous_id")), "previous_id", "left_semi")
-    keys = finding_keys(findings)
+    keys = cut_lineage(finding_keys(findings))
     counts = keys.groupBy("scan_id").agg(F.sum("n").alias("findings_count"))
     diff = scan_diff(keys, links).groupBy("scan_id").agg(
         F.sum(F.when(F.col("change") == "fixed", F.col("n_serious")).otherwise(0)).alias("critical_fixed"),

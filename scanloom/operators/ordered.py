@@ -101,13 +101,23 @@ def drop_stamps(df: DataFrame) -> DataFrame:
     return df.drop(PART, POS)
 
 
+HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 10_000
+
+
 def spread_join(large: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner",
-                buckets: int = 16) -> DataFrame:
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a large side with hot keys to a side that has one row per key.
 
-    ``by`` names columns of the large side that differ inside a hot key. They choose
-    the bucket; the small side is repeated once per bucket.
+    Keys with more than ``hot_rows`` rows (or a ten-thousandth of all rows, if that is
+    more) are split into buckets by the ``by`` columns, and only their small-side rows
+    are repeated. That threshold leaves at most ``MOST_HOT_KEYS`` hot keys, so their
+    table may be broadcast. ``large`` is read twice: pass a stored table.
     """
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    counts = large.groupBy(*on).agg(F.count("*").alias("_n"))
+    limit = counts.agg(F.greatest(F.lit(hot_rows), F.sum("_n") / MOST_HOT_KEYS).alias("limit")).scalar()
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_b")))
+    buckets = F.coalesce("_b", F.lit(1))
+    salted = large.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), buckets).cast("int")).drop("_b")
+    repeated = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1))).drop("_b")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -33,8 +33,7 @@ def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | N
           scorer: Callable[[str], str] | None = None) -> Audit:
     """Run all scanners over ``files`` (a stored table: it is read once per branch).
 
-    Raw findings and correlated findings are cut from their lineage because the merge
-    and the score read them several times.
+    The correlated findings are cut from their lineage because everything after reads them.
     """
     entries = inventory.manifest_entries(files)
     declared = inventory.dependencies(entries)
@@ -45,8 +44,7 @@ def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | N
         responses = cut_lineage(review.call_scorer(review_packs(files), scorer))
         parts.append(review.parse_responses(responses))
         notes = review.skip_notes(responses)
-    found = cut_lineage(fnd.union_findings(*parts))
-    correlated = cut_lineage(fnd.correlate(found, files))
+    correlated = cut_lineage(fnd.correlate(fnd.union_findings(*parts), files))
     scans = files.select(F.col("repository_name").alias("scan_id")).distinct()
     scores = scoring.score_scans(correlated, scans)
     if notes is not None:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom.functions import text
+from scanloom.operators.ordered import spread_join
+from scanloom.session import cut_lineage
 from scanloom.sources.trees import _filesystem, file_order, not_ignored, small_enough, with_content
 
 _MEMBER = "repository_name string, absolute_path string, member string, size bigint, modified_time timestamp"
@@ -58,8 +60,6 @@ def unwrapped(members: DataFrame) -> DataFrame:
         F.min(top).alias("lowest"), F.max(top).alias("highest"), F.bool_and(F.contains(bare, F.lit("/"))).alias("foldered"))
     single = roots.where(F.col("foldered") & (F.col("lowest") == F.col("highest"))).select(
         "repository_name", F.col("lowest").alias("root"))
-    from scanloom.operators.ordered import spread_join
-
     joined = spread_join(members.where(~F.col("member").endswith("/")), single, ["repository_name"], ["member"], "left")
     path = F.when(F.col("root").isNull(), bare).otherwise(F.substring(bare, F.length("root") + 2, F.length(bare)))
     return joined.withColumn("relative_path", path).drop("root")
@@ -67,9 +67,7 @@ def unwrapped(members: DataFrame) -> DataFrame:
 
 def load_archives(archives: DataFrame) -> DataFrame:
     """``files`` of uploaded archives. An archive with an escaping member is refused as a whole."""
-    from scanloom.operators.ordered import spread_join
-
-    members = list_archives(archives)
+    members = cut_lineage(list_archives(archives))
     bad = refused_archives(members).withColumn("_bad", F.lit(True))
     safe = spread_join(members, bad, ["repository_name"], ["member"], "left").where(F.col("_bad").isNull()).drop("_bad")
     wanted = unwrapped(safe).where(not_ignored(F.col("relative_path")) & small_enough(F.col("size")))

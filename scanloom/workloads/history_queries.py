@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom import fixed_values as fv, schemas
 from scanloom.functions import text
+from scanloom.session import cut_lineage, shared_folder
 from scanloom.operators import history as hist, progress
 from scanloom.sinks import reports as rep
 from scanloom.sources import records, trees
@@ -17,11 +18,8 @@ from scanloom.workloads.registry import WORD, query
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared checkpoint folder."""
-    import tempfile
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='scanloom-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------ history
@@ -50,7 +48,7 @@ diff AS (SELECT *, 'fixed' AS change FROM prev p ANTI JOIN cur c ON c.scan_id =
 @query("j6_scan_diff", _DIFF + " SELECT scan_id, file_path, title, change, n, n_serious FROM diff", ("scans", "raw_findings"))
 def j6_scan_diff(spark, folder):
     links = hist.with_previous(ad.scans(spark, folder)).select("scan_id", F.col("previous.scan_id").alias("previous_id"))
-    return hist.scan_diff(hist.finding_keys(ad.raw_findings(spark, folder)), links)
+    return hist.scan_diff(cut_lineage(hist.finding_keys(ad.raw_findings(spark, folder))), links)
 
 
 @query("u3_key_difference", _DIFF + " SELECT change, count(*) AS keys, sum(n)::bigint AS findings FROM diff GROUP BY 1", ("scans", "raw_findings"))

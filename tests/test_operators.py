@@ -39,6 +39,14 @@ def test_ordered_scans_equal_plain_windows(spark):
     assert spread.where("k = 0").select("_part").distinct().count() > 2  # the hot key is split
 
 
+def test_spread_join_splits_hot_keys(spark):
+    large = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(900)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("none", 4)], "k string, v int")
+    for how in ("inner", "left"):
+        got = ordered.spread_join(large, small, ["k"], ["i"], how, hot_rows=50).select("k", "i", "v")
+        assert sorted(map(str, got.collect())) == sorted(map(str, large.join(small, "k", how).select("k", "i", "v").collect()))
+
+
 # ------------------------------------------------------------------ chunking
 def test_config_sections(spark):
     assert [c[1] for c in _chunks(spark, "a.toml", "[x]\na=1\n[[y]]\n[z]\nb: c\nk:\nj: {\n")] == ["root", "z", "k", "j"]
