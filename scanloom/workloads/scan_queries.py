@@ -92,7 +92,7 @@ def _flat(df: DataFrame) -> DataFrame:
 repos AS (SELECT DISTINCT repository_name AS scan_id FROM code_files), """ + scores_sql("hits", "repos"), ("code_files",))
 def repository_scores(spark, folder):
     files = ad.code_files(spark, folder)
-    scans = files.select(F.col("repository_name").alias("scan_id")).distinct()
+    scans = ad.read(spark, folder, "documents").select(F.col("source").alias("scan_id")).distinct()
     return scoring.score_scans(rules.scan_files(files), scans)
 
 
