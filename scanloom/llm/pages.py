@@ -42,7 +42,7 @@ HINTS = frozenset(
     "breadcrumbs pagination pager share sharing social related recommended recommendations footer header masthead topbar toolbar login signup search widget "
     "contentinfo complementary".split())
 _TOKEN = re.compile(
-    r'''<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']*+(?:"[^"]*+"|'[^']*+'))*+[^>"']*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|[^<]++|<''', re.DOTALL)
+    r'''<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']*+(?:"[^"]*+"|'[^']*+'))*+[^>"']*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|<[/!?A-Za-z][^>]*+\Z|[^<]++|<''', re.DOTALL)
 _NAMED = re.compile(r'''(?:^|\s)(class|id|role|itemprop|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?''', re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -76,7 +76,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
             continue
         if not name:
             text = m[0]
-            if text.startswith(("<!", "<?")):
+            if text[0] == "<" and text[1:2].strip():
                 continue
             text = html.unescape(text)
             n = len(text.split())

@@ -162,7 +162,7 @@ def links(distinct: DataFrame, budget: int = 3, split_at: int = SPLIT_AT) -> Dat
     while True:
         turned = texts.written(turned)
         node = ["block", "head", "path"]
-        sizes = turned.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_at).select(*node)
+        sizes = turned.where(F.col("used") + STEP <= 64).groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(split_at, 2)).select(*node)
         hot = turned.join(sizes, node, "left_semi")
         if hot.isEmpty():
             found = _joined(turned, budget)
