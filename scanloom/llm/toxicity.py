@@ -30,6 +30,8 @@ LEXICON = 50_000
 LEAST_TEXTS, LEAST_ODDS = 6, 2.5
 #: A training text with more evidence tokens is left out of the chain's fit (not of the counts).
 MOST_EVIDENCE = 300
+#: Training texts of each kind that the chain itself is fitted on.
+MOST_FIT = 1_000
 PREFIX_BYTES, PREFIX_FROM = 4, 6
 TAGGED = 0.5
 
@@ -81,84 +83,89 @@ class Chain:
     def transitions(self) -> np.ndarray:
         return np.exp(np.array([[0.0, self.weights[3]], [self.weights[4], self.weights[5]]]))
 
-    def gaps(self, transposed: bool = False):
-        """A function that carries state rows over g neutral tokens; returns the log of the factor taken out."""
+    def neutral(self) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Powers of a neutral token's matrix as factor**g * (first + ratio**g * second): first, second, log factor, ratio."""
         m = self.transitions() * np.exp(np.array([0.0, self.weights[0]]))[None, :]
-        m = m.T if transposed else m
         values, vectors = np.linalg.eig(m)
         order = np.argsort(-np.abs(values.real))
         values, vectors = values.real[order], vectors.real[:, order]
-        inverse, first, ratio = np.linalg.inv(vectors), values[0], values[1] / values[0]
-
-        def over(rows: np.ndarray, g: np.ndarray):
-            part = rows @ vectors
-            part[:, 1] *= np.power(ratio, g.astype(float))
-            return part @ inverse, g * np.log(first)
-        return over
-
-
-def _normal(rows: np.ndarray):
-    size = rows.sum(axis=1)
-    return rows / size[:, None], np.log(size)
-
-
-def forward(chain: Chain, emission: np.ndarray, gap: np.ndarray, count: np.ndarray, keep: bool = False):
-    """log Z (all-clean path: 0) of padded sequences, and if wanted the state rows at each evidence token.
-
-    emission: (texts, tokens); gap: neutral tokens before each evidence token, and at ``count`` those after the last.
-    """
-    n, most = emission.shape
-    over, move = chain.gaps(), chain.transitions()
-    rows, log_z, kept = np.tile([1.0, 0.0], (n, 1)), np.zeros(n), []
-    for t in range(most + 1):
-        live = count >= t
-        moved, log = over(rows, np.where(live, gap[:, t], 0))
-        rows, more = _normal(np.where(live[:, None], np.maximum(moved, 0), rows))
-        log_z += np.where(live, log, 0) + more
-        if t == most:
-            break
-        here = count > t
-        step = rows @ move
-        step[:, 1] *= np.exp(emission[:, t])
-        rows, more = _normal(np.where(here[:, None], step, rows))
-        log_z += more
-        if keep:
-            kept.append(rows)
-    return log_z, kept
-
-
-def marginals(chain: Chain, emission: np.ndarray, gap: np.ndarray, count: np.ndarray):
-    """log Z and the toxic marginal of every evidence token (forward-backward)."""
-    log_z, ahead = forward(chain, emission, gap, count, keep=True)
-    n, most = emission.shape
-    over, move = chain.gaps(transposed=True), chain.transitions()
-    rows, out = np.ones((n, 2)), np.zeros((n, most))
-    for t in range(most, 0, -1):
-        here = count >= t  # rows: weight of everything behind token t
-        moved, _ = over(rows, np.where(here, gap[:, t], 0))
-        rows = _normal(np.where(here[:, None], np.maximum(moved, 1e-300), rows))[0]
-        both = ahead[t - 1] * rows
-        out[:, t - 1] = np.where(here, both[:, 1] / both.sum(axis=1), 0)
-        back = rows * np.stack([np.ones(n), np.exp(emission[:, t - 1])], axis=1)
-        rows = _normal(np.where(here[:, None], back @ move.T, rows))[0]
-    return log_z, out
-
-
-def padded(owner: np.ndarray, place: np.ndarray, n_tokens: np.ndarray, word: np.ndarray, prefix: np.ndarray):
-    """Evidence tokens of each text side by side; ``place``: token numbers in their texts, ascending."""
+        first = np.outer(vectors[:, 0], np.linalg.inv(vectors)[0])
+        return first, np.eye(2) - first, float(np.log(values[0])), float(values[1] / values[0])
+
+
+@dataclass
+class Sequences:
+    """Evidence tokens of many texts in one row: text, place among the text's evidence tokens, neutral tokens before
+    each; and for each text its evidence tokens and the neutral tokens behind the last of them."""
+
+    owner: np.ndarray
+    column: np.ndarray
+    gap: np.ndarray
+    count: np.ndarray
+    tail: np.ndarray
+
+
+def sequences(owner: np.ndarray, place: np.ndarray, n_tokens: np.ndarray) -> Sequences:
+    """``owner`` ascending; ``place``: token numbers in their texts, ascending within a text."""
     n = len(n_tokens)
     count = np.bincount(owner, minlength=n)
-    most = int(count.max(initial=0))
     column = np.arange(len(owner)) - np.concatenate([[0], np.cumsum(count)])[owner]
-    w, p, gap = np.zeros((n, most)), np.zeros((n, most)), np.zeros((n, most + 1))
-    w[owner, column], p[owner, column] = word, prefix
-    before = np.concatenate([[-1], place[:-1]])
+    before = np.concatenate([[-1], place[:-1]])[:len(place)]
     before[column == 0] = -1
-    gap[owner, column] = place - before - 1
     last = np.full(n, -1)
     last[owner] = place
-    gap[np.arange(n), count] = n_tokens - last - 1
-    return w, p, gap, count, column
+    return Sequences(owner, column, place - before - 1, count, n_tokens - last - 1)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2x2 matrices stored as four rows."""
+    return np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
+
+
+def _products(m: np.ndarray, log: np.ndarray, place: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Running products within each text by doubling; ``back``: of each matrix with all behind it, else with all before it."""
+    m, log, step = m.copy(), log.copy(), 1
+    while step <= place.max(initial=0):
+        at = np.flatnonzero(place >= step)
+        other = at + step if back else at - step
+        new = _times(m[:, at], m[:, other]) if back else _times(m[:, other], m[:, at])
+        size = new.max(axis=0)
+        more = log[at] + log[other] + np.log(size)
+        m[:, at], log[at] = new / size, more
+        step *= 2
+    return m, log
+
+
+def forward(chain: Chain, emission: np.ndarray, seq: Sequences, keep: bool = False):
+    """log Z of each text (all-clean path: 0), and if wanted what ``marginals`` goes on from."""
+    first, second, factor, ratio = chain.neutral()
+    move, power = chain.transitions(), lambda g: np.power(ratio, g.astype(float))
+    r, e = power(seq.gap), np.exp(emission)
+    step = np.maximum(np.stack([first.ravel()[k] + r * second.ravel()[k] for k in range(4)]), 0)
+    one = np.ones(len(e))
+    m, log = _times(step, np.stack([move[0, 0] * one, move[0, 1] * e, move[1, 0] * one, move[1, 1] * e])), seq.gap * factor
+    ahead, scale = _products(m, log, seq.column, False)
+    t = power(seq.tail)
+    rest = np.maximum(np.stack([(first[k].sum() + t * second[k].sum()) for k in range(2)]), 0)  # what follows the last token
+    state, known = np.zeros((2, len(seq.count))), np.zeros(len(seq.count))
+    state[0] = 1
+    ends = np.flatnonzero(seq.column == seq.count[seq.owner] - 1)
+    state[:, seq.owner[ends]], known[seq.owner[ends]] = ahead[:2, ends], scale[ends]
+    log_z = np.log((state * rest).sum(axis=0)) + known + seq.tail * factor
+    return (log_z, m, log, ahead, rest) if keep else log_z
+
+
+def marginals(chain: Chain, emission: np.ndarray, seq: Sequences) -> tuple[np.ndarray, np.ndarray]:
+    """log Z of each text and the toxic marginal of every evidence token (forward-backward)."""
+    log_z, m, log, ahead, rest = forward(chain, emission, seq, keep=True)
+    behind, _ = _products(m, log, seq.count[seq.owner] - 1 - seq.column, True)
+    tail = rest[:, seq.owner]
+    after = tail.copy()  # weight of everything behind each token, by the token's state
+    inner = np.flatnonzero(seq.column < seq.count[seq.owner] - 1)
+    b, v = behind[:, inner + 1], tail[:, inner]
+    after[:, inner] = np.stack([b[0] * v[0] + b[1] * v[1], b[2] * v[0] + b[3] * v[1]])
+    both = ahead[:2] * after
+    return log_z, both[1] / np.maximum(both.sum(axis=0), 1e-300)
 
 
 # ------------------------------------------------------------------ training
@@ -235,27 +242,31 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     toxic, n_tokens = np.array([r["toxic"] for r in rows]), np.array([r["n"] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r["places"]) for r in rows])
     join = lambda k: np.array([x for r in rows for x in r[k]])
-    w, p, gap, count, _ = padded(owner, join("places").astype(np.int64), n_tokens, join("w"), join("p"))
-    chain = fit(w, p, gap, count, toxic)
-    log_z, _ = forward(chain, chain.emission(w, p), gap, count)
+    w, p, seq = join("w"), join("p"), sequences(owner, join("places").astype(np.int64), n_tokens)
+    # the chain is fitted on every so many of the rows, the calibration on all
+    pick = np.zeros(len(rows), bool)
+    for kind in (0, 1):
+        own = np.flatnonzero(toxic == kind)
+        pick[own[::max(1, -(-len(own) // MOST_FIT))]] = True
+    inside, back = pick[owner], np.cumsum(pick) - 1
+    few = sequences(back[owner[inside]], join("places").astype(np.int64)[inside], n_tokens[pick])
+    chain = fit(w[inside], p[inside], few, toxic[pick])
+    log_z = forward(chain, chain.emission(w, p), seq)
     return Model(word, prefix, chain, logistic(raw_logit(log_z), toxic))
 
 
-def fit(w: np.ndarray, p: np.ndarray, gap: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> Chain:
+def fit(w: np.ndarray, p: np.ndarray, seq: Sequences, toxic: np.ndarray) -> Chain:
     """Maximum likelihood with a small ridge, by descent along a quasi-Newton direction."""
-    tagged = toxic == 1
-    total = max(1, int((count * tagged).sum()))
-    own = tagged[:, None] & (np.arange(w.shape[1])[None, :] < count[:, None])
-    joined = own & (gap[:, :-1] == 0)
-    joined[:, :1] = False
-    sums = np.array([own.sum(), w[own].sum(), p[own].sum(), own.sum() - joined.sum(), 0.0, joined.sum()])
-    after = np.concatenate([joined[:, 1:], np.zeros((len(w), 1), bool)], axis=1)
-    ends_text = own & (np.arange(w.shape[1])[None, :] == count[:, None] - 1) & (gap[np.arange(len(w)), count] == 0)[:, None]
-    sums[4] = (own & ~after & ~ends_text).sum()
+    own = toxic[seq.owner] == 1
+    total = max(1, int(own.sum()))
+    joined = own & (seq.gap == 0) & (seq.column > 0)
+    after = np.append(joined[1:], False)
+    ends_text = own & (seq.column == seq.count[seq.owner] - 1) & (seq.tail[seq.owner] == 0)
+    sums = np.array([own.sum(), w[own].sum(), p[own].sum(), own.sum() - joined.sum(), (own & ~after & ~ends_text).sum(), joined.sum()], float)
 
     def loss(weights: np.ndarray) -> float:
         chain = Chain(weights)
-        log_z, _ = forward(chain, chain.emission(w, p), gap, count)
+        log_z = forward(chain, chain.emission(w, p), seq)
         return float((log_z.sum() - weights @ sums) / total + 1e-3 * (weights @ weights))
 
     x = np.array([-3.0, 1.0, 0.5, -3.0, 0.0, 0.0])
@@ -266,11 +277,11 @@ def fit(w: np.ndarray, p: np.ndarray, gap: np.ndarray, count: np.ndarray, toxic:
         return np.array([(loss(x + d) - loss(x - d)) / (2 * h) for d in h * np.eye(len(x))])
 
     g = slope(x)
-    for _ in range(40):
+    for _ in range(25):
         step, rate = -near @ g, 1.0
-        while rate > 1e-6 and not loss(x + rate * step) < value + 1e-4 * rate * (g @ step):
-            rate /= 2
-        if rate <= 1e-6:
+        while rate > 1e-4 and not loss(x + rate * step) < value + 1e-4 * rate * (g @ step):
+            rate /= 4
+        if rate <= 1e-4:
             break
         s = rate * step
         x, new = x + s, slope(x + s)
@@ -279,7 +290,7 @@ def fit(w: np.ndarray, p: np.ndarray, gap: np.ndarray, count: np.ndarray, toxic:
             left = np.eye(len(x)) - np.outer(s, y) / sy
             near = left @ near @ left.T + np.outer(s, s) / sy
         g, gain, value = new, value - now, now
-        if gain < 1e-7:
+        if gain < 1e-5:
             break
     return Chain(x)
 
@@ -328,24 +339,14 @@ def score(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
             n_tokens = np.bincount(owner, minlength=n)
             first = np.concatenate([[0], np.cumsum(n_tokens)])
             found: list[list[dict]] = [[] for _ in range(n)]
-            log_z = np.zeros(n)
-            # texts with about equally many evidence tokens are done together, so padding stays small
-            many = np.bincount(owner[at], minlength=n)
-            grade = np.where(many > 0, np.ceil(np.log2(many + 1)), 0).astype(int)
-            for level in np.unique(grade):
-                pick = np.flatnonzero(grade == level)
-                back = np.full(n, -1)
-                back[pick] = np.arange(len(pick))
-                own = at[back[owner[at]] >= 0]
-                w, p, gap, count, column = padded(back[owner[own]], own - first[owner[own]], n_tokens[pick], vw[own], vp[own])
-                z, toxic = marginals(m.chain, m.chain.emission(w, p), gap, count)
-                log_z[pick] = z
-                chance = toxic[back[owner[own]], column]
-                for k in np.flatnonzero(chance >= TAGGED):
-                    i, d = own[k], owner[own[k]]
-                    base = int(starts[d])
-                    before = int((data[base:a[i]] & 0xC0 != 0x80).sum())
-                    found[d].append({"start": before, "end": before + int((data[a[i]:b[i]] & 0xC0 != 0x80).sum()), "probability": float(chance[k])})
+            log_z, chance = marginals(m.chain, m.chain.emission(vw[at], vp[at]), sequences(owner[at], at - first[owner[at]], n_tokens))
+            hits = np.flatnonzero(chance >= TAGGED)
+            letters = np.cumsum((data & 0xC0) != 0x80) if len(hits) else None  # code points up to each byte
+            for k in hits:
+                i, d = at[k], owner[at[k]]
+                base = int(letters[starts[d]]) - 1
+                begin = int(letters[a[i]]) - 1 - base
+                found[d].append({"start": begin, "end": begin + int(letters[b[i] - 1] - letters[a[i]]) + 1, "probability": float(chance[k])})
             x = m.scale[0] + m.scale[1] * raw_logit(log_z)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-x))), pa.array(found, pa.list_(span)), *more], names)
 

@@ -92,13 +92,16 @@ def brute_chain(chain, emission, gap, count):
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(2)
     chain = toxicity.Chain(np.array([-1.2, 0.9, 0.4, -0.7, 0.3, 0.5]))
-    count = np.array([3, 0, 1, 2])
-    gap = np.array([[2, 0, 1, 3], [7, 0, 0, 0], [0, 4, 0, 0], [1, 2, 0, 0]], float)
-    emission = rng.standard_normal((4, 3))
-    z, inside = toxicity.marginals(chain, emission, gap, count)
+    places = [[2, 3, 5], [], [0], [1, 4]]
+    n_tokens = np.array([9, 7, 5, 5])
+    owner = np.repeat(np.arange(4), [len(x) for x in places])
+    seq = toxicity.sequences(owner, np.array([x for y in places for x in y]), n_tokens)
+    emission = rng.standard_normal(len(owner))
+    z, inside = toxicity.marginals(chain, emission, seq)
     for k in range(4):
-        want_z, want = brute_chain(chain, emission[k], gap[k], int(count[k]))
-        assert z[k] == pytest.approx(want_z) and inside[k, :count[k]] == pytest.approx(want)
+        own = owner == k
+        want_z, want = brute_chain(chain, emission[own], np.append(seq.gap[own], seq.tail[k]), int(own.sum()))
+        assert z[k] == pytest.approx(want_z) and inside[own] == pytest.approx(want)
 
 
 def corpus(rng, n, bad=("vile", "rotten", "nastyfool")):
@@ -124,7 +127,7 @@ def test_toxicity_held_out(spark, table):
     assert len(wrong) <= 6
     assert got[600].score < 0.5 and got[600].score == got[601].score and got[602].score >= 0.5
     spans = [(s.start, s.end) for s in got[602].spans]
-    assert spans == [(2, 6), (9 + 60_000, 15 + 60_000)]
+    assert spans == [(2, 6), (8 + 60_000, 14 + 60_000)]
     # labels of the held-out fifth, language, source and ids change nothing
     other = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {r.doc_id: r.score for r in toxicity.score(docs.withColumn("lang", F.lit("z")), other).collect()}
