@@ -9,7 +9,7 @@ identified by two overlapping ranks, and its copies are ordered by (doc_id, text
 A run counts if it has at least ``least_words`` words. Every line that some copy of a run covers, other than
 the first copy, is deleted; it is enough to look at the shortest runs with that many words that start or
 end at each line, because every line of a longer repeated run lies in one of those. Runs may overlap their
-own copies (the same long line ten times in a row: the first one stays).
+own copies: of one line many times in a row the first line stays.
 
 Null and empty texts have one empty line and lose nothing. Rows with equal doc_id and text count as one
 document. A null doc_id comes last in the order.
@@ -73,7 +73,7 @@ def numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
     """
     spark = distinct.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.written(texts.written(distinct).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    rows = texts.written(distinct.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
     part = F.shiftright("place", 33)
     shares = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, base = 0, []

@@ -153,7 +153,7 @@ def test_line_runs_against_all_runs(table):
             assert list(r.removed) == want[r.doc_id]
             assert r.kept_text == "\n".join(x for i, x in enumerate(own) if i not in set(want[r.doc_id])) and r.n_lines == len(own)
         else:
-            assert r.kept_text == "only here\n" * 4 and list(r.removed) == list(range(4, 4000))
+            assert r.kept_text == "only here\n" and list(r.removed) == list(range(1, 4000))  # later copies overlap the first
 
 
 def test_line_runs_rows(table):
