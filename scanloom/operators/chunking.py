@@ -34,7 +34,7 @@ def python_definitions(content: str) -> list[tuple] | None:
     """Outermost def/class spans, shallow ones first; ``None`` when the text does not parse."""
     try:
         level = [ast.parse(content)]
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError, RecursionError):
         return None
     lines = content.splitlines()
     found = []

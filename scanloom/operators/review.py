@@ -79,13 +79,14 @@ def join_responses(packs: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def rebase_line(relative: Column, start_line: Column) -> Column:
-    """Model line (text) to file line: numbers below the chunk start count from it."""
+    """Model line (text) to file line: numbers below the chunk start count from it, unusable ones become the start."""
     whole = relative.try_cast("bigint")
-    return (
+    line = (
         F.when(whole.isNull(), start_line)
         .when(whole < start_line, start_line + whole - 1)
         .otherwise(whole)
-    ).cast("int")
+    )
+    return F.coalesce(line.try_cast("int"), start_line.cast("int"))
 
 
 _TEXT_FIELDS = list(fv.REVIEW_DEFAULTS)
@@ -123,7 +124,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         bare = text.strip(raw)
         return F.when(kind == "STRING", F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare)).when(
             kind == "BOOLEAN", raw.try_cast("boolean").cast("int").cast("string")).otherwise(
-            raw.try_cast("double").cast("bigint").cast("string"))
+            raw.try_cast("double").try_cast("bigint").cast("string"))
 
     relative = text.let(F.struct(number.alias("kind"), field("line_number").alias("raw")), lambda v: whole(v["kind"], v["raw"]))
     rows = rows.select("*", F.explode(F.array(text.let(relative, lambda r: rebase_line(r, F.col("start_line"))))).alias("_line"))

@@ -25,9 +25,11 @@ def _open(location: str):
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
-            with _open(row.path) as archive:
-                found = [(row.repository_name, row.path, m.filename, m.file_size, pd.Timestamp(*m.date_time))
-                         for m in archive.infolist()]
+            try:
+                with _open(row.path) as archive:
+                    found = [(row.repository_name, row.path, m.filename, m.file_size, _modified(m)) for m in archive.infolist() if not m.flag_bits & 1]
+            except zipfile.BadZipFile:  # reported by ``refused_archives``
+                continue
             yield pd.DataFrame(found, columns=["repository_name", "absolute_path", "member", "size", "modified_time"])
 
 
@@ -41,6 +43,30 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield part
 
 
+def _modified(member: zipfile.ZipInfo) -> pd.Timestamp:
+    try:
+        return pd.Timestamp(*member.date_time)
+    except ValueError:  # some writers leave the date empty
+        return pd.Timestamp(1980, 1, 1)
+
+
+def _refused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            try:
+                with _open(row.path) as archive:
+                    found = [(row.repository_name, row.path, m.filename, "encrypted member") for m in archive.infolist() if m.flag_bits & 1]
+            except zipfile.BadZipFile as error:
+                found = [(row.repository_name, row.path, None, f"not a ZIP archive: {error}")]
+            if found:
+                yield pd.DataFrame(found, columns=["repository_name", "absolute_path", "member", "reason"])
+
+
+def refused_archives(archives: DataFrame) -> DataFrame:
+    """repository_name, absolute_path, member, reason: archives and members that can't be read and are left out."""
+    return archives.select("repository_name", "path").mapInPandas(_refused, "repository_name string, absolute_path string, member string, reason string")
+
+
 def list_archives(archives: DataFrame) -> DataFrame:
     """Members of ``archives(repository_name, path)``: only the directories of the ZIP files are read."""
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,10 @@ from scanloom.operators.progress import recover_states
 def _json(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     try:
         return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:  # nothing stored yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing stored yet
         return spark.createDataFrame([], schema)
 
 

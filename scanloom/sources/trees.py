@@ -8,6 +8,7 @@ skips ``.env``, ``.github`` and ``__init__.py``.)
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -40,31 +41,32 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             system, path = _filesystem(row.absolute_path)
             try:
                 infos = system.get_file_info(fs.FileSelector(path, recursive=False))
-            except OSError:
+            except (PermissionError, FileNotFoundError):  # any other failure must not look like an empty folder
                 continue
+            local = system.type_name == "local"
             prefix = row.absolute_path.removesuffix(path)
             found = [
                 (row.repository_name, row.root, prefix + i.path, i.type == fs.FileType.Directory, i.size,
                  (i.mtime or datetime.fromtimestamp(0, timezone.utc)))
-                for i in infos if i.type in (fs.FileType.Directory, fs.FileType.File)
+                for i in infos if i.type in (fs.FileType.Directory, fs.FileType.File) and not (local and os.path.islink(i.path))
             ]
             columns = ["repository_name", "root", "absolute_path", "is_dir", "size", "modified_time"]
             if found:
                 yield pd.DataFrame(found, columns=columns)
 
 
-def list_trees(repositories: DataFrame, parts: int | None = None, max_depth: int = 256) -> DataFrame:
+def list_trees(repositories: DataFrame, parts: int | None = None) -> DataFrame:
     """All files below ``repositories(repository_name, path)``, unfiltered.
 
     Each level is listed by its own job and spread evenly, so one repository with most
-    of the folders keeps every executor busy.
+    of the folders keeps every executor busy. Links are skipped, so every tree ends.
     """
     spark = repositories.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = F.regexp_replace("path", r"(?<=.)/+\z", "")
     level = repositories.select("repository_name", root.alias("root"), root.alias("absolute_path"))
     files = None
-    for _ in range(max_depth):
+    while True:
         entries = cut_lineage(level.repartition(n).mapInPandas(_list_folders, _ENTRY))
         found = entries.where(~F.col("is_dir"))
         files = found if files is None else files.unionByName(found)
@@ -110,7 +112,7 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 try:
                     with system.open_input_stream(path) as stream:
                         data.append(stream.read())
-                except OSError:
+                except (PermissionError, FileNotFoundError):  # unreadable or gone; other failures are raised
                     data.append(None)
             part["data"] = data
             yield part[part["data"].notna()]

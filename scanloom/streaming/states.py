@@ -43,7 +43,7 @@ def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupS
     for event in pd.concat(list(batches)).sort_values("seq").itertuples():
         if not accepts(status, event.status):
             continue
-        status, progress = event.status, int(event.progress)
+        status, progress = event.status, progress if pd.isna(event.progress) else int(event.progress)
         error, report_path = event.error or error, event.report_path or report_path
         changed = (status, progress) != (sent_status, sent_progress)
         sent_status, sent_progress = status, progress
