@@ -9,7 +9,7 @@ with the hits by hash, and each (stretch, item) pair that meets is aligned with
 
 Null and empty texts and items match nothing; an item with fewer than ``n`` words is sought as a whole.
 Repeated rows give one result per (doc_id, item_id), the best. Hits of a text without an id are kept under a
-null doc_id.
+null doc_id. Texts and items made of a handful of very common words can align by chance; the score tells how far.
 """
 
 from __future__ import annotations

@@ -187,7 +187,7 @@ def test_alignment():
 
 def test_contamination(spark, table):
     rng = random.Random(6)
-    word = lambda: rng.choice(["the", "of", "and", "".join(rng.choice("abcdefghij") for _ in range(5))])
+    word = lambda: rng.choice(["the", "of", *("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(6))])
     prose = lambda n: [word() for _ in range(n)]
     items = [prose(rng.randint(12, 60)) for _ in range(8)]
     texts, want = [], set()
@@ -202,7 +202,7 @@ def test_contamination(spark, table):
             own = own + copy + prose(20)
             want.add((d, k))
         texts.append(" ".join(own).upper() if d % 3 else ", ".join(own))
-    texts += ["", None, " ".join(items[0]) * 400]
+    texts += ["", None, (" ".join(items[0]) + " ") * 400]
     want.add((82, 0))
     bench = spark.createDataFrame([(i, " ".join(x), "q") for i, x in enumerate(items)] + [(8, "", "q"), (9, None, "q"), (None, "x y z u v", "q")], "item_id long, text string, words string")
     got = decontaminate.contaminated(table(texts), bench).collect()
