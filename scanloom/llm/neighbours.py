@@ -26,8 +26,9 @@ from scanloom.llm import texts
 #: Vectors that the partition and the network are fitted on, by smallest hash of their id.
 SAMPLE = 10_000
 TOP = 20
-#: Vectors wanted in a part, and most parts that a sample of this size can tell apart.
-PART_SIZE, MOST_PARTS = 1_500, 256
+#: Sample vectors wanted in a part. The number of parts (a power of two) follows from the sample, not from the table:
+#: a query then visits the same number of parts, and brings back as many partial results, at every size of the table.
+PART_SAMPLE = 250
 #: Share of true neighbours that kept-out sample queries must reach with the chosen number of parts.
 AIM = 0.95
 BLOCK_ITEMS, BLOCK_QUERIES = 20_000, 2_000
@@ -124,10 +125,10 @@ def fit_router(x: np.ndarray, target: np.ndarray) -> Router:
     return Router(w)
 
 
-def fit(sample: np.ndarray, total: int, top: int = TOP, aim: float = AIM) -> tuple[Router, int]:
+def fit(sample: np.ndarray, top: int = TOP, aim: float = AIM, part_sample: int = PART_SAMPLE) -> tuple[Router, int]:
     """The router, and how many parts a query visits."""
     parts = 1
-    while parts * 2 <= min(MOST_PARTS, max(1, total // PART_SIZE), max(1, len(sample) // 20)):
+    while parts * 2 <= len(sample) // part_sample:
         parts *= 2
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     graph = nearest(unit, unit, GRAPH_LINKS, True)
@@ -164,7 +165,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def search(vectors: DataFrame, query: F.Column | None = None, top: int = TOP, sample: int = SAMPLE, aim: float = AIM) -> DataFrame:
+def search(vectors: DataFrame, query: F.Column | None = None, top: int = TOP, sample: int = SAMPLE, aim: float = AIM,
+           part_sample: int = PART_SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that ``query`` (default: vec_id divisible by 20) selects."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -177,8 +179,7 @@ def search(vectors: DataFrame, query: F.Column | None = None, top: int = TOP, sa
     order = Window.partitionBy("v").orderBy("vec_id")
     ids = good.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1)
     ids = texts.written(ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    total = ids.count()
-    router, visits = fit(x, total, top, aim)
+    router, visits = fit(x, top, aim, part_sample)
     shared = spark.sparkContext.broadcast(router.weights)
 
     def routed(batches, most: int, names: list[str]):
@@ -194,7 +195,7 @@ def search(vectors: DataFrame, query: F.Column | None = None, top: int = TOP, sa
     wanted = good.where(F.col("vec_id") % 20 == 0 if query is None else query).select("vec_id", "v").distinct()
     asked = texts.written(wanted.mapInArrow(lambda b: routed(b, visits, ["vec_id", "v"]), "vec_id long, v array<double>, parts array<int>").select(
         F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part")))
-    # blocks of a part: one row a part comes to the driver, at most MOST_PARTS rows
+    # blocks of a part: one row a part comes to the driver, at most sample / part_sample rows
     size = {r["part"]: r["n"] for r in items.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     load = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = lambda n, most: max(1, -(-n // most))

@@ -45,14 +45,13 @@ def test_neighbours_small_and_odd(spark):
 
 
 def test_neighbour_recall_with_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART_SIZE", 100)
     monkeypatch.setattr(neighbours, "BLOCK_ITEMS", 90)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 7)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((30, 16)) * 2
     x = (centres[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 16)) * 0.6).astype(np.float32).astype(float)
     ids = np.arange(3000)
-    got = neighbours.search(frame(spark, ids, x), sample=1500).collect()
+    got = neighbours.search(frame(spark, ids, x), sample=1500, part_sample=90).collect()
     want = exact(ids, x, 20)
     found = {}
     for r in got:
