@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scanloom import fixed_values as fv
 from scanloom.functions import text
 from scanloom.operators.ordered import POS, spread_in_order
+from scanloom.session import cut_lineage
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def cross_file_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 def correlate(findings: DataFrame, files: DataFrame) -> DataFrame:
     """De-duplicate, downgrade test secrets, then add the derived findings (never merged again)."""
-    reduced = downgrade_test_secrets(deduplicate(findings))
+    reduced = cut_lineage(downgrade_test_secrets(deduplicate(findings)))  # read three times below
     return union_findings(reduced, cross_file_findings(reduced, files))
 
 

@@ -10,9 +10,13 @@ from scanloom.session import cut_lineage
 
 
 def with_previous(scans: DataFrame) -> DataFrame:
-    """Add the previous scan of the same repository in append order (``seq``), whatever its length."""
-    spread = spread_in_order(scans, ["repository_name"], ["seq"])
-    return drop_stamps(previous(spread, ["repository_name"], "previous", F.struct("scan_id", "score")))
+    """Add the previous scan of the same repository in append order (``seq``), whatever its length.
+
+    Only the narrow columns are put in order; the rest of a scan's row meets them again by its id.
+    """
+    spread = spread_in_order(scans.select("repository_name", "seq", "scan_id", "score"), ["repository_name"], ["seq"])
+    before = previous(spread, ["repository_name"], "previous", F.struct("scan_id", "score"))
+    return scans.join(before.select("scan_id", "previous"), "scan_id")
 
 
 def score_delta() -> Column:
@@ -31,17 +35,24 @@ _KEY = ["scan_id", "file_path", "title"]
 def scan_diff(keys: DataFrame, links: DataFrame) -> DataFrame:
     """Keys that appear or vanish between a scan and its previous one.
 
-    ``links(scan_id, previous_id)``. Each side holds a key once, so neither difference
-    meets a repeated key; the copies are in ``n``. ``keys`` is read several times: pass a
-    stored table.
+    ``links(scan_id, previous_id)``. Every key counts for its own scan and for the scan
+    after it; one aggregation over (scan, file, title), a key that is never hot, then
+    tells which side has it. A scan's keys meet its links in one join that is split where
+    a scan has very many keys. ``keys`` is read twice: pass a stored table.
     """
     pairs = links.where(F.col("previous_id").isNotNull())
-    current = spread_join(keys, pairs.select("scan_id"), ["scan_id"], ["file_path", "title"])
-    before = spread_join(
-        keys.withColumnRenamed("scan_id", "previous_id"), pairs, ["previous_id"], ["file_path", "title"]).drop("previous_id")
-    fixed = before.join(current.select(*_KEY), _KEY, "left_anti").withColumn("change", F.lit("fixed"))
-    new = current.join(before.select(*_KEY), _KEY, "left_anti").withColumn("change", F.lit("new"))
-    return fixed.unionByName(new).select(*_KEY, "change", "n", "n_serious")
+    side = lambda scan, now: F.struct(F.col(scan).alias("scan_id"), F.lit(now).alias("now"))
+    uses = pairs.select(F.explode(F.array(
+        F.struct(F.col("scan_id").alias("of"), side("scan_id", True).alias("use")),
+        F.struct(F.col("previous_id").alias("of"), side("scan_id", False).alias("use")))).alias("_u")).select("_u.*")
+    # a scan has one row here: its own use, and its use by the scan after it
+    uses = uses.groupBy("of").agg(F.collect_list("use").alias("_uses")).withColumnRenamed("of", "scan_id")
+    used = spread_join(keys, uses, ["scan_id"], ["file_path", "title"]).select(
+        F.explode("_uses").alias("_u"), "file_path", "title", "n", "n_serious")
+    both = used.groupBy("_u.scan_id", "file_path", "title").agg(
+        F.bool_or("_u.now").alias("_now"), F.bool_and("_u.now").alias("_only_now"), F.sum("n").alias("n"), F.sum("n_serious").alias("n_serious"))
+    return both.where(~F.col("_now") | F.col("_only_now")).select(
+        *_KEY, F.when(F.col("_now"), "new").otherwise("fixed").alias("change"), "n", "n_serious")
 
 
 def history_entries(scans: DataFrame, findings: DataFrame, reported: DataFrame | None = None) -> DataFrame:

@@ -125,8 +125,9 @@ DOCUMENTS = {
 
 
 def write_document(lines: DataFrame, path: str) -> None:
+    """A second export of a scan replaces its document; documents of other scans stay."""
     (lines.repartitionByRange("scan_id", "part", "finding_seq").sortWithinPartitions("scan_id", "part", "finding_seq")
-     .select("scan_id", "line").write.mode("overwrite").partitionBy("scan_id").text(path))
+     .select("scan_id", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").text(path))
 
 
 def export(reports: DataFrame, findings: DataFrame, format_name: str, path: str) -> None:

@@ -15,11 +15,17 @@ from scanloom.sources.trees import _filesystem, file_order, not_ignored, small_e
 
 _MEMBER = "repository_name string, absolute_path string, member string, size bigint, modified_time timestamp"
 _SLICE = 64
+#: Bytes of the record that ends every ZIP file.
+_SHORTEST = 22
 
 
 def _open(location: str):
     system, path = _filesystem(location)
-    return zipfile.ZipFile(system.open_input_file(path))
+    stream = system.open_input_file(path)
+    if stream.size() < _SHORTEST:
+        stream.close()
+        raise zipfile.BadZipFile("File is too short")
+    return zipfile.ZipFile(stream)
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,7 +34,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with _open(row.path) as archive:
                     found = [(row.repository_name, row.path, m.filename, m.file_size, _modified(m)) for m in archive.infolist() if not m.flag_bits & 1]
-            except zipfile.BadZipFile:  # reported by ``refused_archives``
+            except zipfile.BadZipFile:  # reported by ``unreadable_archives``
                 continue
             yield pd.DataFrame(found, columns=["repository_name", "absolute_path", "member", "size", "modified_time"])
 
@@ -50,7 +56,7 @@ def _modified(member: zipfile.ZipInfo) -> pd.Timestamp:
         return pd.Timestamp(1980, 1, 1)
 
 
-def _refused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unreadable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
             try:
@@ -62,9 +68,9 @@ def _refused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(found, columns=["repository_name", "absolute_path", "member", "reason"])
 
 
-def refused_archives(archives: DataFrame) -> DataFrame:
+def unreadable_archives(archives: DataFrame) -> DataFrame:
     """repository_name, absolute_path, member, reason: archives and members that can't be read and are left out."""
-    return archives.select("repository_name", "path").mapInPandas(_refused, "repository_name string, absolute_path string, member string, reason string")
+    return archives.select("repository_name", "path").mapInPandas(_unreadable, "repository_name string, absolute_path string, member string, reason string")
 
 
 def list_archives(archives: DataFrame) -> DataFrame:

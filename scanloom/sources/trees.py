@@ -96,9 +96,16 @@ def is_text(data: Column) -> Column:
 
 
 def decode(data: Column) -> Column:
-    """UTF-8 text without the invalid bytes, line ends as in a text-mode read."""
-    raw = data.cast("string")
-    kept = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+    """UTF-8 text without the invalid bytes, line ends as in a text-mode read.
+
+    Invalid bytes are first turned into U+FFFD; a U+FFFD that the file itself holds is
+    spelled with a mark meanwhile, and so is the mark.
+    """
+    raw, swap = data.cast("string"), lambda col, old, new: F.replace(col, F.lit(old), F.lit(new))
+    mark, lost = "\ue000", "\ufffd"
+    spelled = swap(swap(raw, mark, mark + "0"), lost, mark + "1")
+    valid = swap(F.make_valid_utf8(spelled), lost, "")
+    kept = F.when(F.is_valid_utf8(raw), raw).otherwise(swap(swap(valid, mark + "1", lost), mark + "0", mark))
     return F.regexp_replace(kept, r"\r\n?", "\n")
 
 

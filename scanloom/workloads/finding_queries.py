@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanloom import fixed_values as fv
 from scanloom.functions import text
 from scanloom.operators import findings as fnd
+from scanloom.session import cut_lineage
 from scanloom.sinks import reports as rep
 from scanloom.workloads import adapters as ad
 from scanloom.workloads.adapters import quote
@@ -143,7 +144,7 @@ SELECT {_COLS} FROM reduced UNION ALL SELECT {_COLS} FROM x_auth UNION ALL SELEC
 def u2_reduced_and_derived(spark, folder):
     """Merge, downgrade, then the derived findings of the merged rows."""
     files = ad.code_files(spark, folder)
-    reduced = fnd.downgrade_test_secrets(fnd.deduplicate(ad.raw_findings(spark, folder, by_repository=True)))
+    reduced = cut_lineage(fnd.downgrade_test_secrets(fnd.deduplicate(ad.raw_findings(spark, folder, by_repository=True))))
     derived = fnd.cross_file_findings(reduced, files)
     return fnd.union_findings(reduced.select(*_COLUMNS), derived.select(*_COLUMNS)).select(*_COLUMNS)
 

@@ -205,8 +205,8 @@ def r3_state_expiry(spark, folder):
     """States older than 72 hours at the time of the newest event are gone."""
     events = ad.state_events(spark, folder)
     final = _final(spark, folder).withColumn("finished_at", F.col("finished_at") / 1e6)
-    now = events.agg((F.max("ts") / 1e6).alias("now"))
-    return progress.unexpired_states(final.join(F.broadcast(now)), F.col("now")).select("scan_id")
+    now = events.agg((F.max("ts") / 1e6).alias("now")).scalar()
+    return progress.unexpired_states(final, now).select("scan_id")
 
 
 _ACTIVE = "CASE status " + " ".join(f"WHEN '{s}' THEN {fv.STAGES.index(g)}" for s, g in fv.STAGE_OF_STATE.items()) + " END"
@@ -272,8 +272,8 @@ def j13_recoverable_reports(spark, folder):
 @query("p14_stale_workspaces", """SELECT event_id FROM events WHERE (SELECT max(epoch_us(ts)) FROM events) / 1e6 - epoch_us(ts) / 1e6 > 86400""")
 def p14_stale_workspaces(spark, folder):
     events = ad.read(spark, folder, "events").select("event_id", (ad.wall_micros("ts") / 1e6).alias("modified_at"))
-    now = events.agg(F.max("modified_at").alias("now"))
-    return progress.stale_workspaces(events.join(F.broadcast(now)), F.col("now")).select("event_id")
+    now = events.agg(F.max("modified_at").alias("now")).scalar()
+    return progress.stale_workspaces(events, now).select("event_id")
 
 
 _IDS = "ids AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'scan-' || user_id WHEN 1 THEN '../' || user_id WHEN 2 THEN 'é_' || user_id ELSE '' END AS scan_id FROM events)"

@@ -14,7 +14,7 @@ def tree(tmp_path):
     files = {
         "file.txt": b"Hello World", "binary.bin": b"\x00\x01\x02", "large.txt": b"a" * (2 * 1024 * 1024 + 1), "limit.txt": b"a" * (2 * 1024 * 1024),
         "coverage/ignore.txt": b"x", ".env": b"K=1", ".github/workflows/ci.yml": b"on:", "pkg/__init__.py": b"", "a/dist": b"dropped",
-        "bad.txt": b"a\xffb", "crlf.txt": b"one\r\ntwo\rthree\n", "late.bin": b"a" * 1024 + b"\x00", "pkg/Mod.PY": b"x = 1",
+        "bad.txt": b"a\xffb", "real.txt": "a\ufffd\ue000b1".encode() + b"\xff", "crlf.txt": b"one\r\ntwo\rthree\n", "late.bin": b"a" * 1024 + b"\x00", "pkg/Mod.PY": b"x = 1",
     }
     for name, data in files.items():
         path = repo / name
@@ -26,11 +26,12 @@ def tree(tmp_path):
 def test_tree_load(spark, tree):
     files = trees.load_trees(trees.repositories_of(spark, {"r": str(tree) + "/"}))
     rows = {r.relative_path: r for r in files.collect()}
-    assert sorted(rows) == [".env", ".github/workflows/ci.yml", "bad.txt", "crlf.txt", "file.txt", "late.bin", "limit.txt", "pkg/Mod.PY", "pkg/__init__.py"]
+    assert sorted(rows) == [".env", ".github/workflows/ci.yml", "bad.txt", "crlf.txt", "file.txt", "late.bin", "limit.txt", "pkg/Mod.PY", "pkg/__init__.py", "real.txt"]
+    assert rows["real.txt"].content == "a\ufffd\ue000b1"
     assert rows["bad.txt"].content == "ab" and rows["bad.txt"].valid_utf8 is False
     assert rows["crlf.txt"].content == "one\ntwo\nthree\n"
     assert rows["pkg/Mod.PY"].extension == ".py" and rows[".env"].extension == ""
-    assert [r.file_seq for _, r in sorted(rows.items())] == list(range(1, 10))
+    assert [r.file_seq for _, r in sorted(rows.items())] == list(range(1, 11))
     got = lines.explode_lines(files.where("relative_path = 'crlf.txt'"), ["relative_path"]).orderBy("line_number").collect()
     assert [(r.line_number, r.line) for r in got] == [(1, "one"), (2, "two"), (3, "three")]
     assert lines.explode_lines(files.where("size = 0"), ["relative_path"]).count() == 0
@@ -52,8 +53,11 @@ def test_archives(spark, tmp_path):
         "evil": _zip(tmp_path / "e.zip", {"ok.txt": "1", "../x": "2"}),
         "single": _zip(tmp_path / "s.zip", {"root/": "", "root/a.py": "x", "root/b/c.txt": "y"}),
         "double": _zip(tmp_path / "d.zip", {"p/a.py": "x", "q.txt": "y"}),
+        "broken": str(tmp_path / "b.zip"),
     }
+    (tmp_path / "b.zip").write_bytes(b"PK no archive")
     table = archives.archives_of(spark, paths)
+    assert [(r.repository_name, r.member) for r in archives.unreadable_archives(table).collect()] == [("broken", None)]
     assert [r[0] for r in archives.refused_archives(archives.list_archives(table)).collect()] == ["evil"]
     got = sorted((r.repository_name, r.relative_path, r.content) for r in archives.load_archives(table).collect())
     assert got == [("double", "p/a.py", "x"), ("double", "q.txt", "y"), ("single", "a.py", "x"), ("single", "b/c.txt", "y")]
@@ -84,6 +88,9 @@ def test_export_documents(spark, tmp_path):
         parts = sorted(pathlib.Path(tmp_path / "sarif" / f"scan_id={scan}").glob("part-*"))
         doc = json.loads("".join(p.read_text() for p in parts))
         assert doc["version"] == "2.1.0" and len(doc["runs"][0]["results"]) == n
+    before = {p.name: p.read_text() for p in pathlib.Path(tmp_path / "sarif" / "scan_id=s1").glob("part-*")}
+    rep.export(heads.where("scan_id = 's2'"), found.where("scan_id = 's2'"), "sarif", str(tmp_path / "sarif"))
+    assert {p.name: p.read_text() for p in pathlib.Path(tmp_path / "sarif" / "scan_id=s1").glob("part-*")} == before
     for name in ("markdown", "md", "html", "fix_prompt_json", "fix_prompt_md", "fix_prompt_txt"):
         rep.export(heads, found, name, str(tmp_path / name))
         assert spark.read.text(str(tmp_path / name)).count() > 0
