@@ -27,7 +27,26 @@ def union_findings(*parts: DataFrame) -> DataFrame:
 
 def run_scanners(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Plug-in contract: a scanner is a function from ``files`` to findings."""
-    return union_findings(*[scanner(files) for scanner in scanners])
+    return union_findings(*[in_order(scanner(files), i) for i, scanner in enumerate(scanners)])
+
+
+#: Plug-in scanners come after the built-in ones (0 and 1) of their phase.
+_PLUG_IN = 100
+
+
+def in_order(rows: DataFrame, ordinal: int) -> DataFrame:
+    """``rows`` with a ``finding_seq``; a scanner that gives none is ordered by its place, then line, file and texts.
+
+    The order decides which copy of a finding survives, so it may not be left open.
+    """
+    if "finding_seq" in rows.columns:
+        return rows
+    texts = [c for c in ("file_path", "title", "category", "finding_id", "description", "explanation", "fix_suggestion", "severity", "confidence", "code_snippet")
+             if c in rows.columns]
+    line = F.coalesce(F.col("line_number").cast("int"), F.lit(0)) if "line_number" in rows.columns else F.lit(0)
+    return rows.withColumn("finding_seq", F.struct(
+        F.lit(0).alias("phase"), F.lit(0).cast("bigint").alias("file_seq"), F.lit(_PLUG_IN + ordinal).alias("scanner"),
+        F.lit(0).alias("rule"), line.alias("line"), F.to_json(F.struct(*texts)).alias("tail")))
 
 
 # ------------------------------------------------------------------ de-duplication

@@ -107,15 +107,24 @@ def match_lines(lines: DataFrame, kinds: list[str]) -> DataFrame:
         *lines.columns, "_hit.scanner", "_hit.hit_set", "_hit.rule")
 
 
-def match_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Table form for large, user-supplied rule tables: ``rules(rule_set, rule, pattern)``.
+#: Rules up to which a user's table is broadcast.
+MOST_BROADCAST_RULES = 10_000
 
-    The patterns are matched by a nested-loop join, so keep the rule table small.
+
+def match_rule_table(lines: DataFrame, rules: DataFrame, most: int = MOST_BROADCAST_RULES) -> DataFrame:
+    """Table form for user-supplied rules: ``rules(rule_set, scanner, rule, pattern)``.
+
+    Up to ``most`` rules are broadcast. A larger table is repeated once a bucket instead, and the
+    lines of a rule set, of which there are only a few, are dealt over all buckets.
     """
-    return lines.alias("l").join(
-        F.broadcast(rules.alias("r")),
-        (F.col("l.rule_set") == F.col("r.rule_set")) & F.expr("l.line rlike r.pattern"),
-    ).select("l.*", "r.scanner", "r.rule")
+    small = rules.limit(most + 1).count() <= most
+    n = 1 if small else int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")
+    table = rules.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return lines.withColumn("_bucket", bucket).alias("l").join(
+        (F.broadcast(table) if small else table).alias("r"),
+        (F.col("l.rule_set") == F.col("r.rule_set")) & (F.col("l._bucket") == F.col("r._bucket")) & F.expr("l.line rlike r.pattern"),
+    ).select("l.*", "r.scanner", "r.rule").drop("_bucket")
 
 
 def missing_user(files: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | N
     """
     entries = inventory.manifest_entries(files)
     declared = inventory.dependencies(entries)
-    parts = [scan(files) for scan in (scanners or [rules.scan_files])]
+    parts = [fnd.in_order(scan(files), i) for i, scan in enumerate(scanners or [rules.scan_files])]
     parts.append(dependencies.dependency_findings(declared, files))
     notes = None
     if scorer is not None:

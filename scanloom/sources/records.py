@@ -19,6 +19,12 @@ def _json(spark: SparkSession, path: str, schema: str, multi_line: bool = False)
         return spark.createDataFrame([], schema)
 
 
+def broken_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored rows that the readers of this module leave out, with their text in ``broken``."""
+    rows = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+    return rows.where(F.col("broken").isNotNull())
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report heads written by ``sinks.reports.write_reports``."""
     return _json(spark, path, schemas.REPORT)

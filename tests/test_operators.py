@@ -125,6 +125,26 @@ def test_docker_and_unicode_rules(spark):
         "config-flask_debug_enabled-s.py-5", "config-github_actions_pull_request_target-.github/workflows/a.yml-1"])
 
 
+def test_rule_table_of_any_size(spark):
+    lines = spark.createDataFrame([("app", i, f"debug={i}") for i in range(30)], "rule_set string, line_number int, line string")
+    table = spark.createDataFrame([("app", 1, r, f"={r}$") for r in range(20)] + [("ci", 1, 99, "debug")], "rule_set string, scanner int, rule int, pattern string")
+    want = [(r, r) for r in range(20)]
+    for most in (1000, 3):
+        got = rules.match_rule_table(lines, table, most)
+        assert got.columns == [*lines.columns, "scanner", "rule"]
+        assert sorted((x.line_number, x.rule) for x in got.collect()) == want
+
+
+def test_plug_in_scanner_without_order(spark):
+    plug = lambda text: lambda files: files.select(
+        F.lit("s").alias("scan_id"), F.lit(text).alias("title"), F.lit("c").alias("category"), F.lit("LOW").alias("severity"),
+        F.lit("LOW").alias("confidence"), F.lit("f").alias("file_path"), F.lit(1).alias("line_number"),
+        F.lit("x").alias("explanation"), F.lit("y").alias("fix_suggestion"))
+    rows = findings.run_scanners(spark.range(3), [plug("b"), plug("a")])
+    assert rows.where("finding_seq is null").count() == 0
+    assert [r.title for r in findings.deduplicate(rows).collect()] == ["b"]
+
+
 def test_manifests_and_vulnerabilities(spark):
     files = _files(spark, [
         ("package.json", json.dumps({"dependencies": {"express": "4.17.1", "a": None}, "devDependencies": {"express": "^5.0"}})),

@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from scanloom import schemas
 from scanloom.operators import lines
 from scanloom.sinks import reports as rep
 from scanloom.sources import archives, records, trees
@@ -68,6 +69,7 @@ def test_records_tolerate_missing_and_broken(spark, tmp_path):
     (tmp_path / "h").mkdir()
     (tmp_path / "h" / "a.json").write_text('{"scan_id":"s1","score":5}\n{broken\n')
     assert [r.scan_id for r in records.read_history(spark, str(tmp_path / "h")).collect()] == ["s1"]
+    assert [r.broken for r in records.broken_rows(spark, str(tmp_path / "h"), schemas.HISTORY).collect()] == ["{broken"]
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.json").write_text('{"scan_id":"a","status":"CLONING"}\n{"scan_id":"b","status":"COMPLETED","finished_at":3}\n')
     got = {r.scan_id: (r.status, r.finished_at) for r in records.read_states(spark, str(tmp_path / "s"), F.lit(9.0)).collect()}
