@@ -1,13 +1,20 @@
-"""Training texts that hold copies of test items, whole or edited: rare n-gram seeds, then alignment.
+"""Training texts that hold copies of test items, whole or edited: word triples as seeds, then alignment.
 
 Words are runs of letters and digits in lower case (A-Z). One pass over the texts keeps the stretches around
-words that start an n-gram of any item (a bit table of fixed size turns the rest away). The kept hits are
-counted over the whole corpus; of every few neighbouring n-grams of an item the rarest that occurs becomes a
-seed, so any run of ``n + spread - 1`` words copied unchanged is found, however common it is. Seeds are joined
-with the hits by hash, and each (stretch, item) pair that meets is aligned with Smith-Waterman over words
-(match 2, other word -1, gap -1). The score is the best local alignment over that of the item with itself.
-
-Null and empty texts and items match nothing; an item with fewer than ``n`` words is sought as a whole.
+word triples of any item (a bit table of fixed size turns the rest away). A triple may skip words: its two
+steps pass over at most two words together, in the item and in the text, each by itself. The hits are joined
+with all triples of all items by hash, however common they are, and each (stretch, item) pair that meets is
+aligned with Smith-Waterman over words (match 2, other word -1, gap -1), unless fewer of the item's triples or
+words occur in the stretch than the least score needs. The score is the best local alignment over that of the
+item with itself.
+
+Every text that reaches a score of 0.5 is found: with m matched words of an item of L, all that parts one from
+the next costs at most 2m - L <= m, so the least of the floor((m - 1) / 2) separate pairs of steps costs at most
+2 (L of 7 or more; 3 for L of 5 and 6, whose triples may skip three words). Likewise at most 2 (2m - L) / 3 of the
+m - 2 overlapping pairs of steps cost 3 or more, which leaves ceil(L / 3) - 2 triples or more. For a lower least score, pairs with
+four words in a row or half of the item's words are looked at; others may be missed.
+
+Null and empty texts and items match nothing; an item of at most ``WHOLE`` words is sought as a whole.
 Repeated rows give one result per (doc_id, item_id), the best. Hits of a text without an id are kept under a
 null doc_id. Texts and items made of a handful of very common words can align by chance; the score tells how far.
 """
@@ -16,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm import texts
 
-N, SPREAD = 4, 3
+#: Items of so many words or fewer are sought as a whole.
+WHOLE = 4
 LEAST_SCORE = 0.5
 #: The bit table has 2**TABLE_BITS bits whatever the number of items; with more items it only lets more hits pass.
 TABLE_BITS = 24
@@ -33,18 +41,31 @@ def _words(part: pa.RecordBatch, powers: texts.Powers):
     return texts.spans(texts.sums(data, powers), a, b, powers), np.searchsorted(a, starts)
 
 
-def _salted(hashes: np.ndarray, n: int) -> np.ndarray:
-    return texts.mixed(texts.grams(hashes, n) + np.uint64(n))
+def shapes(size: int) -> list[tuple[int, ...]]:
+    """Offsets of the words of each gram that an item of ``size`` words is sought by."""
+    if size <= WHOLE:
+        return [tuple(range(size))]
+    most = 2 if size >= 7 else 3
+    return [(0, a, a + b) for a in range(1, most + 2) for b in range(1, most + 3 - a)]
+
 
+def _salted(hashes: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at the offsets of ``shape`` from each word on; the skipped words do not count."""
+    n = max(0, len(hashes) - shape[-1])
+    out = np.zeros(n, np.uint64)
+    for k in shape:
+        out = out * np.uint64(texts.BASE) + hashes[k:k + n]
+    return texts.mixed(texts.mixed(out) + np.uint64(len(shape)))
 
-def item_grams(items: DataFrame, n: int = N) -> DataFrame:
-    """item_id, words (hashes), grams (hashes of the n-grams in order)."""
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """item_id, words (hashes), grams (hashes of the item's grams, one for each place)."""
     def run(batches):
         powers = texts.Powers()
         for part in texts.slices(batches):
             word, first = _words(part, powers)
             own = [word[s:e] for s, e in zip(first, first[1:])]
-            grams = [_salted(w, min(n, len(w))).view(np.int64) if len(w) else np.zeros(0, np.int64) for w in own]
+            grams = [np.concatenate([_salted(w, x) for x in shapes(len(w))]).view(np.int64) if len(w) else np.zeros(0, np.int64) for w in own]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))],
                                              ["item_id", "words", "grams"])
 
@@ -52,7 +73,7 @@ def item_grams(items: DataFrame, n: int = N) -> DataFrame:
 
 
 def bit_table(items: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """Bits of all item n-grams, two each; the driver gets at most 2**bits / 64 rows."""
+    """Bits of all item grams, two each; the driver gets at most 2**bits / 64 rows."""
     h = items.select(F.explode("grams").alias("h"))
     slot = h.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("x")).select(F.col("x").bitwiseAND((1 << bits) - 1).alias("slot"))
     rows = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")).collect()
@@ -62,10 +83,11 @@ def bit_table(items: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
     return np.unpackbits(out.astype("<u8").view(np.uint8), bitorder="little")
 
 
-def stretches(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, start (word number), words, hits (array of gram): stretches of texts around n-grams of any item."""
-    facts = items.agg(F.max(F.size("words")).alias("longest"), F.collect_set(F.least(F.size("words"), F.lit(n))).alias("lengths")).first()
-    reach, lengths = facts["longest"] or 0, sorted(facts["lengths"])
+def stretches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, start (word number), words, hits (array of gram): stretches of texts around grams of any item."""
+    facts = items.agg(F.max(F.size("words")).alias("longest"), F.collect_set(F.least(F.size("words"), F.lit(7))).alias("sizes")).first()
+    # an alignment that scores 0.5 may pass over as many words of the text as it matches
+    reach, forms = 2 * (facts["longest"] or 0), sorted({x for size in facts["sizes"] for x in shapes(size)})
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(items)))
 
     def run(batches):
@@ -74,8 +96,8 @@ def stretches(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
             word, first = _words(part, powers)
             ids = part.column("doc_id")
             at, gram, length = [], [], []
-            for m in lengths:
-                g = _salted(word, m)
+            for form in forms:
+                g, m = _salted(word, form), form[-1] + 1
                 hit = np.flatnonzero(table[(g & mask).astype(np.int64)])
                 hit = hit[table[((g[hit] >> np.uint64(32)) & mask).astype(np.int64)]]
                 end = first[np.searchsorted(first, hit, side="right")]
@@ -103,14 +125,6 @@ def stretches(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     return texts.id_text(docs).mapInArrow(run, "doc_id long, start long, words array<long>, hits array<long>")
 
 
-def seeds(items: DataFrame, counts: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """gram, item_id: the rarest occurring n-gram of every ``spread`` neighbouring ones of each item."""
-    placed = items.select("item_id", F.posexplode("grams").alias("pos", "gram")).join(counts, "gram", "left")
-    window = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, spread - 1)  # an item is one row's text
-    rarest = F.min(F.when(F.col("n").isNotNull(), F.struct("n", "gram"))).over(window)
-    return placed.select("item_id", rarest.alias("r")).where("r is not null").select(F.col("r.gram").alias("gram"), "item_id").distinct()
-
-
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: score, first and one past the last aligned word of the text."""
     n = len(text)
@@ -135,28 +149,43 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, n: int = N, spread: int = SPREAD) -> DataFrame:
+def _likely(text: np.ndarray, item: np.ndarray, least_score: float) -> bool:
+    """Whether enough of the item's words occur for the score; a score below 0.5 also takes a run of ``WHOLE`` words."""
+    if np.isin(item, text).sum() >= max(least_score, LEAST_SCORE) * len(item):
+        return True
+    run, item, text = tuple(range(WHOLE)), item.view(np.uint64), text.view(np.uint64)
+    return least_score < LEAST_SCORE and bool(np.isin(_salted(item, run), _salted(text, run)).any())
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word (exclusive) of every pair with at least ``least_score``."""
-    items = texts.written(item_grams(benchmark, n).where("item_id is not null"))
+    items = texts.written(item_grams(benchmark).where("item_id is not null"))
     if items.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long")
-    near = texts.written(stretches(docs, items, n).withColumn("stretch", F.monotonically_increasing_id()))
+    near = texts.written(stretches(docs, items).withColumn("stretch", F.monotonically_increasing_id()))
     hits = near.select("stretch", F.explode("hits").alias("gram"))
-    counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    pairs = hits.join(seeds(items, counts, spread), "gram").select("stretch", "item_id").distinct()
+    size = F.size("words")
+    least = F.when(size < 7, 1).otherwise(F.greatest(F.lit(1), size - 2 - F.floor(size * (4 * (1 - least_score) / 3) + 1e-9)))
+    seeds = items.select(F.explode("grams").alias("gram"), "item_id", least.alias("least")).groupBy("gram", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    pairs = hits.join(seeds, "gram").groupBy("stretch", "item_id").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("stretch", "item_id")
     both = pairs.join(near.select("stretch", "doc_id", "start", "words"), "stretch").join(items.select("item_id", F.col("words").alias("item")), "item_id")
 
     def run(batches):
         for batch in batches:
-            score, lo, hi = [], [], []
-            size = batch.num_rows
+            score, lo, hi, kept = [], [], [], []
             text, item = batch.column("words"), batch.column("item")
-            for k in range(size):
+            for k in range(batch.num_rows):
                 t, i = text[k].values.to_numpy(zero_copy_only=False), item[k].values.to_numpy(zero_copy_only=False)
+                if not _likely(t, i, least_score):
+                    continue
                 s, a, b = align(t, i)
+                kept.append(k)
                 score.append(s / (MATCH * len(i)))
                 lo.append(a)
                 hi.append(b)
+            if not kept:
+                continue
+            batch = batch.select(["doc_id", "item_id", "start"]).take(pa.array(kept))
             start = batch.column("start").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64()), pa.array(start + np.array(lo, np.int64)), pa.array(start + np.array(hi, np.int64))],
                                              ["doc_id", "item_id", "score", "first_word", "last_word"])

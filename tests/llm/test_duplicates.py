@@ -216,6 +216,29 @@ def test_contamination(spark, table):
     assert decontaminate.contaminated(table(texts), bench.where("false")).count() == decontaminate.contaminated(table(texts).where("false"), bench).count() == 0
 
 
+def test_edited_copies_beside_an_exact_one(spark, table):
+    """Each 3rd to 6th word replaced, words put in after each second one, words left out: all that alignment scores 0.5 is found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (40, 41, 17, 7, 6, 5)]
+    copies = []
+    for item in items:
+        copies.append(item)
+        for step in (3, 4, 5, 6):
+            for at in range(step):
+                copies.append([word() if k % step == at else w for k, w in enumerate(item)])
+                copies.append([w for k, w in enumerate(item) if k % step != at])
+        for step in (1, 2, 3):
+            copies.append([x for k, w in enumerate(item) for x in ([w, word()] if k % step == 0 else [w])])
+        copies.append([x for k, w in enumerate(item) for x in ([w, word(), word(), word()] if k % 2 else [w])])
+    texts = [" ".join([word() for _ in range(30)] + c + [word() for _ in range(30)]) for c in copies]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    score = {(d, i): brute_align(t.split(), item) / (2 * len(item)) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    want = {k: v for k, v in score.items() if v >= 0.5}
+    assert len(want) > 150
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table(texts), bench).collect()} == want
+
+
 def test_common_items_are_found_however_common(spark, table):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "short item")], "item_id long, text string")
     got = decontaminate.contaminated(table([f"w{i} Alpha beta gamma delta epsilon zeta, eta theta v{i} short item" for i in range(300)]), bench)
