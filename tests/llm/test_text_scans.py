@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -76,6 +77,21 @@ def test_licences(table):
     assert [(n.license, n.first_line) for n in got[6]] == [("Apache-2.0", 5000)]
 
 
+def test_wrapped_and_inner_licences(table):
+    mit, bsd, gpl = (licenses.TEMPLATES[k] for k in ("MIT-text", "BSD-3-Clause-notice", "GPL-2.0-header"))
+    prose = "some other words stand here " * 60
+    texts = ["\n".join(textwrap.wrap(mit, 78)), "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", prose + mit + " " + prose,
+             "x\n" + "\n".join(" * " + x for x in textwrap.wrap(gpl, 60)) + "\n\n * " + bsd, f"{prose} {bsd} Released under the MIT License. Licensed under CC BY 4.0. {prose}", (bsd + " ") * 50]
+    got = {r.doc_id: [(n.license, n.first_line, n.last_line, n.differences) for n in r.notices] for r in licenses.scan(table(texts)).collect()}
+    assert got[0] == [("MIT-text", 0, texts[0].count("\n") + 1, [])]
+    assert got[1] == [("BSD-3-Clause-notice", 0, 2, [])]
+    assert got[2] == [("MIT-text", 0, 1, [])]
+    lines = texts[3].count("\n") + 1
+    assert got[3] == [("GPL-2.0-header", 1, lines - 2, []), ("BSD-3-Clause-notice", lines - 1, lines, [])]
+    assert [n[0] for n in got[4]] == ["BSD-3-Clause-notice", "MIT", "CC-BY-4.0"]
+    assert got[5] == [("BSD-3-Clause-notice", 0, 1, [])] * 50
+
+
 def test_licence_templates_find_themselves():
     own = licenses.Templates(licenses.TEMPLATES)
     for name, text in licenses.TEMPLATES.items():
