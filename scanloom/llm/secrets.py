@@ -3,12 +3,14 @@
 The cost of a value is the cheapest way to cut it into dictionary words, dates, repeats, runs of
 neighbouring keys, counting sequences and brute-force stretches (dynamic programming over positions;
 every stretch costs the logarithm of the guesses it takes). A value that takes many guesses is a secret,
-a word with a year behind it is not. Null and empty texts have no spans; overlapping spans of different
+a word with a year behind it is not. A value that opens with a quote goes on to the matching quote of its line,
+any other to the next white space (less separators and unpaired closing signs at its end). Null and empty texts have no spans; overlapping spans of different
 kinds are all kept; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -23,10 +25,10 @@ from scanloom.llm import texts
 ASSIGN = re.compile(r'''(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Credential contexts: more key names and any value without blanks, quotes or separators.
+#: Credential contexts: more key names, and a whole value in quotes or up to white space.
 CONTEXT = re.compile(
     r'''(?<![A-Za-z0-9])[A-Za-z0-9_.-]{0,40}(?:passphrase|password|passwd|passcode|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)'''
-    r'''["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;(){}\[\]|]+)''', re.IGNORECASE | re.ASCII)
+    r'''["']?\x20*(?::=|=>|[:=])\x20*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|["']?(\S+))''', re.IGNORECASE | re.ASCII)
 KINDS = ("assign", "access", "hex", "guess")
 #: A context value is reported from so many guesses (powers of ten) and characters on.
 LOG_GUESSES = 10.0
@@ -154,19 +156,36 @@ def log_guesses(value: str) -> float:
     return best[n]
 
 
+OPENS = {")": "(", "]": "[", "}": "{", ">": "<"}
+
+
+def _trimmed(value: str) -> str:
+    """A bare value without separators, unpaired closing brackets and unpaired quotes at its end."""
+    count, end = {c: value.count(c) for c in "()[]{}<>\"'"}, len(value)
+    while end:
+        c = value[end - 1]
+        if not (c in ".,;" or c in OPENS and count[c] > count[OPENS[c]] or c in "\"'" and count[c] % 2):
+            break
+        if c in count:
+            count[c] -= 1
+        end -= 1
+    return value[:end]
+
+
 def find(text: str) -> list[tuple[int, int, str, float | None]]:
     """Spans of a text by start and kind: start, end, kind, log10 guesses of a credential value."""
     found: list[tuple[int, int, str, float | None]] = []
-    taken: set[int] = set()
+    taken: list[tuple[int, int]] = []
     if ":" in text or "=" in text:
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 8:
                 found.append((m.start(), m.end(), "assign", log_guesses(m[2])))
-                taken.add(m.end(2))
+                taken.append((m.start(2), m.end(2)))
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= LEAST_CHARS and not any(start <= t <= m.end(1) for t in taken) and (cost := log_guesses(value)) >= LOG_GUESSES:
+            value = m[m.lastindex] if m.lastindex < 3 else _trimmed(m[3])
+            start, end = m.start(m.lastindex), m.start(m.lastindex) + len(value)
+            k = bisect.bisect_right(taken, start, key=lambda t: t[0]) - 1  # a base span that holds the whole value says enough
+            if len(value) >= LEAST_CHARS and not (k >= 0 and taken[k][1] >= end) and (cost := log_guesses(value)) >= LOG_GUESSES:
                 found.append((start, end, "guess", cost))
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access", None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]

@@ -58,6 +58,16 @@ def test_guess_spans(table):
     assert got == {0: [(9, 21, "guess")], 1: [], 2: [], 3: [(0, 27, "assign")]}
 
 
+def test_guess_values_are_whole(table):
+    long = "token=abcdefgh!K9#xQ7$"
+    texts = ['password: "Xy(9)k#2,Qw!z"', long, 'secret = "velvet orbit, kettle (nine) <grape>"\nnext "line"', "pwd='it\\'s K9#x Q7$w'", "f(pwd=k3$Jq!9zPw%x), y", "pwd=k3$J;q!9z|Pw%x{1}", '{"pwd":"k3$Jq!9,zPw%x","token":"changeme"}',
+             "password=b7db7aa4a5fcc78305, (token=b7db7aa4a5fcc78305)", 'pwd="k3$Jq!9zPw%x\nopen"']
+    want = ["Xy(9)k#2,Qw!z", "abcdefgh!K9#xQ7$", "velvet orbit, kettle (nine) <grape>", "it\\'s K9#x Q7$w", "k3$Jq!9zPw%x", "k3$J;q!9z|Pw%x{1}", "k3$Jq!9,zPw%x", None, "k3$Jq!9zPw%x"]
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.secrets if s.kind == "guess"] for r in secrets.scan(table(texts)).collect()}
+    assert got == {i: [w] if w else [] for i, w in enumerate(want)}
+    assert [(s[0], s[1], s[2]) for s in secrets.find(long)] == [(0, 14, "assign"), (6, 22, "guess")]
+
+
 def test_secret_query_digest(spark, table, tmp_path):
     table(["a token=12345678 b", "", None, Ellipsis, "pwd='k3$Jq!9zPw%x'"]).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in queries.op2_secret_scan(spark, str(tmp_path)).collect()}
