@@ -5,9 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import bpe, decontaminate, licenses, line_runs, neighbours, pages, secrets, simhash, suffixes, texts, toxicity
+from scanloom.llm import bpe, decontaminate, licenses, line_runs, neighbours, packing, pages, resampling, secrets, simhash, suffixes, texts, toxicity, whitening
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def rank_file() -> tuple[str, str]:
@@ -17,6 +18,13 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def vocabulary_file() -> tuple[str, str]:
+    """Path of the vocabulary that documents are packed by, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+
+
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(texts.table(spark, folder, "documents"))
     names = F.array_sort(F.transform("notices", lambda n: F.concat_ws(":", n["license"], n["first_line"], n["last_line"])))
@@ -81,7 +89,22 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted"), spans.alias("toxic_spans"))
 
 
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(texts.table(spark, folder, "documents"), *vocabulary_file())
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    whitened = whitening.whiten(texts.table(spark, folder, "embeddings"))
+    # Exact at any size; beyond a long there is no value for the contract's column.
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(texts.table(spark, folder, "documents"), texts.table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_secret_scan, op3_simhash, op4_neighbours, op5_decontaminate, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_line_runs, op10_toxicity)}
+    op1_license_scan, op2_secret_scan, op3_simhash, op4_neighbours, op5_decontaminate, op6_suffix_dedup, op7_main_text, op8_byte_bpe, op9_line_runs, op10_toxicity,
+    op11_best_fit_packing, op12_whitening, op13_resampling)}
 #: None of these can be written in SQL at a bearable cost; tests/llm checks each against brute force.
 SQL: dict[str, str] = {}
