@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
-from scanloom.operators.ordered import drop_stamps, previous, running, spread_in_order
+from scanloom.session import cut_lineage
 
 _LAST = {"FAILED", "CANCELLED"}
-_WIDTH = 100  # larger than any state index
-
-
-def state_index(status: Column) -> Column:
-    return text.lookup(status, {s: i for i, s in enumerate(fv.PIPELINE_STATES)}, None)
 
 
 def is_terminal(status: Column) -> Column:
@@ -29,30 +26,130 @@ def with_cancellations(events: DataFrame, cancels: DataFrame) -> DataFrame:
     return events.unionByName(asked, allowMissingColumns=True)
 
 
+# ------------------------------------------------------------------ one pass over the events
+# What an event does is a map on a few states: each pipeline state, the two other ends, and "any other text". Maps
+# compose, so a task that gets the middle of a scan can say what its part does for every state it may be entered in.
+_STATES = [*fv.PIPELINE_STATES, *(s for s in fv.TERMINAL_STATES if s not in fv.PIPELINE_STATES), None]
+_CODE = {s: i for i, s in enumerate(_STATES)}
+_OTHER, _ALL = _CODE[None], (1 << len(_STATES)) - 1
+_N_PIPELINE = len(fv.PIPELINE_STATES)
+#: takes[state][event]: never out of a terminal state, never back along the pipeline.
+_TAKES = [[state not in fv.TERMINAL_STATES and not (i < _N_PIPELINE and j < i) for j in range(len(_STATES))] for i, state in enumerate(_STATES)]
+_MARKS = "_part int, _taken int, _opens int, _changes int, _ends struct<first:string,last:string,to:array<int>,status:array<string>,progress:array<int>,sent:array<boolean>>"
+
+
+class _Course:
+    """A scan's course through a part, for all states in ``mask`` that it may be entered in."""
+
+    __slots__ = ("mask", "state", "sent")
+
+    def __init__(self, mask: int, state: int, sent: tuple | None) -> None:
+        self.mask, self.state, self.sent = mask, state, sent
+
+    def take(self, code: int, pair: tuple) -> tuple[bool, bool, bool]:
+        """Taken; the first one of the part, for which the pair sent before is not known here; a change."""
+        if not _TAKES[self.state][code]:
+            return False, False, False
+        opens, changes = self.sent is None, self.sent not in (None, pair)
+        self.state, self.sent = code, pair
+        return True, opens, changes
+
+
+_UNSENT = ()  # a scan that begins in this part has sent nothing: its first event is a change
+
+
+def _mark(batches):
+    """Rows of a part, in order: whether each is taken and a change, as bits for the states the part's first scan may be entered in.
+
+    Later scans begin in the part, so all their bits agree. The last row tells what the part does to its first and last scan.
+    """
+    part = TaskContext.get().partitionId()
+    first = scan = None
+    courses: list[_Course] = []
+    held = None  # the last batch waits, its last row may be the part's
+
+    def marked(batch, bits, end):
+        last = [None] * (batch.num_rows - 1) + [end]
+        kind = pa.struct([("first", pa.string()), ("last", pa.string()), ("to", pa.list_(pa.int32())), ("status", pa.list_(pa.string())),
+                          ("progress", pa.list_(pa.int32())), ("sent", pa.list_(pa.bool_()))])
+        columns = [pa.array([part] * batch.num_rows, pa.int32()), *(pa.array(b, pa.int32()) for b in bits), pa.array(last, kind)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_part", "_taken", "_opens", "_changes", "_ends"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits: list[list[int]] = [[], [], []]
+        read = lambda c: batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows
+        rows = zip(read("scan_id"), read("status"), read("progress"))
+        for scan_id, status, progress in rows:
+            if not courses:
+                first = scan = scan_id
+                courses = [_Course(1 << s, s, None) for s in range(len(_STATES))]
+            elif scan_id != scan:
+                scan, courses = scan_id, [_Course(_ALL, 0, _UNSENT)]
+            code, pair, own, some = _CODE.get(status, _OTHER), (status, progress), [0, 0, 0], False
+            for course in courses:
+                for k, hit in enumerate(course.take(code, pair)):
+                    if hit:
+                        own[k] |= course.mask
+                        some = True
+            if some and len(courses) > 1:
+                # Courses that have met go on as one.
+                met: dict[tuple, _Course] = {}
+                for course in courses:
+                    if (other := met.setdefault((course.state, course.sent), course)) is not course:
+                        other.mask |= course.mask
+                courses = list(met.values())
+            for column, value in zip(bits, own):
+                column.append(value)
+        if held is not None:
+            yield marked(*held, None)
+        held = batch, bits
+    if held is not None:
+        ways = [next(c for c in courses if c.mask >> s & 1) for s in range(len(_STATES))]
+        yield marked(*held, {
+            "first": first, "last": scan, "to": [c.state for c in ways], "status": [c.sent[0] if c.sent else None for c in ways],
+            "progress": [c.sent[1] if c.sent else None for c in ways], "sent": [bool(c.sent) for c in ways]})
+
+
+def _entries(ends: list) -> list[tuple]:
+    """(part, state, sent, status, progress) in which the first scan of each part is entered; ``ends`` has one row a task."""
+    out, scan, begun, carried = [], None, False, (0, False, None, None)
+    for r in sorted(ends, key=lambda r: r["_part"]):
+        end = r["_ends"]
+        entry = carried if begun and end["first"] == scan else (0, False, None, None)
+        out.append((r["_part"], *entry))
+        state = entry[0]
+        through = end["first"] == end["last"]
+        kept = end["to"][state], end["sent"][state], end["status"][state], end["progress"][state]
+        carried = (kept[0], *entry[1:]) if through and not kept[1] else kept
+        scan, begun = end["last"], True
+    return out
+
+
 def _accept(events: DataFrame, order: list) -> DataFrame:
-    """Accepted events, still stamped with their place in the global order.
+    """Accepted events with ``_changed``: percent or status differs from the accepted event before.
 
-    Nothing follows a terminal event. An unknown status is always taken and starts a new
-    segment; inside a segment a pipeline state may not fall below the highest one so far
-    (which is QUEUED at the very start). ``segment * 100 + index`` grows with the
-    segments, so one running maximum serves all of them.
+    One exchange: rows are range-partitioned by scan and order, so a scan with very many events is spread over many
+    tasks. Each task marks its rows in one pass and is written; of each task one row, the composition, is needed to
+    know in which state every part was entered, and reading the marks under that state gives the rest.
     """
-    spread = spread_in_order(events, ["scan_id"], order)
-    index = state_index(F.col("status"))
-    unknown = index.isNull() & ~F.coalesce(F.col("status").isin(*_LAST), F.lit(False))
-    marked = running(spread, ["scan_id"], earlier=True,
-                     _segment=("sum", unknown.cast("bigint")), _ended=("max", F.coalesce(is_terminal(F.col("status")), F.lit(False)).cast("int")))
-    place = F.col("_segment") * _WIDTH + index
-    ranked = running(marked, ["scan_id"], earlier=True, _highest=("max", place))
-    floor = F.when(F.col("_segment") == 0, 0).otherwise(-1)
-    highest = F.when(F.col("_highest") >= F.col("_segment") * _WIDTH, F.col("_highest") - F.col("_segment") * _WIDTH)
-    forward = index >= F.coalesce(highest, floor)
-    taken = (F.coalesce(F.col("_ended"), F.lit(0)) == 0) & (index.isNull() | forward)
-    return ranked.where(taken).drop("_segment", "_ended", "_highest")
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    in_order = events.repartitionByRange(n, "scan_id", *order).sortWithinPartitions("scan_id", *order)
+    marked = cut_lineage(in_order.mapInArrow(_mark, f"{fields}, {_MARKS}"))
+    ends = marked.where(F.col("_ends").isNotNull()).select("_part", "_ends").collect()
+    entries = events.sparkSession.createDataFrame(_entries(ends), "_part int, state int, sent boolean, status string, progress int")
+    entry = F.broadcast(entries.select("_part", F.struct("state", "sent", "status", "progress").alias("_entry")))  # one row a task
+    bit = lambda c: F.col(c).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("_entry.state"))) != 0
+    progress = F.col("progress").cast("int") if "progress" in events.columns else F.lit(None).cast("int")
+    differs = ~F.col("_entry.sent") | ~F.col("_entry.status").eqNullSafe(F.col("status")) | ~F.col("_entry.progress").eqNullSafe(progress)
+    changed = F.when(bit("_opens"), differs).otherwise(bit("_changes"))
+    return marked.join(entry, "_part").where(bit("_taken")).select(*events.columns, changed.alias("_changed"))
 
 
 def accepted_events(events: DataFrame, order: list | None = None) -> DataFrame:
-    return drop_stamps(_accept(events, order or ["seq"]))
+    return _accept(events, order or ["seq"]).drop("_changed")
 
 
 def final_states(accepted: DataFrame, order: list | None = None) -> DataFrame:
@@ -70,11 +167,7 @@ def final_states(accepted: DataFrame, order: list | None = None) -> DataFrame:
 
 def change_feed(events: DataFrame, order: list | None = None) -> DataFrame:
     """Accepted events whose percent or status differs from the one sent before."""
-    spread = _accept(events, order or ["seq"])
-    fed = previous(spread, ["scan_id"], "_sent", F.struct("status", "progress"))
-    changed = F.col("_sent").isNull() | ~F.col("_sent.status").eqNullSafe(F.col("status")) | ~F.col(
-        "_sent.progress").eqNullSafe(F.col("progress"))
-    return drop_stamps(fed.where(changed)).drop("_sent")
+    return _accept(events, order or ["seq"]).where("_changed").drop("_changed")
 
 
 # ------------------------------------------------------------------ stateless projections

@@ -1,8 +1,10 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
+from scanloom import fixed_values as fv
 from scanloom.functions import text
 from scanloom.operators import chunking, dependencies, findings, inventory, ordered, packing, progress, review, rules, scoring
 from scanloom.streaming import states
@@ -244,6 +246,79 @@ def test_states_equal_fold(spark):
     assert got == sorted(want)
 
 
+def _fed(events):
+    """(accepted, sent) places of one scan's (seq, status, progress) events."""
+    status, last, kept, sent = "QUEUED", None, [], []
+    for seq, new, percent in events:
+        if states.accepts(status, new):
+            status = new
+            kept.append(seq)
+            if last != (new, percent):
+                sent.append(seq)
+            last = (new, percent)
+    return kept, sent
+
+
+def _events(rng, n, scans, hot):
+    names = [*fv.PIPELINE_STATES, "FAILED", "CANCELLED", "PAUSED", "RESUMED", None]
+    mild = [*fv.PIPELINE_STATES[:-1], "PAUSED", "RESUMED", None]
+    return [(i, "hot" if rng.random() < hot else f"s{rng.randrange(scans)}", rng.choice(names if rng.random() < 0.02 else mild[:1 + rng.randrange(len(mild))]), rng.choice([0, 50, None]))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "scans", "hot"), [(0, 1, 0), (1, 1, 0), (400, 1, 0), (900, 4, 0.5), (900, 300, 0.1), (900, 2, 0.95)])
+def test_change_feed_equals_fold_over_many_parts(spark, n, scans, hot):
+    """A hot scan goes through many parts; every part is entered in whatever state the ones before left."""
+    rows = _events(random.Random(n + scans), n, scans, hot)
+    df = spark.createDataFrame(rows, "seq bigint, scan_id string, status string, progress int").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        kept = sorted(r.seq for r in progress.accepted_events(df).collect())
+        sent = sorted(r.seq for r in progress.change_feed(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = [_fed([(q, st, p) for q, s, st, p in rows if s == scan]) for scan in {r[1] for r in rows}]
+    assert kept == sorted(q for w in want for q in w[0]) and sent == sorted(q for w in want for q in w[1])
+
+
+def test_parts_compose_like_the_whole():
+    """Cutting events anywhere and carrying one composition a part gives the same marks as one part."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from unittest import mock
+
+    rng = random.Random(3)
+    for _ in range(40):
+        rows = sorted(_events(rng, 60, 3, 0.6), key=lambda r: (r[1], r[0]))
+        cuts = sorted({0, 60, *(rng.randrange(60) for _ in range(rng.randrange(6)))})
+        ends, marks = [], []
+        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            batches = [pa.RecordBatch.from_pylist([dict(zip(("seq", "scan_id", "status", "progress"), r)) for r in rows[i:min(hi, i + 7)]], pa.schema(
+                [("seq", pa.int64()), ("scan_id", pa.string()), ("status", pa.string()), ("progress", pa.int32())])) for i in range(lo, hi, 7)]
+            with mock.patch.object(TaskContext, "get", lambda part=part: mock.Mock(partitionId=lambda: part)):
+                out = [r for b in progress._mark(iter(batches)) for r in b.to_pylist()]
+            marks += out
+            ends += [r for r in out if r["_ends"]]
+        entered = {e[0]: e for e in progress._entries(ends)}
+        kept, sent = [], []
+        for r in marks:
+            _, state, was, status, percent = entered[r["_part"]]
+            if r["_taken"] >> state & 1:
+                kept.append(r["seq"])
+                if (not was or (status, percent) != (r["status"], r["progress"])) if r["_opens"] >> state & 1 else r["_changes"] >> state & 1:
+                    sent.append(r["seq"])
+        want = [_fed([(q, st, p) for q, s, st, p in rows if s == scan]) for scan in {r[1] for r in rows}]
+        assert sorted(kept) == sorted(q for w in want for q in w[0]) and sorted(sent) == sorted(q for w in want for q in w[1])
+
+
+def test_change_feed_plan(spark):
+    """Events are exchanged once and read by the range sampling and the marking only."""
+    df = spark.createDataFrame(_events(random.Random(1), 50, 3, 0.3), "seq bigint, scan_id string, status string, progress int")
+    plan = progress.change_feed(df)._jdf.queryExecution().executedPlan().toString()
+    assert " Exchange " not in plan and plan.count("Scan parquet") == 1 and "BroadcastHashJoin" in plan
+
+
 def test_expired_states(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", None), ("c", 1000.0), ("d", 999999.0)], "scan_id string, finished_at double")
     assert sorted(r[0] for r in progress.unexpired_states(df, F.lit(1000000.0)).select("scan_id").collect()) == ["a", "b", "d"]
