@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
-from scanloom.operators.ordered import POS, spread_in_order
 from scanloom.session import cut_lineage
 
 
@@ -57,30 +55,25 @@ def _rank(col: Column, table: dict[str, int]) -> Column:
     return text.lookup(col, table, 0)
 
 
-def _weights() -> dict[str, Column]:
+def _weights(row: str = "") -> dict[str, Column]:
+    """Of each field how much its value counts; of the rows in struct column ``row``, if named."""
+    at = lambda c: F.col(f"{row}.{c}" if row else c)
     return {
-        "explanation": F.coalesce(F.length("explanation"), F.lit(0)),
-        "fix_suggestion": F.coalesce(F.length("fix_suggestion"), F.lit(0)),
-        "severity": _rank(F.col("severity"), fv.SEVERITY_RANK),
-        "confidence": _rank(F.col("confidence"), fv.CONFIDENCE_RANK),
+        "explanation": F.coalesce(F.length(at("explanation")), F.lit(0)),
+        "fix_suggestion": F.coalesce(F.length(at("fix_suggestion")), F.lit(0)),
+        "severity": _rank(at("severity"), fv.SEVERITY_RANK),
+        "confidence": _rank(at("confidence"), fv.CONFIDENCE_RANK),
     }
 
 
-_STEP = 10 ** 19  # larger than any position
-_HEAVIEST = 2 ** 31
+def _candidates() -> dict[str, Column]:
+    """Of each field a struct that is smallest for the heaviest row and, among equals, for the earliest one."""
+    return {f: F.struct((-w).cast("int").alias("weight"), F.col("_at").alias("at"), F.col(f).alias("value")) for f, w in _weights().items()}
 
 
-def _place(weight: Column) -> Column:
-    """Number that is smallest for the heaviest row and, among equals, for the earliest one.
-
-    A number (not a struct) keeps the aggregations hash-based.
-    """
-    inverse = (F.lit(_HEAVIEST).cast("decimal(10,0)") - weight.cast("decimal(10,0)")).cast("decimal(12,0)")
-    return (inverse * F.lit(Decimal(_STEP)) + F.col(POS).cast("decimal(20,0)")).cast("decimal(38,0)")
-
-
-def _best_of(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.min(f"_b_{f}").alias(f"_b_{f}") for f in _BEST], *extra)
+def _key(c: str) -> Column:
+    """A text that is never NULL, and equal where the values are."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:
@@ -90,39 +83,41 @@ def deduplicate(findings: DataFrame) -> DataFrame:
     severity and confidence of its copies. A repeated row without a line merges into
     the first surviving row of the same file and title, whatever line that has.
 
-    Rows are stamped with their place in the order of ``finding_seq`` once. The rest is
-    map-side combined hash aggregation over narrow rows and joins on keys that are
-    unique on both sides, so a key with very many copies is reduced before any shuffle.
+    Nothing is sorted globally. Copies of a line are one aggregation whose partial rows carry the survivor and the
+    best field values themselves. Of rows without a line at most the two best candidates of each field leave a map
+    task: the first row of a key is no copy of itself, so the best of its copies is one of two. What is left has few
+    rows a file and title; there the earliest survivor is elected and takes the copies' best values.
     """
     columns = findings.columns
-    rows = spread_in_order(findings, ["scan_id"], ["finding_seq"])
-    slim = rows.select("scan_id", "file_path", "title", "category", "line_number", POS,
-                       *[_place(w).alias(f"_b_{f}") for f, w in _weights().items()])
-    bests = [f"_b_{f}" for f in _BEST]
-    lined, unlined = slim.where(F.col("line_number").isNotNull()), slim.where(F.col("line_number").isNull())
-    place = ["scan_id", "file_path", "title"]
-
-    # The first row of a key survives.
-    lined_keys = _best_of(lined, ["scan_id", "file_path", "line_number", "category"], F.min(POS).alias("target"))
-    null_firsts = unlined.groupBy(*place).agg(F.min(POS).alias(POS))
-    firsts = lined_keys.select(F.col("target").alias(POS)).unionByName(null_firsts.select(POS))
-
-    # Later rows without a line look for the earliest survivor of their file and title.
-    earliest = slim.join(firsts, POS, "left_semi").groupBy(*place).agg(F.min(POS).alias("target"))
-    repeats = _best_of(unlined.join(null_firsts.select(POS), POS, "left_anti"), place)
-    moved = repeats.join(earliest, place).select("target", *bests)
-    own = unlined.join(null_firsts.select(POS), POS, "left_semi").select(F.col(POS).alias("target"), *bests)
-
-    merged = _best_of(lined_keys.select("target", *bests).unionByName(own).unionByName(moved), ["target"])
-    # Only fields whose best row is another one have to be fetched.
-    source = lambda f: (F.col(f"_b_{f}") % F.lit(Decimal(_STEP))).cast("bigint")
-    wanted = merged.select("target", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), source(f).alias(POS)) for f in _BEST])).alias("_w")).select("target", "_w.*").where(
-        F.col("target") != F.col(POS))
-    fetched = wanted.join(rows.select(POS, *_BEST), POS).groupBy(F.col("target").alias(POS)).agg(
-        *[F.max(F.when(F.col("field") == f, F.col(f))).alias(f"_m_{f}") for f in _BEST])
-    out = rows.join(merged.select(F.col("target").alias(POS)), POS, "left_semi").join(fetched, POS, "left")
-    return out.select(*[F.coalesce(f"_m_{c}", c).alias(c) if c in _BEST else F.col(c) for c in columns])
+    stored = cut_lineage(findings.withColumn("_row", F.monotonically_increasing_id()))  # rows with equal numbers keep one order
+    rows = stored.select(F.struct("finding_seq", "_row").alias("_at"), F.struct(*columns).alias("_first"), _key("scan_id").alias("_s"), _key("file_path").alias("_f"),
+                         _key("title").alias("_t"), "line_number", "category", *_BEST)
+    place = ["_s", "_f", "_t"]
+
+    lined = rows.where(F.col("line_number").isNotNull()).groupBy("_s", "_f", "line_number", "category").agg(
+        F.min(F.struct("_at", "_first", "_t")).alias("_e"), *[F.min(c).alias(f"_b_{f}") for f, c in _candidates().items()])
+    lined = lined.select("_s", "_f", "_e._t", "_e._at", "_e._first", *[f"_b_{f}" for f in _BEST], *[F.lit(None).cast(lined.schema[f"_b_{f}"].dataType).alias(f"_r_{f}") for f in _BEST])
+
+    # Rows without a line: one narrow row a field, and one with the whole row for the place of the first.
+    option = lambda field, weight, value, row: F.struct(F.lit(field).alias("field"), weight.cast("int").alias("weight"), value.alias("value"), row.alias("row"))
+    no_row = F.lit(None).cast(rows.schema["_first"].dataType)
+    options = F.array(option("", F.lit(0), F.lit(None).cast("string"), F.col("_first")), *[option(f, -w, F.col(f), no_row) for f, w in _weights().items()])
+    unlined = rows.where(F.col("line_number").isNull()).select(*place, "_at", F.inline(options))
+    best = Window.partitionBy(*place, "field").orderBy("weight", "_at")
+    two = unlined.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 2)
+    candidate = F.struct("weight", F.col("_at").alias("at"), "value")
+    pair = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, candidate)))
+    few = two.groupBy(*place).agg(
+        F.min(F.when((F.col("field") == "") & (F.col("_n") == 1), F.struct("_at", "row"))).alias("_e"), *[pair(f).alias(f"_p_{f}") for f in _BEST])
+    first_of = lambda f: F.struct((-_weights("_e.row")[f]).cast("int").alias("weight"), F.col("_e._at").alias("at"), F.col(f"_e.row.{f}").alias("value"))
+    copies_of = lambda f: F.get(F.filter(f"_p_{f}", lambda c: c["at"] != F.col("_e._at")), F.lit(0))
+    single = few.select(*place, "_e._at", F.col("_e.row").alias("_first"), *[first_of(f).alias(f"_b_{f}") for f in _BEST], *[copies_of(f).alias(f"_r_{f}") for f in _BEST])
+
+    there = Window.partitionBy(*place)
+    elected = lined.unionByName(single).select(
+        "_first", *[f"_b_{f}" for f in _BEST], (F.col("_at") == F.min("_at").over(there)).alias("_earliest"), *[F.min(f"_r_{f}").over(there).alias(f"_r_{f}") for f in _BEST])
+    taken = lambda f: F.when(F.col("_earliest"), F.least(f"_b_{f}", f"_r_{f}")).otherwise(F.col(f"_b_{f}"))["value"]
+    return elected.select(*[taken(c).alias(c) if c in _BEST else F.col("_first")[c].alias(c) for c in columns])
 
 
 # ------------------------------------------------------------------ test data

@@ -24,6 +24,8 @@ STATE_EVENTS = (
     "seq bigint, scan_id string, status string, progress int, stage string, message string, error string, "
     "report_path string"
 )
+#: Events may also carry a time (microseconds) and say whose scan it is.
+TIMED_EVENTS = f"{STATE_EVENTS}, ts bigint, repository_name string, repository_url string"
 SCAN_STATE = (
     "scan_id string, status string, progress int, stage string, started_at double, finished_at double, "
     "error string, report_path string, repository_name string, repository_url string, message string"

@@ -1,4 +1,4 @@
-"""Scan states as a stream: events in, accepted changes out, state per scan.
+"""Scan states as a stream: events in, accepted changes out, state per scan, and a compacted table of states.
 
 Events of one scan are folded in ``seq`` order inside a micro-batch; across batches the
 arrival order counts. Bound the batch with ``maxFilesPerTrigger`` (or the source's own
@@ -7,22 +7,27 @@ limit) so that one very busy scan stays small within a batch.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scanloom import fixed_values as fv, schemas
 
-STATE = "status string, progress int, sent_status string, sent_progress int, error string, report_path string"
+STATE = (
+    "status string, progress int, sent_status string, sent_progress int, error string, report_path string, "
+    "started_at bigint, finished_at bigint, repository_name string, repository_url string"
+)
 CHANGES = (
     "scan_id string, seq bigint, status string, progress int, stage string, message string, error string, "
-    "report_path string, changed boolean"
+    "report_path string, started_at bigint, finished_at bigint, repository_name string, repository_url string, changed boolean"
 )
+_FIELDS = [f.split()[0] for f in CHANGES.split(", ")]
 _ORDER = {s: i for i, s in enumerate(fv.PIPELINE_STATES)}
-_INITIAL = ("QUEUED", 0, None, None, None, "")
+_INITIAL = ("QUEUED", 0, None, None, None, "", None, None, None, None)
 _TTL_MS = fv.STATE_MAX_AGE_HOURS * 3600 * 1000
 
 
@@ -33,45 +38,93 @@ def accepts(current: str, status: str | None) -> bool:
     return not (current in _ORDER and status in _ORDER and _ORDER[status] < _ORDER[current])
 
 
-def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
-    """Fold one scan's new events into its state."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    status, progress, sent_status, sent_progress, error, report_path = state.get if state.exists else _INITIAL
-    rows = []
-    for event in pd.concat(list(batches)).sort_values("seq").itertuples():
-        if not accepts(status, event.status):
-            continue
-        status, progress = event.status, progress if pd.isna(event.progress) else int(event.progress)
-        error, report_path = event.error or error, event.report_path or report_path
-        changed = (status, progress) != (sent_status, sent_progress)
-        sent_status, sent_progress = status, progress
-        rows.append((key[0], event.seq, status, progress, event.stage, event.message, error, report_path, changed))
-    state.update((status, progress, sent_status, sent_progress, error, report_path))
-    if expire and status in fv.TERMINAL_STATES:
-        state.setTimeoutDuration(_TTL_MS)  # finished scans are forgotten after 72 hours
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in CHANGES.split(", ")])
-
-
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    return spark.readStream.schema(schemas.STATE_EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-def accepted_stream(events: DataFrame, expire: bool = True) -> DataFrame:
-    """Accepted events with the state they lead to; ``changed`` marks the change feed.
+def _plain(value: Any, kind: type = str) -> Any:
+    """A value of a pandas row as plain Python; missing ones are None."""
+    return None if value is None or value != value else kind(value)
 
-    With ``expire`` the query wakes up for time-outs and so never ends by itself; a
-    bounded replay (``availableNow``) sets it to False.
+
+class ScanStates(StatefulProcessor):
+    """Folds a scan's events into one value. A finished scan is forgotten ``ttl_ms`` after its ``finished_at``.
+
+    The timer is set once, when the scan finishes (or is taken over finished from a table of states): events that come
+    later are refused and prolong nothing. Times are in microseconds; events without ``ts`` count from their arrival.
     """
-    typed = events.select("seq", "scan_id", "status", "progress", "stage", "message", "error", "report_path")
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
 
-    def step(key, batches, state):
-        yield from advance(key, batches, state, expire)
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", STATE)
+
+    def _finish(self, status: str | None, finished_at: int | None) -> None:
+        if self.ttl_ms is not None and status in fv.TERMINAL_STATES:
+            self.handle.registerTimer((int(time.time() * 1000) if finished_at is None else finished_at // 1000) + self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:
+        row = next(initialState.itertuples())
+        status, progress, finished = _plain(row.status), _plain(row.progress, int), _plain(row.finished_at, int)
+        self.state.update((status, progress, status, progress, _plain(row.error), _plain(row.report_path) or "", _plain(row.started_at, int), finished,
+                           _plain(row.repository_name), _plain(row.repository_url)))
+        self._finish(status, finished)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else _INITIAL
+        status, progress, sent_status, sent_progress, error, report_path, started, finished, name, url = held
+        out = []
+        for event in pd.concat(list(rows)).sort_values("seq").itertuples():
+            new, at = _plain(event.status), _plain(event.ts, int)
+            if not accepts(status, new):
+                continue
+            status, progress = new, progress if _plain(event.progress) is None else int(event.progress)
+            error, report_path = _plain(event.error) or error, _plain(event.report_path) or report_path
+            name, url = name or _plain(event.repository_name), url or _plain(event.repository_url)
+            started = at if started is None else started if at is None else min(started, at)
+            if status in fv.TERMINAL_STATES:
+                finished = at
+                self._finish(status, finished)
+            changed = (status, progress) != (sent_status, sent_progress)
+            sent_status, sent_progress = status, progress
+            out.append((key[0], int(event.seq), status, progress, _plain(event.stage), _plain(event.message), error, report_path, started, finished, name, url, changed))
+        if out:
+            self.state.update((status, progress, sent_status, sent_progress, error, report_path, started, finished, name, url))
+            frame = pd.DataFrame(out, columns=_FIELDS)
+            yield frame.astype({"progress": "Int32", "started_at": "Int64", "finished_at": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 64, schema: str = schemas.STATE_EVENTS) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def accepted_stream(events: DataFrame, expire: bool = True, initial: DataFrame | None = None) -> DataFrame:
+    """Accepted events with the state they lead to; ``changed`` marks the change feed.
 
-    return typed.groupBy("scan_id").applyInPandasWithState(step, CHANGES, STATE, "append", timeout)
+    ``initial`` is a table of states (one row a scan, as ``latest_states`` or ``recover_states`` gives it) that a new
+    stream goes on from. With ``expire`` the query wakes up for time-outs and so never ends by itself; a
+    bounded replay (``availableNow``) sets it to False.
+    """
+    spark = events.sparkSession
+    if spark.conf.get(_STORE, "") != _ROCKS:
+        spark.conf.set(_STORE, _ROCKS)  # this kind of state needs it
+    late = {"ts": "bigint", "repository_name": "string", "repository_url": "string"}
+    typed = events.select("seq", "scan_id", "status", "progress", "stage", "message", "error", "report_path",
+                          *[(F.col(c).cast(k) if c in events.columns else F.lit(None).cast(k)).alias(c) for c, k in late.items()])
+    begin = None
+    if initial is not None:
+        begin = initial.select("scan_id", "status", F.col("progress").cast("int").alias("progress"), "error", "report_path",
+                               *[F.col(c).cast("bigint").alias(c) for c in ("started_at", "finished_at")], "repository_name", "repository_url").groupBy("scan_id")
+    return typed.groupBy("scan_id").transformWithStateInPandas(
+        ScanStates(_TTL_MS if expire else None), CHANGES, "append", "processingTime" if expire else "none", initialState=begin)
 
 
 def change_stream(events: DataFrame, expire: bool = True) -> DataFrame:
@@ -79,16 +132,64 @@ def change_stream(events: DataFrame, expire: bool = True) -> DataFrame:
     return accepted_stream(events, expire).where("changed").drop("changed")
 
 
-def upsert_sink(path: str):
-    """``foreachBatch`` writer of the state log. A replayed batch overwrites its own folder."""
+# ------------------------------------------------------------------ table of states: a snapshot and the batches after it
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the complete folders ``name=<number>`` in ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder)]
+    done = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix(f"{name}=")) for n in done if n.startswith(f"{name}="))
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _merged(spark: SparkSession, path: str, base: int | None, upto: int | None) -> DataFrame:
+    """Newest row of each scan: snapshot ``base`` (None: none), then the batches after it up to ``upto`` (None: all)."""
+    batches = [b for b in _numbers(spark, f"{path}/delta", "batch") if (base is None or b > base) and (upto is None or b <= upto)]
+    folders = [f"{path}/delta/batch={b}" for b in batches] + ([] if base is None else [f"{path}/snapshot/upto={base}"])
+    if not folders:
+        return spark.createDataFrame([], _STATES)
+    rows = spark.read.schema(_STATES).parquet(*folders)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "scan_id"]), F.struct("batch", "seq"))
+    return rows.groupBy("scan_id").agg(newest.alias("_s")).select("scan_id", "_s.*")
+
+
+_STATES = CHANGES.removesuffix(", changed boolean") + ", batch bigint"
+
+
+def upsert_sink(path: str, compact_every: int = 16):
+    """``foreachBatch`` writer: each batch leaves the newest state of its scans; every so many batches become a snapshot.
+
+    Folders are named by batch, so a replayed batch writes its own folder (and its own snapshot, from what stood before
+    it) again. A snapshot counts once it is complete. What it replaces goes one snapshot later: a reader that began
+    before, or a replay, still finds it. At most two snapshots and the batches since the older one are kept.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("scan_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "scan_id"]), "seq").alias("s"))
-        last.select("scan_id", "s.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        newest = F.max_by(F.struct(*[c for c in batch.columns if c not in ("scan_id", "changed")]), "seq")
+        last = batch.groupBy("scan_id").agg(newest.alias("_s")).select("scan_id", "_s.*", F.lit(batch_id).cast("bigint").alias("batch"))
+        last.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        older = [n for n in _numbers(spark, f"{path}/snapshot", "upto") if n < batch_id]
+        base = older[-1] if older else None
+        _merged(spark, path, base, batch_id).write.mode("overwrite").parquet(f"{path}/snapshot/upto={batch_id}")
+        if base is not None:
+            for n in older[:-1]:
+                _drop(spark, f"{path}/snapshot/upto={n}")
+            for n in _numbers(spark, f"{path}/delta", "batch"):
+                if n <= base:
+                    _drop(spark, f"{path}/delta/batch={n}")
     return write
 
 
 def latest_states(spark: SparkSession, path: str) -> DataFrame:
-    """One row per scan from the state log: the newest batch wins."""
-    log = spark.read.parquet(path)
-    cols = [c for c in log.columns if c not in ("scan_id", "batch")]
-    return log.groupBy("scan_id").agg(F.max_by(F.struct(*cols), "batch").alias("s")).select("scan_id", "s.*")
+    """One row per scan: the newest snapshot and the batches after it."""
+    snapshots = _numbers(spark, f"{path}/snapshot", "upto")
+    return _merged(spark, path, snapshots[-1] if snapshots else None, None).drop("batch")

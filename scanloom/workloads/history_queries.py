@@ -187,16 +187,74 @@ def r2_streamed_changes(spark, folder):
     return _streamed(spark, folder, "changes").select("seq", "scan_id", "status", "progress")
 
 
-@query("k8_state_upsert", _FINAL + " SELECT scan_id, status, progress, error, report_path FROM final", ("state_events",))
-def k8_state_upsert(spark, folder):
-    """States upserted batch by batch from the stream equal the final states."""
-    source, sink = scratch(spark, "events"), scratch(spark, "states")
-    events = ad.state_events(spark, folder).select(*[F.col(c.split()[0]) for c in schemas.STATE_EVENTS.split(", ")])
-    events.repartitionByRange(2, "seq").write.parquet(source)
-    started = live.accepted_stream(live.read_events(spark, source), expire=False).writeStream.foreachBatch(live.upsert_sink(sink)).option(
-        "checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+_NAMED = """named AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'repo-' || scan_id || '-' || (seq % 7) END AS repository_name, CASE WHEN seq % 5 = 0 THEN 'https://example.org/' || seq END AS repository_url
+  FROM accepted), names AS (SELECT scan_id, arg_min(repository_name, seq) FILTER (repository_name IS NOT NULL) AS repository_name,
+  arg_min(repository_url, seq) FILTER (repository_url IS NOT NULL) AS repository_url FROM named GROUP BY 1)"""
+
+
+def _timed(spark, folder) -> DataFrame:
+    """Events with times; some say whose scan it is."""
+    seq = F.col("seq")
+    named = ad.state_events(spark, folder).withColumns({
+        "repository_name": F.when(seq % 3 == 0, F.concat(F.lit("repo-"), "scan_id", F.lit("-"), (seq % 7).cast("string"))),
+        "repository_url": F.when(seq % 5 == 0, F.concat(F.lit("https://example.org/"), seq.cast("string")))})
+    return named.select(*[F.col(c.split()[0]) for c in schemas.TIMED_EVENTS.split(", ")])
+
+
+def _upserted(spark, events: DataFrame, sink: str, batches: int, compact_every: int = 2, initial: DataFrame | None = None, each=None) -> None:
+    """Events in as many micro-batches, states upserted batch by batch."""
+    source, files = scratch(spark, "events"), 4
+    cuts = events.stat.approxQuantile("seq", [n / batches for n in range(1, batches)], 0.001) if batches > 1 else []
+    for low, high in zip([None, *cuts], [*cuts, None]):  # written one after another, so they arrive in this order
+        inside = (F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high)
+        events.where(inside).repartition(files).write.mode("append").parquet(source)
+    write = live.upsert_sink(sink, compact_every)
+    rows = live.accepted_stream(live.read_events(spark, source, files, schemas.TIMED_EVENTS), expire=False, initial=initial)
+    started = rows.writeStream.foreachBatch(each(write) if each else write).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     started.awaitTermination()
-    return live.latest_states(spark, sink).select("scan_id", "status", "progress", "error", "report_path")
+    done = [p["batchId"] for p in started.recentProgress if p["numInputRows"]]
+    if len(done) < batches:
+        raise RuntimeError(f"{len(done)} micro-batches instead of {batches}")
+
+
+def _replaying(write):
+    """Every third batch is written twice, as after a lost commit."""
+    def both(batch, batch_id):
+        write(batch, batch_id)
+        if batch_id % 3 == 1:
+            write(batch, batch_id)
+    return both
+
+
+@query("k8_state_upsert", _FINAL + ", " + _NAMED + """ SELECT scan_id, status, progress, error, report_path, started_at, finished_at, repository_name, repository_url
+  FROM final JOIN names USING (scan_id)""", ("state_events",))
+def k8_state_upsert(spark, folder):
+    """States upserted over five micro-batches, with replays and compactions between, equal the final states."""
+    sink = scratch(spark, "states")
+    _upserted(spark, _timed(spark, folder), sink, 5, each=_replaying)
+    return live.latest_states(spark, sink).select(
+        "scan_id", "status", "progress", "error", "report_path", "started_at", "finished_at", "repository_name", "repository_url")
+
+
+@query("r6_restart_stream", f"""state_half AS (SELECT * FROM state_events WHERE seq < (SELECT max(seq) // 2 FROM state_events)),
+""" + _ACCEPTED.replace("FROM state_events", "FROM state_half").replace("accepted AS", "early AS").replace("marked", "e0").replace("m1", "e1").replace("m2", "e2") + """,
+before AS (SELECT scan_id, arg_max(status, seq) AS status, max(ts) FILTER (term) AS finished_at, min(ts) AS started_at FROM early GROUP BY 1),
+state_rest AS (SELECT * FROM state_events WHERE seq >= (SELECT max(seq) // 2 FROM state_events) AND scan_id NOT IN (SELECT scan_id FROM before)),
+""" + _ACCEPTED.replace("FROM state_events", "FROM state_rest") + """,
+after AS (SELECT scan_id, arg_max(status, seq) AS status, max(ts) FILTER (term) AS finished_at, min(ts) AS started_at FROM accepted GROUP BY 1)
+SELECT scan_id, CASE WHEN status IN ('COMPLETED', 'FAILED', 'CANCELLED') THEN status ELSE 'FAILED' END AS status, coalesce(finished_at, 99) AS finished_at, started_at, true AS known FROM before
+UNION ALL SELECT scan_id, status, finished_at, started_at, false AS known FROM after""", ("state_events",))
+def r6_restart_stream(spark, folder):
+    """The stream ends half way; a new one goes on from the stored states, where unfinished scans have failed."""
+    events = _timed(spark, folder)
+    half = events.agg(F.floor(F.max("seq") / 2).alias("h")).scalar()
+    first, second = scratch(spark, "states"), scratch(spark, "states")
+    _upserted(spark, events.where(F.col("seq") < half), first, 2)
+    recovered = cut_lineage(progress.recover_states(live.latest_states(spark, first), F.lit(99).cast("bigint")))
+    _upserted(spark, events.where(F.col("seq") >= half), second, 2, initial=recovered)
+    kept = ("scan_id", "status", "finished_at", "started_at")
+    known, new = recovered.select(*kept, F.lit(True).alias("known")), live.latest_states(spark, second).select(*kept, F.lit(False).alias("known"))
+    return known.unionByName(new)
 
 
 @query("r3_state_expiry", _FINAL + """ SELECT scan_id FROM final WHERE NOT coalesce(finished_at, 0) / 1e6 <> 0

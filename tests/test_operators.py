@@ -201,6 +201,21 @@ def test_dedupe_equals_sequential_model(spark):
     assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
 
 
+def test_dedupe_of_missing_keys_and_hot_groups(spark):
+    """NULL files, titles and categories are keys of their own; a hot group without lines whose first row is the best one."""
+    rng = random.Random(5)
+    fields = ("finding_seq", "file_path", "line_number", "category", "title", "severity", "confidence", "explanation", "fix_suggestion")
+    rows = [dict(zip(fields, (i, rng.choice(["f", None]), rng.choice([None, None, 1]), rng.choice(["c", None]), rng.choice(["t", None, "n"]),
+                              rng.choice(["HIGH", "LOW"]), "LOW", "e" * rng.randrange(4) + str(i % 10), "f"))) for i in range(1, 200)]
+    rows += [dict(zip(fields, (i, "hot", 7 if i == 1000 else None, "c", "t", "LOW", "LOW", "x" * (500 - i % 100 if i > 1001 else 900) + str(i % 10), "f"))) for i in range(1000, 3000)]
+    df = spark.createDataFrame([("s", *[r[f] for f in fields]) for r in rows], "scan_id string, finding_seq int, file_path string, line_number int, category string, title string, "
+                               "severity string, confidence string, explanation string, fix_suggestion string").repartition(7)
+    got = sorted(map(str, (tuple(r) for r in findings.deduplicate(df).collect())))
+    assert got == sorted(str(("s", *[r[f] for f in fields])) for r in _merge_model(rows))
+    plan = findings.deduplicate(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4 and "WindowGroupLimit" in plan and "rangepartitioning" not in plan
+
+
 def test_score_edges(spark):
     df = spark.createDataFrame([("a", "critical", "xss")] * 6 + [("b", "odd", "nothing")], "scan_id string, severity string, category string")
     scans = spark.createDataFrame([("a",), ("b",), ("c",)], "scan_id string")

@@ -30,3 +30,61 @@ def test_finished_scans_are_forgotten(spark, tmp_path, monkeypatch):
         assert _wait(lambda: seen() == [1, 2, 3])
     finally:
         query.stop()
+
+
+def _rows(*events):
+    return [(seq, scan, status, 10, status, "m", None, None, ts, name, None) for seq, scan, status, ts, name in events]
+
+
+def test_late_events_prolong_nothing_and_old_states_are_taken_over(spark, tmp_path, monkeypatch):
+    """A scan that finished almost a time-out ago is forgotten soon, whatever comes in between; a stored one goes on."""
+    monkeypatch.setattr(states, "_TTL_MS", 60_000)
+    source, now = str(tmp_path / "in"), int(time.time() * 1e6)
+    stored = spark.createDataFrame([
+        ("old", "FAILED", 100, None, "", now - 200_000_000, now - 100_000_000, "r", "u"), ("half", "SCORING", 60, None, "x", now, None, "r2", None)],
+        "scan_id string, status string, progress int, error string, report_path string, started_at bigint, finished_at bigint, repository_name string, repository_url string")
+
+    def put(*events):
+        spark.createDataFrame(_rows(*events), schemas.TIMED_EVENTS).coalesce(1).write.mode("append").parquet(source)
+
+    put((1, "a", "CLONING", now - 60_000_000, None), (2, "a", "COMPLETED", now - 52_000_000, "n"), (3, "half", "CLONING", now, None), (4, "half", "COMPLETED", now, "other"))
+    query = states.accepted_stream(states.read_events(spark, source, schema=schemas.TIMED_EVENTS), initial=stored).writeStream.format("memory").queryName(
+        "late").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        seen = lambda: sorted(r.seq for r in spark.table("late").collect())
+        assert _wait(lambda: seen() == [1, 2, 4])  # half goes on from SCORING
+        half = [r for r in spark.table("late").collect() if r.seq == 4][0]
+        assert (half.started_at, half.finished_at, half.repository_name, half.report_path) == (now, now, "r2", "x")
+        put((5, "a", "FAILED", now, None))  # late: refused, and no new time-out
+        end, seq = time.time() + 40, 6
+        while time.time() < end and not {r.scan_id for r in spark.table("late").collect() if r.seq > 5} >= {"a", "old"}:
+            put((seq, "a", "CLONING", now, None), (seq + 1, "old", "CLONING", now, None))
+            seq += 2
+            time.sleep(2)
+        again = {r.scan_id for r in spark.table("late").collect() if r.seq > 5}
+        assert again == {"a", "old"} and 5 not in seen()
+    finally:
+        query.stop()
+
+
+def test_state_table_is_compacted_and_batches_replayed(spark, tmp_path):
+    path = str(tmp_path / "states")
+    write, want = states.upsert_sink(path, 3), {}
+    assert states.latest_states(spark, path).count() == 0
+
+    def batch(n):
+        rows = [(f"s{k}", n * 10 + k, "CLONING", n, "g", "m", None, "", n, None, "r", None, True) for k in range(n % 4, 6)]
+        rows += [(f"s{n % 4}", n * 10 + 9, "SCORING", n + 100, "g", "m", None, "", n, None, "r", None, True)]  # a later event of the same batch
+        return spark.createDataFrame(rows, states.CHANGES), rows
+
+    for n in range(11):
+        frame, rows = batch(n)
+        write(frame, n)
+        want |= {r[0]: r[3] for r in sorted(rows, key=lambda r: r[1])}
+        if n in (1, 2, 5, 7, 8):  # replayed: at a compaction, after one, between
+            write(frame, n)
+        assert {r.scan_id: r.progress for r in states.latest_states(spark, path).collect()} == want
+    assert states._numbers(spark, f"{path}/snapshot", "upto") == [5, 8] and states._numbers(spark, f"{path}/delta", "batch") == [6, 7, 8, 9, 10]
+    # A snapshot that was not completed does not count.
+    (tmp_path / "states" / "snapshot" / "upto=10").mkdir()
+    assert {r.scan_id: r.progress for r in states.latest_states(spark, path).collect()} == want
