@@ -66,7 +66,11 @@ def history_entries(scans: DataFrame, findings: DataFrame, reported: DataFrame |
     links = linked.select("scan_id", F.col("previous.scan_id").alias("previous_id"))
     if reported is not None:
         links = links.join(reported.select(F.col("scan_id").alias("previous_id")), "previous_id", "left_semi")
-    keys = cut_lineage(finding_keys(findings))
+    return entries_of(linked, cut_lineage(finding_keys(findings)), links)
+
+
+def entries_of(linked: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:
+    """History rows of the scans in ``linked`` (scans with their ``previous``) from the keys of these and the previous ones."""
     counts = keys.groupBy("scan_id").agg(F.sum("n").alias("findings_count"))
     diff = scan_diff(keys, links).groupBy("scan_id").agg(
         F.sum(F.when(F.col("change") == "fixed", F.col("n_serious")).otherwise(0)).alias("critical_fixed"),
@@ -80,12 +84,6 @@ def history_entries(scans: DataFrame, findings: DataFrame, reported: DataFrame |
         F.when(F.col("previous").isNull(), zero("findings_count")).otherwise(zero("_new")).alias("new_issues"))
 
 
-def append_entries(history: DataFrame, scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """History rows of the newest scan of each repository only (the append of one run)."""
-    entries = history_entries(scans, findings)
-    return entries.join(history.select("scan_id"), "scan_id", "left_anti")
-
-
 def timestamp_text(ts: Column, fallback: str) -> Column:
     """``yyyy-MM-dd HH:mm``, or a word for text that is no timestamp."""
     return F.coalesce(F.date_format(F.try_to_timestamp(ts.cast("string")), "yyyy-MM-dd HH:mm"), F.lit(fallback))

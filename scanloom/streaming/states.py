@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scanloom import fixed_values as fv, schemas
+from scanloom.sources.folders import complete_numbers, drop_folder
 
 STATE = (
     "status string, progress int, sent_status string, sent_progress int, error string, report_path string, "
@@ -133,25 +134,9 @@ def change_stream(events: DataFrame, expire: bool = True) -> DataFrame:
 
 
 # ------------------------------------------------------------------ table of states: a snapshot and the batches after it
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the complete folders ``name=<number>`` in ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [s.getPath() for s in files.listStatus(folder)]
-    done = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.removeprefix(f"{name}=")) for n in done if n.startswith(f"{name}="))
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def _merged(spark: SparkSession, path: str, base: int | None, upto: int | None) -> DataFrame:
     """Newest row of each scan: snapshot ``base`` (None: none), then the batches after it up to ``upto`` (None: all)."""
-    batches = [b for b in _numbers(spark, f"{path}/delta", "batch") if (base is None or b > base) and (upto is None or b <= upto)]
+    batches = [b for b in complete_numbers(spark, f"{path}/delta", "batch") if (base is None or b > base) and (upto is None or b <= upto)]
     folders = [f"{path}/delta/batch={b}" for b in batches] + ([] if base is None else [f"{path}/snapshot/upto={base}"])
     if not folders:
         return spark.createDataFrame([], _STATES)
@@ -177,19 +162,19 @@ def upsert_sink(path: str, compact_every: int = 16):
         last.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
         if (batch_id + 1) % compact_every:
             return
-        older = [n for n in _numbers(spark, f"{path}/snapshot", "upto") if n < batch_id]
+        older = [n for n in complete_numbers(spark, f"{path}/snapshot", "upto") if n < batch_id]
         base = older[-1] if older else None
         _merged(spark, path, base, batch_id).write.mode("overwrite").parquet(f"{path}/snapshot/upto={batch_id}")
         if base is not None:
             for n in older[:-1]:
-                _drop(spark, f"{path}/snapshot/upto={n}")
-            for n in _numbers(spark, f"{path}/delta", "batch"):
+                drop_folder(spark, f"{path}/snapshot/upto={n}")
+            for n in complete_numbers(spark, f"{path}/delta", "batch"):
                 if n <= base:
-                    _drop(spark, f"{path}/delta/batch={n}")
+                    drop_folder(spark, f"{path}/delta/batch={n}")
     return write
 
 
 def latest_states(spark: SparkSession, path: str) -> DataFrame:
     """One row per scan: the newest snapshot and the batches after it."""
-    snapshots = _numbers(spark, f"{path}/snapshot", "upto")
+    snapshots = complete_numbers(spark, f"{path}/snapshot", "upto")
     return _merged(spark, path, snapshots[-1] if snapshots else None, None).drop("batch")

@@ -10,7 +10,7 @@ from scanloom import fixed_values as fv, schemas
 from scanloom.functions import text
 from scanloom.session import cut_lineage, shared_folder
 from scanloom.operators import history as hist, progress
-from scanloom.sinks import reports as rep
+from scanloom.sinks import history_store, reports as rep
 from scanloom.sources import records, trees
 from scanloom.streaming import states as live
 from scanloom.workloads import adapters as ad
@@ -119,6 +119,19 @@ def k7_history_append(spark, folder):
     return records.read_history(spark, path).select(*_ENTRY)
 
 
+@query("k7_incremental_append", _ENTRIES + f" SELECT {', '.join(_ENTRY)} FROM history", ("scans", "raw_findings"))
+def k7_incremental_append(spark, folder):
+    """History grown in three appends, one of them repeated, equals the history computed at once."""
+    path = scratch(spark, "history")
+    scans, found = cut_lineage(ad.scans(spark, folder)), ad.raw_findings(spark, folder)
+    days = scans.select(F.unix_timestamp("timestamp").alias("at"))
+    low, high = days.stat.approxQuantile("at", [0.3, 0.8], 0.01)
+    day = F.unix_timestamp("timestamp")
+    for until in (low, low, high, None):
+        history_store.append_scans(path, scans if until is None else scans.where(day <= until), found)
+    return history_store.read_entries(spark, path, scans).select(*_ENTRY)
+
+
 @query("s6_history_missing", "SELECT o_orderkey::varchar AS scan_id FROM orders")
 def s6_history_missing(spark, folder):
     """A missing history is empty; the first append makes it."""

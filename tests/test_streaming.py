@@ -1,6 +1,7 @@
 import time
 
 from scanloom import schemas
+from scanloom.sources.folders import complete_numbers
 from scanloom.streaming import states
 
 
@@ -84,7 +85,7 @@ def test_state_table_is_compacted_and_batches_replayed(spark, tmp_path):
         if n in (1, 2, 5, 7, 8):  # replayed: at a compaction, after one, between
             write(frame, n)
         assert {r.scan_id: r.progress for r in states.latest_states(spark, path).collect()} == want
-    assert states._numbers(spark, f"{path}/snapshot", "upto") == [5, 8] and states._numbers(spark, f"{path}/delta", "batch") == [6, 7, 8, 9, 10]
+    assert complete_numbers(spark, f"{path}/snapshot", "upto") == [5, 8] and complete_numbers(spark, f"{path}/delta", "batch") == [6, 7, 8, 9, 10]
     # A snapshot that was not completed does not count.
     (tmp_path / "states" / "snapshot" / "upto=10").mkdir()
     assert {r.scan_id: r.progress for r in states.latest_states(spark, path).collect()} == want
