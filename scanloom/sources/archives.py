@@ -1,9 +1,20 @@
-"""ZIP uploads as a ``files`` table."""
+"""ZIP uploads as a ``files`` table.
+
+A ZIP file ends with a directory of its members, with the place and packed size of each. The directories are listed
+first; then every member is a row, rows are spread in the order of their paths, and each task reads just the bytes of its
+members and inflates them, so a large archive is read by many tasks and no task reads a whole one. What can't be read
+(a broken directory, a wrong checksum, damaged or encrypted data, an unknown packing) becomes a row with the reason.
+"""
 
 from __future__ import annotations
 
+import bz2
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scanloom.functions import text
 from scanloom.operators.ordered import spread_join
 from scanloom.session import cut_lineage
-from scanloom.sources.trees import _filesystem, file_order, not_ignored, small_enough, with_content
+from scanloom.sources.trees import TreeScan, _filesystem, _LARGE, not_ignored, read_in_order, refusal, small_enough
 
-_MEMBER = "repository_name string, absolute_path string, member string, size bigint, modified_time timestamp"
-_SLICE = 64
-#: Bytes of the record that ends every ZIP file.
-_SHORTEST = 22
+_MEMBER = ("repository_name string, absolute_path string, member string, size bigint, modified_time timestamp, "
+           "header_at bigint, packed bigint, method int, checksum bigint, reason string")
+_COLUMNS = [f.split()[0] for f in _MEMBER.split(", ")]
+#: Bytes of the record that ends every ZIP file, and of a member's own header before its name.
+_SHORTEST, _HEADER = 22, 30
+_STORED, _DEFLATED, _BZIP2 = 0, 8, 12
 
 
 def _open(location: str):
@@ -28,27 +41,6 @@ def _open(location: str):
     return zipfile.ZipFile(stream)
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            try:
-                with _open(row.path) as archive:
-                    found = [(row.repository_name, row.path, m.filename, m.file_size, _modified(m)) for m in archive.infolist() if not m.flag_bits & 1]
-            except zipfile.BadZipFile:  # reported by ``unreadable_archives``
-                continue
-            yield pd.DataFrame(found, columns=["repository_name", "absolute_path", "member", "size", "modified_time"])
-
-
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for location, rows in batch.groupby("absolute_path", sort=False):
-            with _open(location) as archive:
-                for start in range(0, len(rows), 16):
-                    part = rows.iloc[start:start + 16].copy()
-                    part["data"] = [archive.read(m) for m in part["member"]]
-                    yield part
-
-
 def _modified(member: zipfile.ZipInfo) -> pd.Timestamp:
     try:
         return pd.Timestamp(*member.date_time)
@@ -56,27 +48,80 @@ def _modified(member: zipfile.ZipInfo) -> pd.Timestamp:
         return pd.Timestamp(1980, 1, 1)
 
 
-def _unreadable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
+            bad = lambda member, reason: (row.repository_name, row.path, member, *[None] * 6, reason)
             try:
                 with _open(row.path) as archive:
-                    found = [(row.repository_name, row.path, m.filename, "encrypted member") for m in archive.infolist() if m.flag_bits & 1]
-            except zipfile.BadZipFile as error:
-                found = [(row.repository_name, row.path, None, f"not a ZIP archive: {error}")]
+                    found = [bad(m.filename, "encrypted member") if m.flag_bits & 1 else (
+                        row.repository_name, row.path, m.filename, m.file_size, _modified(m), m.header_offset, m.compress_size, m.compress_type, m.CRC, None)
+                        for m in archive.infolist()]
+            except (PermissionError, FileNotFoundError) as error:
+                found = [bad(None, refusal(error))]
+            except (zipfile.BadZipFile, NotImplementedError, ValueError, struct.error) as error:
+                found = [bad(None, f"not a ZIP archive: {error}")]
             if found:
-                yield pd.DataFrame(found, columns=["repository_name", "absolute_path", "member", "reason"])
+                yield pd.DataFrame(found, columns=_COLUMNS).astype({c: "Int64" for c in ("size", "header_at", "packed", "method", "checksum")})
+
+
+def _inflated(packed: bytes, method: int, size: int) -> bytes:
+    """At most one byte more than ``size``: an archive can't fill the memory by what it says of itself."""
+    if method == _STORED:
+        return packed
+    if method == _DEFLATED:
+        return zlib.decompressobj(-zlib.MAX_WBITS).decompress(packed, size + 1)
+    if method == _BZIP2:
+        return bz2.BZ2Decompressor().decompress(packed, size + 1)
+    raise NotImplementedError(f"unknown packing {method}")
+
+
+def _member_bytes(rows: pd.DataFrame) -> Iterator[tuple[bytes | None, str | None]]:
+    """Bytes of each member from its place in the archive, or why there are none."""
+    with ExitStack() as closing:
+        opened: dict[str, object] = {}  # of a few rows
+        for row in rows.itertuples():
+            try:
+                if row.absolute_path not in opened:
+                    system, path = _filesystem(row.absolute_path)
+                    opened[row.absolute_path] = closing.enter_context(system.open_input_file(path))
+                stream = opened[row.absolute_path]
+                header = stream.read_at(_HEADER, row.header_at)
+                if len(header) < _HEADER or header[:4] != b"PK\x03\x04":
+                    yield None, "damaged data"
+                    continue
+                begin = row.header_at + _HEADER + sum(struct.unpack("<HH", header[26:30]))  # name and extra field
+                data = _inflated(stream.read_at(row.packed, begin), row.method, row.size)
+            except (PermissionError, FileNotFoundError) as error:
+                yield None, refusal(error)
+                continue
+            except NotImplementedError as error:
+                yield None, str(error)
+                continue
+            except (zlib.error, lzma.LZMAError, ValueError, EOFError):
+                yield None, "damaged data"
+                continue
+            except OSError as error:
+                if error.errno is not None:  # of the file system, not of the packed data
+                    raise
+                yield None, "damaged data"
+                continue
+            yield (data, None) if len(data) == row.size and zlib.crc32(data) == row.checksum else (None, "wrong checksum")
+
+
+def _listing(archives: DataFrame) -> DataFrame:
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("repository_name", "path").repartition(n).mapInPandas(_members, _MEMBER)
 
 
 def unreadable_archives(archives: DataFrame) -> DataFrame:
-    """repository_name, absolute_path, member, reason: archives and members that can't be read and are left out."""
-    return archives.select("repository_name", "path").mapInPandas(_unreadable, "repository_name string, absolute_path string, member string, reason string")
+    """repository_name, absolute_path, member, reason: archives and members that the directories alone show to be unreadable."""
+    return _listing(archives).where(F.col("reason").isNotNull()).select("repository_name", "absolute_path", "member", "reason")
 
 
 def list_archives(archives: DataFrame) -> DataFrame:
     """Members of ``archives(repository_name, path)``: only the directories of the ZIP files are read."""
-    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archives.repartition(n).mapInPandas(_members, _MEMBER)
+    return _listing(archives).where(F.col("reason").isNull()).drop("reason")
 
 
 def refused_archives(members: DataFrame) -> DataFrame:
@@ -97,20 +142,27 @@ def unwrapped(members: DataFrame) -> DataFrame:
     return joined.withColumn("relative_path", path).drop("root")
 
 
-def load_archives(archives: DataFrame) -> DataFrame:
-    """``files`` of uploaded archives. An archive with an escaping member is refused as a whole."""
-    members = cut_lineage(list_archives(archives))
+def read_archives(archives: DataFrame) -> TreeScan:
+    """Files of uploaded archives, and what is left out. An archive with an escaping member is refused as a whole."""
+    listing = cut_lineage(_listing(archives))
+    members = listing.where(F.col("reason").isNull()).drop("reason")
     bad = refused_archives(members).withColumn("_bad", F.lit(True))
-    safe = spread_join(members, bad, ["repository_name"], ["member"], "left").where(F.col("_bad").isNull()).drop("_bad")
-    wanted = unwrapped(safe).where(not_ignored(F.col("relative_path")) & small_enough(F.col("size")))
-    # Slices of an archive's members are spread, so a large archive is read by many tasks.
-    sliced = wanted.repartition(
-        int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "absolute_path", F.pmod(F.xxhash64("member"), F.lit(_SLICE)))
-    raw = sliced.mapInPandas(_extract, _MEMBER + ", relative_path string, data binary")
+    checked = cut_lineage(spread_join(members, bad, ["repository_name"], ["member"], "left"))
+    named = unwrapped(checked.where(F.col("_bad").isNull()).drop("_bad")).where(not_ignored(F.col("relative_path")))
     name = text.file_name(F.col("relative_path"))
-    return file_order(with_content(raw).select(
-        "repository_name", name.alias("name"), text.suffix(name).alias("extension"), "relative_path", "absolute_path", "size",
-        "modified_time", "content", "valid_utf8"))
+    wanted = named.where(small_enough(F.col("size"))).withColumns({"name": name, "extension": text.suffix(name)})
+    files, unread, counts = read_in_order(wanted, _member_bytes)
+    narrow = ["repository_name", "absolute_path", F.col("member").alias("relative_path"), "reason"]
+    reason = lambda df, why: df.withColumn("reason", F.lit(why)).select(narrow)
+    skipped = listing.where(F.col("reason").isNotNull()).select(narrow).unionByName(unread.select(narrow)).unionByName(
+        reason(named.where(~small_enough(F.col("size"))), _LARGE)).unionByName(reason(checked.where("_bad"), "archive refused: a member would be outside its folder"))
+    columns = ["repository_name", "name", "extension", "relative_path", "absolute_path", "size", "modified_time", "content", "valid_utf8", "file_seq"]
+    return TreeScan(files.select(columns), skipped, counts)
+
+
+def load_archives(archives: DataFrame) -> DataFrame:
+    """``files`` of uploaded archives; see ``read_archives`` for what is left out."""
+    return read_archives(archives).files
 
 
 def archives_of(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

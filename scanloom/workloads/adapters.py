@@ -321,3 +321,55 @@ TABLES = {
   CASE WHEN p_partkey % 11 = 0 THEN {_NAME} || '>=' || {_VERSION} WHEN p_partkey % 7 = 0 THEN upper({_NAME}) || ' == "' || {_VERSION} || '" '
     ELSE {_NAME} || '==' || {_VERSION} END AS dependency FROM part)""",
 }
+
+
+# ------------------------------------------------------------------ documents as stored files
+def _store(location: str, data: bytes) -> None:
+    from scanloom.sources.trees import _filesystem
+
+    system, path = _filesystem(location)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(data)
+
+
+def document_tree(spark: SparkSession, folder: str, root: str) -> None:
+    """Every document as a file below ``root``, a folder for each source; some in a folder that loaders ignore."""
+    sub = F.when(F.col("doc_id") % 11 == 3, "node_modules/").otherwise("")
+    path = F.concat(F.lit("t/"), F.coalesce("source", F.lit("none")), F.lit("/"), sub, F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                _store(f"{root}/{row.path}", row.text.encode())
+            yield batch[["path"]]
+
+    read(spark, folder, "documents").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(write, "path string").count()
+
+
+#: Documents in an archive.
+ARCHIVE_DOCUMENTS = 50
+
+
+def document_archives(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Documents in ZIP files of 50, by id: plain, below one folder, with a member outside, with a wrong checksum, cut off."""
+    def write(key, rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        archive, kind, data = int(key[0]), int(key[0]) % 5, io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
+            for row in rows.sort_values("doc_id").itertuples():
+                out.writestr(("root/" if kind == 1 else "") + f"d{row.doc_id}.txt", row.text.encode())
+                if kind == 3 and row.doc_id % ARCHIVE_DOCUMENTS == 7:
+                    out.infolist()[-1].CRC ^= 1
+            if kind == 2:
+                out.writestr("../outside.txt", b"x")
+        stored = data.getvalue()
+        _store(f"{root}/z{archive}.zip", stored[:-30] if kind == 4 else stored)
+        return pd.DataFrame({"repository_name": [f"z{archive}"], "path": [f"{root}/z{archive}.zip"]})
+
+    docs = read(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / ARCHIVE_DOCUMENTS).alias("archive"))
+    return docs.groupBy("archive").applyInPandas(write, "repository_name string, path string")

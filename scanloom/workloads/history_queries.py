@@ -11,7 +11,7 @@ from scanloom.functions import text
 from scanloom.session import cut_lineage, shared_folder
 from scanloom.operators import history as hist, progress
 from scanloom.sinks import history_store, reports as rep
-from scanloom.sources import records, trees
+from scanloom.sources import archives, records, trees
 from scanloom.streaming import states as live
 from scanloom.workloads import adapters as ad
 from scanloom.workloads.registry import WORD, query
@@ -429,6 +429,50 @@ def s1_tree_scan(spark, folder):
     return lines.agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
+_TREE = """stored AS (SELECT doc_id, coalesce(text, '') AS text, 't/' || coalesce(source, 'none') || '/' || CASE WHEN doc_id % 11 = 3 THEN 'node_modules/' ELSE '' END || 'd' || doc_id || '.txt' AS path FROM documents)"""
+_TURNED = "regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')"
+
+
+@query("s1_file_contents", f"""{_TREE} SELECT path AS relative_path, strlen(text) AS size, md5({_TURNED}) AS digest, row_number() OVER (ORDER BY path) AS file_seq
+FROM stored WHERE doc_id % 11 <> 3""")
+def s1_file_contents(spark, folder):
+    """Every document a file of its own: listed, read once in the order of the listing, numbered without gaps."""
+    root = scratch(spark, "files")
+    ad.document_tree(spark, folder, root)
+    files = trees.load_trees(spark.createDataFrame([("files", root)], "repository_name string, path string"))
+    return files.select("relative_path", "size", F.md5("content").alias("digest"), "file_seq")
+
+
+@query("p4_unreadable_files", f"""{_TREE}, gone AS (SELECT path || '.gone' AS relative_path, 'not found' AS reason FROM stored WHERE doc_id % 13 = 5 AND doc_id % 11 <> 3)
+SELECT relative_path, reason, (SELECT count(*) FROM stored WHERE doc_id % 11 <> 3) AS n_read FROM gone
+UNION ALL SELECT '', 'not found', (SELECT count(*) FROM stored WHERE doc_id % 11 <> 3)""")
+def p4_unreadable_files(spark, folder):
+    """Files that were listed and are gone, and a repository that is not there; all else is read."""
+    root = scratch(spark, "files")
+    ad.document_tree(spark, folder, root)
+    repositories = spark.createDataFrame([("files", root), ("nowhere", root + "-none")], "repository_name string, path string")
+    listing = cut_lineage(trees.list_entries(repositories, ignored=False))
+    number = F.regexp_extract("name", r"^d(\d+)\.txt$", 1).try_cast("bigint")
+    gone = listing.where(number % 13 == 5).withColumns({c: F.concat(c, F.lit(".gone")) for c in ("name", "relative_path", "absolute_path")})
+    scan = trees.read_trees(repositories, listing.unionByName(gone))
+    return scan.skipped.select("relative_path", "reason", F.lit(scan.counts["read"]).cast("bigint").alias("n_read"))
+
+
+@query("s2_zip_archives", f"""stored AS (SELECT doc_id, coalesce(text, '') AS text, doc_id // {ad.ARCHIVE_DOCUMENTS} AS archive, doc_id // {ad.ARCHIVE_DOCUMENTS} % 5 AS kind FROM documents)
+SELECT 'z' || archive AS repository_name, 'd' || doc_id || '.txt' AS relative_path, md5({_TURNED}) AS found FROM stored WHERE kind IN (0, 1) OR kind = 3 AND doc_id % {ad.ARCHIVE_DOCUMENTS} <> 7
+UNION ALL SELECT 'z' || archive, 'd' || doc_id || '.txt', 'wrong checksum' FROM stored WHERE kind = 3 AND doc_id % {ad.ARCHIVE_DOCUMENTS} = 7
+UNION ALL SELECT DISTINCT 'z' || archive, NULL, 'not a ZIP archive' FROM stored WHERE kind = 4
+UNION ALL SELECT 'z' || archive, 'd' || doc_id || '.txt', 'archive refused' FROM stored WHERE kind = 2
+UNION ALL SELECT DISTINCT 'z' || archive, '../outside.txt', 'archive refused' FROM stored WHERE kind = 2""")
+def s2_zip_archives(spark, folder):
+    """ZIP files of the documents read back member by member; what can't be read has its reason."""
+    made = cut_lineage(ad.document_archives(spark, folder, scratch(spark, "zips")))
+    scan = archives.read_archives(made)
+    files = scan.files.select("repository_name", "relative_path", F.md5("content").alias("found"))
+    skipped = scan.skipped.select("repository_name", "relative_path", F.substring_index("reason", ":", 1).alias("found"))
+    return files.unionByName(skipped)
+
+
 @query("s5_report_roundtrip", """SELECT scan_id, count(*) AS n, sum(length(explanation))::bigint AS chars FROM raw_findings GROUP BY 1""", ("raw_findings",))
 def s5_report_roundtrip(spark, folder):
     """JSON reports written and read back."""

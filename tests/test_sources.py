@@ -99,3 +99,89 @@ def test_export_documents(spark, tmp_path):
     rep.export(heads, found, "patch_diff", str(tmp_path / "patch"))
     with pytest.raises(ValueError):
         rep.export(heads, found, "docx", str(tmp_path / "x"))
+
+
+def test_skipped_paths_have_reasons(spark, tree, monkeypatch):
+    repositories = trees.repositories_of(spark, {"r": str(tree), "none": str(tree) + "-none"})
+    scan = trees.read_trees(repositories)
+    got = sorted((r.repository_name, r.relative_path, r.reason) for r in scan.skipped.collect())
+    assert got == [("none", "", "not found"), ("r", "binary.bin", "binary"), ("r", "large.txt", "larger than the limit")]
+    assert scan.counts == {"read": 10, "skipped": 1}
+    plan = scan.files._jdf.queryExecution().executedPlan().toString()
+    assert " Exchange " not in plan and "Sort" not in plan  # contents go nowhere
+    real = trees._filesystem
+
+    class Failing:
+        def __init__(self, system, error):
+            self.system, self.error = system, error
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def open_input_stream(self, path):
+            if path.endswith("file.txt"):
+                raise self.error
+            return self.system.open_input_stream(path)
+
+    def with_error(error):
+        def filesystem(location):
+            system, path = real(location)
+            return Failing(system, error), path
+        monkeypatch.setattr(trees, "_filesystem", filesystem)
+        return trees.read_trees(trees.repositories_of(spark, {"r": str(tree)}))
+
+    denied = with_error(PermissionError(13, "denied"))
+    assert ("file.txt", "no permission") in {(r.relative_path, r.reason) for r in denied.skipped.collect()}
+    assert sorted(r.file_seq for r in denied.files.collect()) == list(range(1, 10))
+    with pytest.raises(Exception, match="broken disk"):  # a failing disk must not look like a missing file
+        with_error(OSError(5, "broken disk"))
+
+
+def test_numbers_go_on_over_parts(spark, tmp_path):
+    for repo, n in (("a", 1), ("b", 90), ("c", 3), ("e", 40)):
+        for i in range(n):
+            (tmp_path / repo).mkdir(exist_ok=True)
+            (tmp_path / repo / f"f{i:03}.txt").write_bytes(b"\x00" if i % 7 == 3 else b"x" * i)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        files = trees.load_trees(trees.repositories_of(spark, {r: str(tmp_path / r) for r in "abce"})).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for repo, n in (("a", 1), ("b", 90), ("c", 3), ("e", 40)):
+        kept = sorted((r.relative_path, r.file_seq) for r in files if r.repository_name == repo)
+        assert kept == [(f"f{i:03}.txt", k) for k, i in enumerate((i for i in range(n) if i % 7 != 3), 1)]
+
+
+def test_damaged_members(spark, tmp_path):
+    """Every kind of damage is a row with a reason; the other members of the archive are read."""
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, how in (("stored.txt", zipfile.ZIP_STORED), ("deflated.txt", zipfile.ZIP_DEFLATED), ("bzip2.txt", zipfile.ZIP_BZIP2), ("lzma.txt", zipfile.ZIP_LZMA),
+                          ("checksum.txt", zipfile.ZIP_STORED), ("damaged.txt", zipfile.ZIP_DEFLATED), ("bomb.txt", zipfile.ZIP_DEFLATED), ("nul.bin", zipfile.ZIP_STORED)):
+            z.writestr(name, b"\x00" if name == "nul.bin" else name.encode() * 100, how)
+        info = {m.filename: m for m in z.infolist()}
+        info["checksum.txt"].CRC ^= 1
+        info["bomb.txt"].file_size = 5
+    data = bytearray(path.read_bytes())
+    at = info["damaged.txt"].header_offset + 30 + len("damaged.txt")
+    data[at:at + 8] = b"\xff" * 8
+    path.write_bytes(bytes(data))
+    scan = archives.read_archives(archives.archives_of(spark, {"x": str(path), "gone": str(tmp_path / "gone.zip")}))
+    assert {r.relative_path: r.content for r in scan.files.collect()} == {n: n * 100 for n in ("stored.txt", "deflated.txt", "bzip2.txt")}
+    assert {(r.repository_name, r.relative_path): r.reason for r in scan.skipped.collect()} == {
+        ("x", "lzma.txt"): "unknown packing 14", ("x", "checksum.txt"): "wrong checksum", ("x", "damaged.txt"): "damaged data", ("x", "bomb.txt"): "wrong checksum",
+        ("x", "nul.bin"): "binary", ("gone", None): "not found"}
+    assert scan.counts == {"read": 3, "skipped": 5}
+
+
+def test_a_large_archive_is_read_by_many_tasks(spark, tmp_path):
+    path = _zip(tmp_path / "l.zip", {f"m{i:04}.txt": str(i) * 50 for i in range(400)})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        files = archives.load_archives(archives.archives_of(spark, {"l": path}))
+        assert {r.content for r in files.collect()} == {str(i) * 50 for i in range(400)}
+        assert files.select(F.input_file_name().alias("f")).distinct().count() >= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
