@@ -32,13 +32,16 @@ WHOLE = 4
 LEAST_SCORE = 0.5
 #: The bit table has 2**TABLE_BITS bits whatever the number of items; with more items it only lets more hits pass.
 TABLE_BITS = 24
+#: Bytes of text that are searched at once: every word is hashed in several ways, each an array of its own.
+SLICE_BYTES = 1 << 19
 MATCH, OTHER, GAP = 2, -1, -1
 
 
 def _words(part: pa.RecordBatch, powers: texts.Powers):
+    """Hash of every word, the first word of each text, and where the words lie."""
     data, starts = texts.flat(part.column("text"), lower=True)
     a, b = texts.words(data)
-    return texts.spans(texts.sums(data, powers), a, b, powers), np.searchsorted(a, starts)
+    return texts.spans(texts.sums(data, powers), a, b, powers), np.searchsorted(a, starts), (data, a, b)
 
 
 def shapes(size: int) -> list[tuple[int, ...]]:
@@ -63,7 +66,7 @@ def item_grams(items: DataFrame) -> DataFrame:
     def run(batches):
         powers = texts.Powers()
         for part in texts.slices(batches):
-            word, first = _words(part, powers)
+            word, first, _ = _words(part, powers)
             own = [word[s:e] for s, e in zip(first, first[1:])]
             grams = [np.concatenate([_salted(w, x) for x in shapes(len(w))]).view(np.int64) if len(w) else np.zeros(0, np.int64) for w in own]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))],
@@ -84,7 +87,10 @@ def bit_table(items: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 
 
 def stretches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, start (word number), words, hits (array of gram): stretches of texts around grams of any item."""
+    """doc_id, start (word number), text, hits (array of gram): stretches of texts around grams of any item.
+
+    The text, in lower case, stands for its words: it takes less room than their hashes, which no compression helps.
+    """
     facts = items.agg(F.max(F.size("words")).alias("longest"), F.collect_set(F.least(F.size("words"), F.lit(7))).alias("sizes")).first()
     # an alignment that scores 0.5 may pass over as many words of the text as it matches
     reach, forms = 2 * (facts["longest"] or 0), sorted({x for size in facts["sizes"] for x in shapes(size)})
@@ -92,8 +98,8 @@ def stretches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def run(batches):
         powers, table, mask = texts.Powers(), np.unpackbits(shared.value).astype(bool), np.uint64((1 << TABLE_BITS) - 1)
-        for part in texts.slices(batches):
-            word, first = _words(part, powers)
+        for part in texts.slices(batches, most=SLICE_BYTES):
+            word, first, (data, begin, end_of) = _words(part, powers)
             ids = part.column("doc_id")
             at, gram, length = [], [], []
             for form in forms:
@@ -116,13 +122,13 @@ def stretches(docs: DataFrame, items: DataFrame) -> DataFrame:
             for s, e in zip(new, [*new[1:], len(at)]):
                 lo = max(first[owner[s]], at[s] - reach)
                 hi = min(first[owner[s] + 1], at[e - 1] + length[e - 1] + reach)
-                rows.append((ids[int(owner[s])].as_py(), int(lo - first[owner[s]]), word[lo:hi].view(np.int64), np.unique(gram[s:e]).view(np.int64)))
+                rows.append((ids[int(owner[s])].as_py(), int(lo - first[owner[s]]), data[begin[lo]:end_of[hi - 1]].tobytes().decode(), np.unique(gram[s:e]).view(np.int64)))
             kind = pa.list_(pa.int64())
             for k in range(0, len(rows), 2000):
                 a, b, c, d = zip(*rows[k:k + 2000])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, kind), pa.array(d, kind)], ["doc_id", "start", "words", "hits"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, kind)], ["doc_id", "start", "text", "hits"])
 
-    return texts.id_text(docs).mapInArrow(run, "doc_id long, start long, words array<long>, hits array<long>")
+    return texts.id_text(docs).mapInArrow(run, "doc_id long, start long, text string, hits array<long>")
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -157,6 +163,20 @@ def _likely(text: np.ndarray, item: np.ndarray, least_score: float) -> bool:
     return least_score < LEAST_SCORE and bool(np.isin(_salted(item, run), _salted(text, run)).any())
 
 
+def _met(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The stretches of ``pairs``, and a few more: a bit table of fixed size turns most others away before their texts are exchanged."""
+    shared = near.sparkSession.sparkContext.broadcast(np.packbits(bit_table(pairs.select(F.array(F.xxhash64("stretch")).alias("grams")))))
+
+    def run(batches):
+        table, mask = np.unpackbits(shared.value).astype(bool), (1 << TABLE_BITS) - 1
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            held = table[h & mask] & table[(h >> 32) & mask]
+            yield batch.filter(pa.array(held)).drop_columns(["h"])
+
+    return near.withColumn("h", F.xxhash64("stretch")).mapInArrow(run, "stretch long, doc_id long, start long, text string")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word (exclusive) of every pair with at least ``least_score``."""
     items = texts.written(item_grams(benchmark).where("item_id is not null"))
@@ -167,15 +187,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     size = F.size("words")
     least = F.when(size < 7, 1).otherwise(F.greatest(F.lit(1), size - 2 - F.floor(size * (4 * (1 - least_score) / 3) + 1e-9)))
     seeds = items.select(F.explode("grams").alias("gram"), "item_id", least.alias("least")).groupBy("gram", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
-    pairs = hits.join(seeds, "gram").groupBy("stretch", "item_id").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("stretch", "item_id")
-    both = pairs.join(near.select("stretch", "doc_id", "start", "words"), "stretch").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    pairs = texts.written(hits.join(seeds, "gram").groupBy("stretch", "item_id").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("stretch", "item_id"))
+    both = pairs.join(_met(near.select("stretch", "doc_id", "start", "text"), pairs), "stretch").join(items.select("item_id", F.col("words").alias("item")), "item_id")
 
     def run(batches):
-        for batch in batches:
+        powers = texts.Powers()
+        for batch in texts.slices(batches, most=SLICE_BYTES):
             score, lo, hi, kept = [], [], [], []
-            text, item = batch.column("words"), batch.column("item")
+            word, first, _ = _words(batch, powers)
+            word, item = word.view(np.int64), batch.column("item")
             for k in range(batch.num_rows):
-                t, i = text[k].values.to_numpy(zero_copy_only=False), item[k].values.to_numpy(zero_copy_only=False)
+                t, i = word[first[k]:first[k + 1]], item[k].values.to_numpy(zero_copy_only=False)
                 if not _likely(t, i, least_score):
                     continue
                 s, a, b = align(t, i)
@@ -190,7 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score, pa.float64()), pa.array(start + np.array(lo, np.int64)), pa.array(start + np.array(hi, np.int64))],
                                              ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    found = both.select("doc_id", "item_id", "start", "words", "item").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+    found = both.select("doc_id", "item_id", "start", "text", "item").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
     best = F.max(F.struct("score", (-F.col("first_word")).alias("at"), "last_word"))
     return found.where(F.col("score") >= least_score).groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", "b.score", (-F.col("b.at")).alias("first_word"), F.col("b.last_word").alias("last_word"))
