@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
-from scanloom.operators.lines import explode_lines
 
 REPO = "repository_name"
 
@@ -66,14 +67,6 @@ def short_config_names(config_rows: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ manifests
-def manifests(files: DataFrame, file_name: str) -> DataFrame:
-    """Manifest files by exact lower-cased name; text that was not UTF-8 is refused."""
-    found = files.where(F.lower("name") == file_name)
-    if "valid_utf8" in files.columns:
-        found = found.where(F.coalesce("valid_utf8", F.lit(True)))
-    return found.select(REPO, "file_seq", "relative_path", "content")
-
-
 _KEYS = [REPO, "file_seq", "relative_path"]
 
 
@@ -84,29 +77,30 @@ def _first_framework(name: Column, table) -> Column:
     return out
 
 
-def package_json(files: DataFrame) -> DataFrame:
+# Each reader turns a manifest's text into an array of (dependency, framework), inside the file's row.
+def _declared(dependency: Column, framework: Column) -> Column:
+    return F.struct(dependency.alias("dependency"), framework.alias("framework"))
+
+
+def _package_json(content: Column) -> Column:
     """``dependencies`` overlaid by ``devDependencies``; a repeated name keeps its last version."""
-    parsed = manifests(files, "package.json").withColumn(
-        "_m", F.from_json("content", "dependencies string, devDependencies string"))
+    parsed = F.from_json(content, "dependencies string, devDependencies string")
+
     def member(rank: int, name: str) -> Column:
-        pairs = F.map_entries(F.from_json(f"_m.{name}", "map<string,string>"))
+        pairs = F.map_entries(F.from_json(parsed[name], "map<string,string>"))
         found = F.transform(pairs, lambda e, i: F.struct(
-            F.struct(F.lit(rank).alias("member"), i.alias("at")).alias("at"), e["key"].alias("name"),
-            F.coalesce(e["value"], F.lit("None")).alias("version")))
-        return F.coalesce(found, F.array().cast("array<struct<at:struct<member:int,at:int>,name:string,version:string>>"))
+            e["key"].alias("name"), F.lit(rank).alias("member"), i.alias("at"), F.coalesce(e["value"], F.lit("None")).alias("version")))
+        return F.coalesce(found, F.array().cast("array<struct<name:string,member:int,at:int,version:string>>"))
 
-    entries = F.concat(member(0, "dependencies"), member(1, "devDependencies"))
-    rows = text.explode_array(parsed, _KEYS, entries, "_e").groupBy(*_KEYS, F.col("_e.name").alias("package")).agg(
-        F.max_by("_e.version", "_e.at").alias("version"))
-    return rows.select(
-        *_KEYS, F.concat_ws("==", "package", "version").alias("dependency"),
-        text.lookup(F.col("package"), fv.NPM_FRAMEWORKS, None).alias("framework"))
+    # Sorted by name and place, the last one of a name stands before another name.
+    last = text.let(F.array_sort(F.concat(member(0, "dependencies"), member(1, "devDependencies"))), lambda all_: F.filter(
+        all_, lambda e, i: F.coalesce(F.get(all_, i + 1)["name"] != e["name"], F.lit(True))))
+    return F.transform(last, lambda e: _declared(F.concat_ws("==", e["name"], e["version"]), text.lookup(e["name"], fv.NPM_FRAMEWORKS, None)))
 
 
-def requirements_txt(files: DataFrame) -> DataFrame:
-    lines = explode_lines(manifests(files, "requirements.txt"), _KEYS, text.NEWLINE)
-    clean = lines.withColumn("dependency", text.strip(F.substring_index("line", "#", 1))).where(F.col("dependency") != "")
-    return clean.select(*_KEYS, "dependency", _first_framework(F.lower("dependency"), fv.PIP_FRAMEWORKS).alias("framework"))
+def _requirements_txt(content: Column) -> Column:
+    lines = F.transform(F.split(content, text.NEWLINE, -1), lambda l: text.strip(F.substring_index(l, "#", 1)))
+    return F.transform(F.filter(lines, lambda l: l != ""), lambda l: _declared(l, _first_framework(F.lower(l), fv.PIP_FRAMEWORKS)))
 
 
 def _unquote(col: Column) -> Column:
@@ -115,65 +109,89 @@ def _unquote(col: Column) -> Column:
     return F.regexp_replace(bare, r"^'+|'+\z", "")
 
 
-def pyproject_toml(files: DataFrame) -> DataFrame:
+def _pyproject_toml(content: Column) -> Column:
     """``key = value`` lines below a header that names dependencies or requires.
 
-    The header in force is found inside the file's own line array: the lines are cut
-    into sections at every ``[`` line and only the wanted sections are exploded.
+    The lines are cut into sections at every ``[`` line and only the wanted sections are kept.
     """
-    found = manifests(files, "pyproject.toml").withColumn("_lines", F.transform(
-        text.split_lines(F.col("content")), lambda l: text.strip(l)))
-    heads = F.filter(
-        F.transform("_lines", lambda l, i: F.when(l.startswith("["), F.struct(
-            i.alias("at"),
-            (F.contains(l, F.lit("dependencies")) | F.contains(l, F.lit("requires"))).alias("wanted")))),
-        lambda h: h.isNotNull())
-    found = found.withColumn("_heads", heads)
-    sections = F.filter(
-        F.transform("_heads", lambda h, j: F.struct(
-            h["at"].alias("at"), h["wanted"].alias("wanted"),
-            (F.coalesce(F.get("_heads", j + 1)["at"], F.size("_lines")) - h["at"] - 1).alias("length"))),
-        lambda s: s["wanted"])
-    lines = F.flatten(F.transform(sections, lambda s: F.slice("_lines", s["at"] + 2, s["length"])))
-    rows = text.explode_array(found, _KEYS, lines, "line").where(
-        F.contains("line", F.lit("=")) & ~F.col("line").startswith("#"))
-    parts = F.split("line", "=", -1)
-    name = _unquote(parts[0])
-    version = _unquote(F.substring_index(parts[1], "#", 1))
-    return rows.select(*_KEYS, F.concat(name, F.lit("=="), version).alias("dependency"),
-                       _first_framework(F.lower(name), fv.POETRY_FRAMEWORKS).alias("framework"))
+    def entry(line: Column) -> Column:
+        parts = F.split(line, "=", -1)
+        name = _unquote(parts[0])
+        return _declared(F.concat(name, F.lit("=="), _unquote(F.substring_index(parts[1], "#", 1))), _first_framework(F.lower(name), fv.POETRY_FRAMEWORKS))
+
+    def kept(lines: Column) -> Column:
+        marks = F.transform(lines, lambda l, i: F.when(l.startswith("["), F.struct(
+            i.alias("at"), (F.contains(l, F.lit("dependencies")) | F.contains(l, F.lit("requires"))).alias("wanted"))))
+        return text.let(F.filter(marks, lambda h: h.isNotNull()), lambda heads: F.flatten(F.transform(
+            F.filter(F.transform(heads, lambda h, j: F.struct(
+                h["at"].alias("at"), h["wanted"].alias("wanted"), (F.coalesce(F.get(heads, j + 1)["at"], F.size(lines)) - h["at"] - 1).alias("length"))), lambda s: s["wanted"]),
+            lambda s: F.slice(lines, s["at"] + 2, s["length"]))))
+
+    lines = text.let(F.transform(text.split_lines(content), lambda l: text.strip(l)), kept)
+    return F.transform(F.filter(lines, lambda l: F.contains(l, F.lit("=")) & ~l.startswith("#")), entry)
+
+
+def _go_mod(content: Column) -> Column:
+    lines = F.transform(F.split(content, text.NEWLINE, -1), lambda l: text.strip(l))
+
+    def entry(line: Column) -> Column:
+        words, at = F.split(line, f"[{text.BLANK}]+", -1), F.when(line.startswith("require"), 1).otherwise(0)
+        module, version = F.get(words, at), F.get(words, at + 1)
+        return F.when(F.size(words) >= at + 2, _declared(F.concat(module, F.lit("=="), version), _first_framework(module, fv.GO_FRAMEWORKS)))
+
+    wanted = F.filter(lines, lambda l: l.startswith("require") | ~l.rlike(r"^(?:\)|module|go )"))
+    return F.filter(F.transform(wanted, entry), lambda e: e.isNotNull())
+
+
+def _pom_xml(content: Column) -> Column:
+    def entry(block: Column) -> Column:
+        tag = lambda t: text.strip(F.regexp_extract(block, f"<{t}>([^<]+)</{t}>", 1))
+        group, artifact = tag("groupId"), tag("artifactId")
+        version = F.when(block.rlike("<version>[^<]+</version>"), tag("version")).otherwise("latest")
+        spring = F.contains(artifact, F.lit("spring-boot")) | F.contains(group, F.lit("spring-framework"))
+        return F.when((group != "") & (artifact != ""), _declared(
+            F.concat(group, F.lit(":"), artifact, F.lit("=="), version), F.when(spring, F.lit(fv.MAVEN_FRAMEWORK))))
+
+    blocks = F.regexp_extract_all(content, F.lit(r"<dependency>([\s\S]*?)</dependency>"), 1)
+    return F.filter(F.transform(blocks, entry), lambda e: e.isNotNull())
+
+
+_READERS = {"package.json": _package_json, "requirements.txt": _requirements_txt, "pyproject.toml": _pyproject_toml, "go.mod": _go_mod, "pom.xml": _pom_xml}
+
+
+def _read_manifests(files: DataFrame, names: list[str]) -> DataFrame:
+    """One pass over the files: the kind of a manifest chooses its reader, the entries of all kinds are one array."""
+    kind = F.lower("name")
+    found = files.where(kind.isin(names))
+    if "valid_utf8" in files.columns:  # text that was not UTF-8 is refused
+        found = found.where(F.coalesce("valid_utf8", F.lit(True)))
+    entries = reduce(lambda chosen, n: chosen.when(kind == n, _READERS[n](F.col("content"))), names[1:], F.when(kind == names[0], _READERS[names[0]](F.col("content"))))
+    return text.explode_array(found, _KEYS, entries, "_e").select(*_KEYS, "_e.dependency", "_e.framework")
+
+
+def package_json(files: DataFrame) -> DataFrame:
+    return _read_manifests(files, ["package.json"])
+
+
+def requirements_txt(files: DataFrame) -> DataFrame:
+    return _read_manifests(files, ["requirements.txt"])
+
+
+def pyproject_toml(files: DataFrame) -> DataFrame:
+    return _read_manifests(files, ["pyproject.toml"])
 
 
 def go_mod(files: DataFrame) -> DataFrame:
-    lines = explode_lines(manifests(files, "go.mod"), _KEYS, text.NEWLINE).withColumn("line", text.strip(F.col("line")))
-    words = F.split("line", f"[{text.BLANK}]+", -1)
-    required = F.col("line").startswith("require")
-    skipped = ~required & F.col("line").rlike(r"^(?:\)|module|go )")
-    rows = lines.where(~skipped).withColumn("_w", words).withColumn("_at", F.when(required, 1).otherwise(0)).where(
-        F.size("_w") >= F.col("_at") + 2)
-    module, version = F.get("_w", F.col("_at")), F.get("_w", F.col("_at") + 1)
-    return rows.select(*_KEYS, F.concat(module, F.lit("=="), version).alias("dependency"),
-                       _first_framework(module, fv.GO_FRAMEWORKS).alias("framework"))
+    return _read_manifests(files, ["go.mod"])
 
 
 def pom_xml(files: DataFrame) -> DataFrame:
-    blocks = F.regexp_extract_all("content", F.lit(r"<dependency>([\s\S]*?)</dependency>"), 1)
-    rows = text.explode_array(manifests(files, "pom.xml"), _KEYS, blocks, "block")
-    tag = lambda t: text.strip(F.regexp_extract("block", f"<{t}>([^<]+)</{t}>", 1))
-    group, artifact = tag("groupId"), tag("artifactId")
-    version = F.when(F.col("block").rlike("<version>[^<]+</version>"), tag("version")).otherwise("latest")
-    spring = F.contains(artifact, F.lit("spring-boot")) | F.contains(group, F.lit("spring-framework"))
-    return rows.where((group != "") & (artifact != "")).select(
-        *_KEYS, F.concat(group, F.lit(":"), artifact, F.lit("=="), version).alias("dependency"),
-        F.when(spring, F.lit(fv.MAVEN_FRAMEWORK)).alias("framework"))
+    return _read_manifests(files, ["pom.xml"])
 
 
 def manifest_entries(files: DataFrame) -> DataFrame:
-    """Every declared dependency of every manifest."""
-    out = package_json(files)
-    for reader in (requirements_txt, pyproject_toml, go_mod, pom_xml):
-        out = out.unionByName(reader(files))
-    return out
+    """Every declared dependency of every manifest, the files read once."""
+    return _read_manifests(files, list(_READERS))
 
 
 def dependencies(entries: DataFrame) -> DataFrame:
@@ -181,13 +199,25 @@ def dependencies(entries: DataFrame) -> DataFrame:
 
 
 def frameworks(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """Distinct frameworks; a repository without any falls back on its file extensions."""
-    named = entries.where(F.col("framework").isNotNull()).select(REPO, "framework").distinct()
-    present = files.groupBy(REPO).agg(
-        F.bool_or(F.col("extension") == ".py").alias("py"),
-        F.bool_or(F.col("extension").isin(*fv.NODE_EXTENSIONS)).alias("js"))
-    fallback = present.join(named.select(REPO).distinct(), REPO, "left_anti").select(
-        REPO,
-        F.explode(F.filter(F.array(F.when(F.col("py"), fv.PYTHON_FALLBACK), F.when(F.col("js"), fv.NODE_FALLBACK)),
-                           lambda f: f.isNotNull())).alias("framework"))
-    return named.unionByName(fallback)
+    """Distinct frameworks; a repository without any falls back on its file extensions. One aggregation: there are few frameworks."""
+    none = F.lit(None)
+    named = entries.where(F.col("framework").isNotNull()).select(REPO, "framework", none.cast("boolean").alias("py"), none.cast("boolean").alias("js"))
+    present = files.select(REPO, none.cast("string").alias("framework"), (F.col("extension") == ".py").alias("py"), F.col("extension").isin(*fv.NODE_EXTENSIONS).alias("js"))
+    seen = named.unionByName(present).groupBy(REPO).agg(F.collect_set("framework").alias("named"), F.bool_or("py").alias("py"), F.bool_or("js").alias("js"))
+    fallback = F.filter(F.array(F.when(F.col("py"), fv.PYTHON_FALLBACK), F.when(F.col("js"), fv.NODE_FALLBACK)), lambda f: f.isNotNull())
+    return text.explode_array(seen, [REPO], F.when(F.size("named") > 0, F.col("named")).otherwise(fallback), "framework").drop("_at")
+
+
+def inventory_records(files: DataFrame, entries: DataFrame, config_rows: DataFrame) -> DataFrame:
+    """What a report says of a repository, in one row: totals, languages, frameworks, dependencies and configs, each sorted.
+
+    The arrays are as long as a repository's manifests make them; the rows they come from stay the tables to compute with.
+    """
+    languages = language_stats(files).groupBy(REPO).agg(F.sort_array(F.collect_list(F.struct("language", "files", "size"))).alias("languages"))
+    named = frameworks(files, entries).withColumnsRenamed({"framework": "value"}).withColumn("kind", F.lit("frameworks")).unionByName(
+        dependencies(entries).withColumnsRenamed({"dependency": "value"}).withColumn("kind", F.lit("dependencies"))).unionByName(
+        config_rows.select(REPO, F.col("config").alias("value"), F.lit("configs").alias("kind")))
+    kinds = ("frameworks", "dependencies", "configs")
+    sets = named.groupBy(REPO).agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds])
+    empty = F.array().cast("array<string>")
+    return repository_totals(files).join(languages, REPO, "left").join(sets, REPO, "left").withColumns({k: F.coalesce(k, empty) for k in kinds})

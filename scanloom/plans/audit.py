@@ -52,14 +52,19 @@ def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | N
     return Audit(files, inventory.language_stats(files), declared, inventory.frameworks(files, entries), correlated, scores)
 
 
-def reports(run: Audit, scans: DataFrame) -> DataFrame:
-    """Report heads. ``scans(scan_id, repository_name, repository_url, timestamp, scan_duration_sec)``."""
-    totals = inventory.repository_totals(run.files).withColumnRenamed("repository_name", "scan_id")
+def reports(run: Audit, scans: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Report heads. ``scans(scan_id, repository_name, repository_url, timestamp, scan_duration_sec)``.
+
+    ``listing`` is the unfiltered listing of the trees, for the CI workflows; without it the files stand for it.
+    """
+    entries = inventory.manifest_entries(run.files)
+    configs = inventory.configs(run.files, run.files if listing is None else listing)
+    known = inventory.inventory_records(run.files, entries, configs).withColumnRenamed("repository_name", "scan_id")
     record = scoring.as_record(run.scores)
-    return scans.join(record, "scan_id").join(totals, "scan_id", "left").select(
+    return scans.join(record, "scan_id").join(known, "scan_id", "left").select(
         "scan_id", "repository_name", "repository_url", "timestamp", F.lit("completed").alias("status"),
         F.struct("overall_score", "severity_breakdown", "category_scores", "risk_summary").alias("score"),
-        "total_files", "total_size", "scan_duration_sec")
+        "total_files", "total_size", "scan_duration_sec", "languages", "frameworks", "dependencies", "configs")
 
 
 def record_history(scans: DataFrame, run_findings: DataFrame) -> DataFrame:

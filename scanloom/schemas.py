@@ -33,6 +33,7 @@ SCAN_STATE = (
 REPORT = (
     "scan_id string, repository_name string, repository_url string, timestamp timestamp, status string, "
     f"score struct<overall_score:int,severity_breakdown:map<string,int>,category_scores:map<string,int>,risk_summary:string>, "
-    "total_files bigint, total_size bigint, scan_duration_sec double"
+    "total_files bigint, total_size bigint, scan_duration_sec double, "
+    "languages array<struct<language:string,files:bigint,size:bigint>>, frameworks array<string>, dependencies array<string>, configs array<string>"
 )
 REPORT_FINDING = f"scan_id string, {FINDING_FIELDS}"

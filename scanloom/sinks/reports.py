@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions import text
+from scanloom.sources.folders import complete_numbers
 
 SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -18,16 +19,31 @@ TOOL = "scanloom"
 
 
 # ------------------------------------------------------------------ flat exports
-def write_reports(reports: DataFrame, findings: DataFrame, path: str) -> None:
-    """JSON reports: ``path/reports`` one head per scan, ``path/findings`` one row per finding."""
-    reports.write.mode("append").json(f"{path}/reports")
-    findings.drop("finding_seq").write.mode("append").json(f"{path}/findings")
+def write_reports(reports: DataFrame, findings: DataFrame, path: str) -> int:
+    """JSON reports: one head per scan in ``path/reports``, one row per finding in ``path/findings``; the number of this export.
+
+    Every export has a folder of its own, and of each scan its newest complete export counts (``sources.records``): a scan
+    that is exported again replaces its report, reports of other scans stay. Heads are written last and complete an
+    export; one that failed is written over. One export at a time may write to a path.
+    """
+    number = max(complete_numbers(reports.sparkSession, f"{path}/reports", "export"), default=-1) + 1
+    findings.drop("finding_seq").write.mode("overwrite").json(f"{path}/findings/export={number}")
+    reports.write.mode("overwrite").json(f"{path}/reports/export={number}")
+    return number
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
     return findings.withColumn("references", F.array_join("references", "; ")).drop("finding_seq")
 
 
+def write_csv(findings: DataFrame, path: str) -> None:
+    """A folder of CSV files per scan, in order; a second export of a scan replaces its folder only."""
+    columns = [c for c in findings.columns if c not in ("scan_id", "finding_seq")]
+    rows = findings.repartitionByRange("scan_id", "finding_seq").sortWithinPartitions("scan_id", "finding_seq")
+    flat = rows.withColumn("references", F.array_join("references", "; ")) if "references" in columns else rows
+    flat.select("scan_id", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").option("header", True).option("escape", '"').csv(path)
+
+
 def append_history(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
@@ -136,7 +152,7 @@ def export(reports: DataFrame, findings: DataFrame, format_name: str, path: str)
     if name == "json":
         write_reports(reports, findings, path)
     elif name == "csv":
-        csv_rows(findings).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        write_csv(findings, path)
     elif name in DOCUMENTS:
         write_document(DOCUMENTS[name](reports, findings), path)
     else:

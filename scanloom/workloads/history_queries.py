@@ -493,6 +493,40 @@ def k1_json_reports(spark, folder):
     return records.read_report_findings(spark, f"{path}/findings").groupBy("scan_id").agg(F.count("*").alias("findings"))
 
 
+_READ_BACK = ("SELECT scan_id, finding_id, title, severity, file_path, line_number, md5(concat_ws('|', description, coalesce(explanation, ''), coalesce(fix_suggestion, ''), coalesce(patch, ''))) AS digest FROM ")
+_BACK = ("scan_id", "finding_id", "title", "severity", "file_path", "line_number")
+
+
+def _digest():
+    return F.md5(F.concat_ws("|", "description", *[F.coalesce(F.col(c), F.lit("")) for c in ("explanation", "fix_suggestion", "patch")])).alias("digest")
+
+
+@query("k1_report_findings", _READ_BACK + "raw_findings", ("raw_findings",))
+def k1_report_findings(spark, folder):
+    """All scans exported, then some of them twice more, once wrongly: the newest export of a scan counts, others stay."""
+    path = scratch(spark, "reports")
+    found = ad.raw_findings(spark, folder)
+    heads = found.select("scan_id").distinct().withColumn("status", F.lit("completed"))
+    some = F.col("scan_id").cast("bigint") % 3 == 0
+    rep.export(heads, found, "json", path)
+    rep.export(heads.where(some), found.where(some).withColumn("title", F.lit("?")), "json", path)
+    rep.export(heads.where(some), found.where(some), "JSON", path)
+    return records.read_report_findings(spark, f"{path}/findings").select(*_BACK, _digest())
+
+
+@query("k2_csv_files", _READ_BACK + "repo_findings", ("repo_findings",))
+def k2_csv_files(spark, folder):
+    """CSV written per scan and read back; a second export of one scan leaves the others."""
+    path = scratch(spark, "csv")
+    found = ad.raw_findings(spark, folder, by_repository=True).withColumn("references", F.array("finding_id"))
+    heads = found.select("scan_id").distinct()
+    rep.export(heads, found, "csv", path)
+    rep.export(heads, found.where("scan_id = 'src3'"), " CSV ", path)
+    text_columns = ", ".join(f"{c} {'int' if c == 'line_number' else 'string'}" for c in found.columns if c not in ("scan_id", "finding_seq"))
+    back = spark.read.schema(f"{text_columns}, scan_id string").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select(*_BACK, _digest())
+
+
 @query("k9_export_dispatch", """SELECT scan_id, count(*) + 1 AS entries FROM repo_findings GROUP BY 1""", ("repo_findings",))
 def k9_export_dispatch(spark, folder):
     """SARIF documents written per scan; entries are counted in the files."""

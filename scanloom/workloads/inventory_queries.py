@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
 from scanloom.operators import dependencies as dep, inventory as inv
-from scanloom.sources import trees
+from scanloom.session import cut_lineage, shared_folder
+from scanloom.sinks import reports as rep
+from scanloom.sources import records, trees
 from scanloom.workloads import adapters as ad
 from scanloom.workloads.adapters import quote
 from scanloom.workloads.registry import BLANK, query, split_sql, strip_sql
@@ -238,6 +242,30 @@ def a7_frameworks(spark, folder):
     return inv.frameworks(bare.unionByName(files), inv.manifest_entries(ad.manifest_files(spark, folder)))
 
 
+@query("k1_report_heads", _ENTRIES + f""", all_files AS (SELECT repository_name, extension FROM corpus),
+langs AS (SELECT repository_name, {_LANGUAGE} AS language, count(*) AS files, sum(size)::bigint AS size FROM corpus GROUP BY ALL),
+totals AS (SELECT repository_name, count(*) AS total_files, sum(size)::bigint AS total_size FROM corpus GROUP BY 1),
+fw AS (WITH x AS (SELECT 1)""" + _FRAMEWORKS + """)
+SELECT repository_name AS scan_id, 'total' AS kind, total_files || ' ' || total_size AS value FROM totals
+UNION ALL SELECT repository_name, 'language', language || ' ' || files || ' ' || size FROM langs
+UNION ALL SELECT DISTINCT repository_name, 'dependency', dependency FROM entries WHERE repository_name IN (SELECT repository_name FROM totals)
+UNION ALL SELECT repository_name, 'framework', framework FROM fw WHERE repository_name IN (SELECT repository_name FROM totals)""", ("manifest_files", "corpus"))
+def k1_report_heads(spark, folder):
+    """Report heads written, some of them twice, and read back with all that was found out about the repository."""
+    files, path = ad.corpus(spark, folder), f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
+    known = inv.inventory_records(files, inv.manifest_entries(ad.manifest_files(spark, folder)), inv.configs(files, files))
+    heads = cut_lineage(known.withColumnRenamed("repository_name", "scan_id").withColumn("status", F.lit("completed")))
+    none = spark.createDataFrame([], "scan_id string, finding_seq bigint, title string")
+    rep.export(heads, none, "json", path)
+    rep.export(heads.where(F.col("total_files") % 2 == 0), none, "json", path)
+    back = records.read_reports(spark, f"{path}/reports")
+    line = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
+    of = lambda kind, values: back.select("scan_id", F.lit(kind).alias("kind"), F.explode(values).alias("value"))
+    return of("total", F.array(line(F.col("total_files"), F.col("total_size")))).unionByName(
+        of("language", F.transform("languages", lambda l: line(l["language"], l["files"], l["size"])))).unionByName(
+        of("dependency", F.col("dependencies"))).unionByName(of("framework", F.col("frameworks")))
+
+
 # ------------------------------------------------------------------ vulnerable dependencies
 _SPLIT = f"""split_deps AS (SELECT repository_name, dependency, package, lower({strip_sql('package')}) AS package_name, {_unquote('version')} AS version FROM (
   SELECT *, CASE WHEN contains(dependency, '==') THEN substring(dependency, 1, position('==' IN dependency) - 1) ELSE dependency END AS package,
