@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
 from scanloom.operators.lines import explode_lines
+from scanloom.session import cut_lineage
 
 DOCKER, CI, APP, SECRET = "docker", "ci", "app", "secret"
 
@@ -107,24 +109,123 @@ def match_lines(lines: DataFrame, kinds: list[str]) -> DataFrame:
         *lines.columns, "_hit.scanner", "_hit.hit_set", "_hit.rule")
 
 
-#: Rules up to which a user's table is broadcast.
-MOST_BROADCAST_RULES = 10_000
+#: Rules up to which a user's table is broadcast and every rule tried, and up to which an index of grams is broadcast.
+MOST_BROADCAST_RULES, MOST_BROADCAST_GRAMS = 10_000, 200_000
+#: Characters of a gram.
+GRAM = 4
+_PLAIN = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-/:=@#%&~ ,;!<>'\"`")
+_HOLDERS = "\\([{.^$|?*+)"
+
+
+def longest_literal(pattern: str) -> str | None:
+    """Longest run of plain ASCII characters that every match holds, whatever the case; None if none is as long as a gram.
+
+    Only characters outside groups and classes count that are there at least once. A pattern with alternatives outside
+    groups, quoting or free spacing has none, and whatever is not understood ends a run.
+    """
+    runs, run, at, depth = [], "", 0, 0
+    if "\\Q" in pattern or "(?x" in pattern or "(?-" in pattern or any(f in pattern for f in ("(?ix", "(?sx", "(?mx")):
+        return None
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            known = pattern[at + 1:at + 2]
+            c, at = (known if known in _HOLDERS + "]}-/" else ""), at + 2
+        elif c == "[":
+            at += 1 + pattern[at + 1:at + 2].count("^")
+            at += 1 if pattern[at:at + 1] == "]" else 0
+            nested = 1
+            while at < len(pattern) and nested:
+                step = pattern[at]
+                nested += (step == "[") - (step == "]")
+                at += 2 if step == "\\" else 1
+            c = ""
+        else:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                return None
+            at += 1
+            c = c if c in _PLAIN else ""
+        follows = pattern[at:at + 1]
+        if depth or not c or follows in ("?", "*", "{"):
+            c = ""
+        if c:
+            run += c
+        if not c or follows == "+":
+            runs.append(run)
+            run = ""
+    best = max([*runs, run], key=len)
+    return best.lower() if len(best) >= GRAM else None
+
+
+def _grams(col: Column) -> Column:
+    """Distinct grams of a text in lower case."""
+    lowered = F.lower(col)
+    return F.when(F.length(col) >= GRAM, text.let(lowered, lambda t: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda i: F.substring(t, i, F.lit(GRAM))))))
+
+
+def _with_held_grams(lines: DataFrame, wanted: list[str]) -> DataFrame:
+    """``lines`` with the grams of ``wanted`` that each holds."""
+    shared = lines.sparkSession.sparkContext.broadcast(frozenset(wanted))
+
+    def run(batches):
+        for batch in batches:
+            held = []
+            for line in batch.column("line").to_pylist():
+                low = (line or "").lower()
+                held.append(list(shared.value.intersection(low[i:i + GRAM] for i in range(len(low) - GRAM + 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.list_(pa.string()))], [*batch.schema.names, "_held"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, f"{fields}, _held array<string>")
+
+
+def gram_index(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` with ``gram``: of the grams of a rule's longest literal the one that the fewest lines hold; NULL without a literal."""
+    literal = F.udf(longest_literal, "string")  # once a rule
+    parts = rules.withColumn("_literal", literal("pattern")).withColumn("gram", F.explode_outer(_grams(F.col("_literal")))).drop("_literal")
+    sought = [r["gram"] for r in parts.where("gram is not null").select("gram").distinct().limit(MOST_BROADCAST_GRAMS + 1).collect()]
+    if len(sought) <= MOST_BROADCAST_GRAMS:
+        found = _with_held_grams(lines.select("line"), sought).select(F.explode("_held").alias("gram"))
+    else:
+        found = lines.select(F.posexplode_outer(_grams(F.col("line"))).alias("_at", "gram"))
+    held = found.groupBy("gram").agg(F.count("*").alias("_held"))
+    keys = [c for c in rules.columns]
+    counted = parts.join(held, "gram", "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    return counted.groupBy(*keys).agg(F.min_by("gram", F.struct("_held", "gram")).alias("gram"))
 
 
 def match_rule_table(lines: DataFrame, rules: DataFrame, most: int = MOST_BROADCAST_RULES) -> DataFrame:
-    """Table form for user-supplied rules: ``rules(rule_set, scanner, rule, pattern)``.
+    """Table form for user-supplied rules: ``rules(rule_set, scanner, rule, pattern)``, without repeated rows.
 
-    Up to ``most`` rules are broadcast. A larger table is repeated once a bucket instead, and the
-    lines of a rule set, of which there are only a few, are dealt over all buckets.
+    Up to ``most`` rules are broadcast and tried on every line of their set. Of a larger table, a line meets only the
+    rules whose rarest gram it holds, by an equi-join, and the pattern confirms. Rules without a literal are tried on
+    all lines: their table is repeated once a bucket and the lines of a rule set are dealt over the buckets.
     """
-    small = rules.limit(most + 1).count() <= most
-    n = 1 if small else int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")
-    table = rules.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return lines.withColumn("_bucket", bucket).alias("l").join(
-        (F.broadcast(table) if small else table).alias("r"),
-        (F.col("l.rule_set") == F.col("r.rule_set")) & (F.col("l._bucket") == F.col("r._bucket")) & F.expr("l.line rlike r.pattern"),
-    ).select("l.*", "r.scanner", "r.rule").drop("_bucket")
+    names = [f"`{c}`" for c in lines.columns]
+    if rules.limit(most + 1).count() <= most:
+        return lines.alias("l").join(F.broadcast(rules).alias("r"), (F.col("l.rule_set") == F.col("r.rule_set")) & F.expr("l.line rlike r.pattern")).select(
+            "l.*", "r.scanner", "r.rule")
+    indexed = cut_lineage(gram_index(lines, rules))
+    by_gram, bare = indexed.where(F.col("gram").isNotNull()), indexed.where(F.col("gram").isNull()).drop("gram")
+    table = by_gram.select("rule_set", "gram", F.struct("scanner", "rule", "pattern").alias("_r"))
+    wanted = [r["gram"] for r in by_gram.select("gram").distinct().limit(MOST_BROADCAST_GRAMS + 1).collect()]
+    if len(wanted) <= MOST_BROADCAST_GRAMS:
+        # A line is repeated only for grams that some rule is sought by.
+        holding = _with_held_grams(lines, wanted).withColumn("gram", F.explode("_held")).drop("_held")
+        met = holding.join(F.broadcast(table) if by_gram.count() <= MOST_BROADCAST_GRAMS else table, ["rule_set", "gram"])
+    else:
+        met = lines.withColumn("gram", F.explode(_grams(F.col("line")))).join(table, ["rule_set", "gram"])
+    met = met.where(F.expr("line rlike _r.pattern"))
+    out = met.select(*names, "_r.scanner", "_r.rule")
+    if bare.isEmpty():
+        return out
+    n = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.withColumn("_bucket", F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")).alias("l")
+    repeated = bare.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).alias("r")
+    tried = dealt.join(repeated, (F.col("l.rule_set") == F.col("r.rule_set")) & (F.col("l._bucket") == F.col("r._bucket")) & F.expr("l.line rlike r.pattern"))
+    return out.unionByName(tried.select(*[f"l.{c}" for c in names], "r.scanner", "r.rule"))
 
 
 def missing_user(files: DataFrame) -> DataFrame:

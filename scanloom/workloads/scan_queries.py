@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from scanloom import fixed_values as fv
 from scanloom.functions import text
 from scanloom.operators import findings as fnd, lines, rules, scoring
+from scanloom.session import cut_lineage
 from scanloom.workloads import adapters as ad
 from scanloom.workloads.adapters import quote
 from scanloom.workloads.registry import BLANK, WORD, lines_cte, query, strip_sql
@@ -122,6 +123,22 @@ def j1_rule_table(spark, folder):
     return hits.groupBy("repository_name", "scanner", "rule").agg(F.count("*").alias("n"))
 
 
+@query("j1_large_rule_table", """toks AS (SELECT doc_id, i, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z0-9]+'))) AS word FROM
+  (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
+SELECT word AS rule, count(*) AS n FROM toks WHERE regexp_matches(word, '^[a-z]{10,14}$') GROUP BY 1
+UNION ALL SELECT '#', count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[0-9]+') HAVING count(*) > 0""")
+def j1_large_rule_table(spark, folder):
+    """A rule for every longer word of the documents, and one without a literal, met by grams."""
+    docs = ad.read(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = F.lit("any").alias("rule_set")
+    rows = cut_lineage(docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("*", every))
+    word = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("(?<![A-Za-z0-9])[a-z]{10,14}(?![A-Za-z0-9])"), 0)))
+    words = rows.select(word.alias("rule")).distinct()
+    named = words.select(every, F.lit(1).alias("scanner"), "rule", F.concat(F.lit("(?<![A-Za-z0-9])"), "rule", F.lit("(?![A-Za-z0-9])")).alias("pattern"))
+    table = cut_lineage(named.unionByName(spark.createDataFrame([("any", 1, "#", "^[0-9]+")], named.schema)))
+    return rules.match_rule_table(rows, table, most=10).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query("d2_secret_rules", rule_hits_cte("corpus", (rules.SECRET,)) + f" SELECT {_COLS} FROM hits", ("corpus",))
 def d2_secret_rules(spark, folder):
     return _flat(rules.scan_files(ad.corpus(spark, folder), (rules.SECRET,)))

@@ -163,6 +163,31 @@ def test_manifests_and_vulnerabilities(spark):
     assert found == {"dependency-django-3.2.5": "requirements.txt", "dependency-urllib3-1.25": "requirements.txt", "dependency-log4j-1.2.17": "pom.xml"}
 
 
+def test_longest_literal():
+    want = {r"password\s*=": "password", r"abc|abcdef": None, r"(abcdef)xyzw?v": None, r"key_?name": "name", r"AKIA[0-9A-Z]{16}": "akia", r"secret+ly": "secret",
+            r"[abcd]efgh": "efgh", r"a{5}bcde": "bcde", r"\bvalue\b": "value", r"www\.example\.org": "www.example.org", r"(?i)PassWord": "password", r"ab.cd": None,
+            r"\Qa.b\Ecdef": None, r"[]x]token": "token", r"[^]x]token": "token", r"(?<![a-z])word(?!s)": "word", r"(a|(b[)]c))tail": "tail", "": None, r"\d\d\d\d": None}
+    assert {p: rules.longest_literal(p) for p in want} == want
+
+
+def test_rule_table_by_grams_equals_trying_every_rule(spark):
+    import re
+
+    rng = random.Random(9)
+    words = ["token", "secret", "pass", "Key", "value", "x", "é", "AKIA"]
+    rows = [(i, rng.choice("ab"), rng.choice(["", " ", "=", "-"]).join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(300)] + [(300, "a", ""), (301, None, "token")]
+    pieces = ["token", "secret", "(?:pass|Key)", "value?", "[kK]ey", "AKIA", "x+", r"\s*=\s*", ".", "^", "(?i)"]
+    made = sorted({"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))) for _ in range(120)})
+    made = [p for p in made if "(?i)" not in p[1:]]
+    lines = spark.createDataFrame(rows, "gram_id int, rule_set string, line string")
+    table = spark.createDataFrame([(rng.choice("ab"), 1, i, p) for i, p in enumerate(made)], "rule_set string, scanner int, rule int, pattern string")
+    few, many = (rules.match_rule_table(lines, table, most=most) for most in (1000, 5))
+    got = sorted((r.gram_id, r.rule) for r in many.collect())
+    sets = {r.rule: r.rule_set for r in table.collect()}
+    assert got == sorted((r.gram_id, r.rule) for r in few.collect())
+    assert got == sorted((i, k) for i, s, line in rows for k, p in enumerate(made) if s == sets[k] and re.search(p, line)) and len(got) > 500
+
+
 # ------------------------------------------------------------------ findings
 def _merge_model(rows):
     """Sequential reading of the merge: a list of survivors, first match wins."""
