@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
+from scanloom.operators.ordered import running, spread_in_order
 
 SPANS = "array<struct<chunk_type:string,name:string,label:string,start_line:int,end_line:int>>"
 PYTHON, BRACE, CONFIG, TEXT, BLANK_FILE = "python", "brace", "config", "text", "blank"
@@ -228,3 +229,13 @@ def chunk_totals(chunked: DataFrame) -> DataFrame:
     """Files and chunks per repository."""
     return chunked.groupBy("repository_name").agg(
         F.count("*").alias("total_files"), F.sum(F.size("chunks")).cast("bigint").alias("total_chunks"))
+
+
+def outermost_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct ``spans(*keys, start_line, end_line)`` that no other one of their key contains, however many a key has.
+
+    In the order of start and falling end a span is inside another one exactly if an earlier one reaches as far.
+    """
+    spread = spread_in_order(spans.distinct(), keys, ["start_line", F.desc("end_line")])
+    reach = running(spread, keys, earlier=True, reach=("max", F.col("end_line")))
+    return reach.where(F.col("reach").isNull() | (F.col("end_line") > F.col("reach"))).select(*keys, "start_line", "end_line")

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
-from scanloom.operators.ordered import spread_join
-from scanloom.session import cut_lineage
 
 
 def split_dependency(dependency: Column) -> tuple[Column, Column, Column]:
@@ -33,21 +31,22 @@ def match_vulnerabilities(dependencies: DataFrame) -> DataFrame:
 
 
 def first_files(files: DataFrame) -> DataFrame:
-    """The first file of each manifest name a dependency can be traced to."""
-    return files.where(F.lower("name").isin("pom.xml", "requirements.txt")).groupBy(
-        "repository_name", F.lower("name").alias("declaring_file")).agg(
-        F.min_by("relative_path", "file_seq").alias("declared_in"))
+    """One row a repository: the first file of each manifest name a dependency can be traced to (``pom``, ``requirements``)."""
+    name = F.lower("name")
+    first = lambda n: F.min_by("relative_path", F.when(name == n, F.col("file_seq")))
+    return files.where(name.isin("pom.xml", "requirements.txt")).groupBy("repository_name").agg(
+        first("pom.xml").alias("pom"), first("requirements.txt").alias("requirements"))
 
 
 def dependency_findings(dependencies: DataFrame, files: DataFrame) -> DataFrame:
-    """``dependencies`` are distinct per repository, so the findings side is the larger one."""
-    hits = match_vulnerabilities(dependencies).withColumn(
-        "declaring_file", F.when(F.contains("package", F.lit(":")), "pom.xml").otherwise("requirements.txt"))
+    """``dependencies`` are distinct per repository, so the findings side is the larger one; a repository with very many is split by the join."""
+    hits = match_vulnerabilities(dependencies)
     table = hits.sparkSession.createDataFrame(
         [(i, p, t, s, c, e, f) for i, (p, _, _, t, s, c, e, f) in enumerate(fv.VULNERABLE_PACKAGES)],
         "rule int, vulnerable string, title string, severity string, confidence string, explanation string, fix_suggestion string")
-    hits = cut_lineage(hits)
-    located = spread_join(hits, first_files(files), ["repository_name", "declaring_file"], ["dependency"], "left")
+    grouped = F.contains("package", F.lit(":"))
+    located = hits.join(first_files(files), "repository_name", "left").withColumns({
+        "declaring_file": F.when(grouped, "pom.xml").otherwise("requirements.txt"), "declared_in": F.when(grouped, F.col("pom")).otherwise(F.col("requirements"))})
     rows = located.join(F.broadcast(table), "rule")
     return rows.select(
         F.col("repository_name").alias("scan_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions import text
 
@@ -16,3 +16,11 @@ def explode_lines(files: DataFrame, keep: list[str] | None = None,
     keep = keep or [c for c in files.columns if c != "content"]
     return text.explode_array(files, keep, text.split_lines(F.col("content"), breaks), "line", "_pos").select(
         *keep, (F.col("_pos") + 1).alias("line_number"), "line")
+
+
+def code_listing(sources: DataFrame, keys: list[str], content: str, highlighted: Column) -> DataFrame:
+    """Numbered, escaped lines of a text for display; an empty line shows as a blank. ``highlighted`` is the number of the marked line (NULL: none)."""
+    numbered = text.explode_array(sources.withColumn("_marked", highlighted), [*keys, "_marked"], F.split(content, "\n", -1), "line")
+    shown = text.html_escape(F.when(F.col("line") == "", " ").otherwise(F.col("line")))
+    number = F.col("_at") + 1
+    return numbered.select(*keys, number.alias("line_no"), shown.alias("code"), F.coalesce(number == F.col("_marked"), F.lit(False)).alias("highlighted"))

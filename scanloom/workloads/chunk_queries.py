@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
-from scanloom.operators import chunking as ch, ordered, packing, review
+from scanloom.operators import chunking as ch, packing, review
 from scanloom.plans.audit import review_packs
 from scanloom.workloads import adapters as ad
 from scanloom.workloads.registry import BLANK, WORD, lines_cte, nonblank_sql, query, split_sql
@@ -106,11 +106,8 @@ def j12_outermost_spans(spark, folder):
     """Nested spans of any number per key: a span stays when no other one contains it."""
     width = F.pow(F.lit(4), F.col("l_partkey") % 5).cast("bigint")
     start = F.floor((F.col("l_orderkey") * 16 + F.col("l_linenumber")) / width) * width
-    spans = ad.read(spark, folder, "lineitem").select("l_suppkey", start.alias("start_line"), (start + width - 1).alias("end_line")).distinct()
-    spread = ordered.spread_in_order(spans, ["l_suppkey"], ["start_line", F.desc("end_line")])
-    reach = ordered.running(spread, ["l_suppkey"], earlier=True, reach=("max", F.col("end_line")))
-    kept = reach.where(F.col("reach").isNull() | (F.col("end_line") > F.col("reach")))
-    return kept.select("l_suppkey", "start_line", "end_line")
+    spans = ad.read(spark, folder, "lineitem").select("l_suppkey", start.alias("start_line"), (start + width - 1).alias("end_line"))
+    return ch.outermost_spans(spans, ["l_suppkey"])
 
 
 _SIG = (f"(class[{BLANK}]+[{WORD}]+|function[{BLANK}]+[{WORD}]+|[{WORD}]+[{BLANK}]+[{WORD}]+[{BLANK}]*\\(.*\\)[{BLANK}]*\\{{|const[{BLANK}]+[{WORD}]+[{BLANK}]*=[{BLANK}]*\\(.*\\)[{BLANK}]*=>[{BLANK}]*\\{{"

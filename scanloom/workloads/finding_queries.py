@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scanloom import fixed_values as fv
 from scanloom.functions import text
-from scanloom.operators import findings as fnd
+from scanloom.operators import findings as fnd, lines
 from scanloom.session import cut_lineage
 from scanloom.sinks import reports as rep
 from scanloom.workloads import adapters as ad
@@ -164,13 +164,12 @@ def f9_html_escape(spark, folder):
     return ad.read(spark, folder, "pages").select("page_id", F.md5(text.html_escape(F.col("html"))).alias("digest"))
 
 
-@query("f12_code_listing", f"""SELECT page_id, line_no, {_ESC.format("CASE WHEN line = '' THEN ' ' ELSE line END")} AS code, line_no = 2 AS highlighted
+@query("f12_code_listing", f"""SELECT page_id, line_no, {_ESC.format("CASE WHEN line = '' THEN ' ' ELSE line END")} AS code, page_id % 4 > 0 AND line_no = page_id % 4 AS highlighted
 FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_no FROM pages)""")
 def f12_code_listing(spark, folder):
-    rows = ad.read(spark, folder, "pages").select("page_id", F.posexplode(F.split("html", "\n", -1)).alias("p", "line"))
-    return rows.select("page_id", (F.col("p") + 1).alias("line_no"),
-                       text.html_escape(F.when(F.col("line") == "", " ").otherwise(F.col("line"))).alias("code"),
-                       (F.col("p") == 1).alias("highlighted"))
+    """Pages as listings with a marked line, or none."""
+    marked = F.nullif(F.col("page_id") % 4, F.lit(0))
+    return lines.code_listing(ad.read(spark, folder, "pages").select("page_id", "html"), ["page_id"], "html", marked)
 
 
 # ------------------------------------------------------------------ export rows
