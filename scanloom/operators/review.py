@@ -23,6 +23,11 @@ class RateLimited(Exception):
     """Raised by a scorer when its provider refuses the call for rate reasons."""
 
 
+def _rate_limited(failure: Exception) -> bool:
+    """By name: on an executor that has this package installed a scorer's class is another one than the shipped one."""
+    return any((c.__module__, c.__qualname__) == (RateLimited.__module__, RateLimited.__qualname__) for c in type(failure).__mro__)
+
+
 def reviewable(packs: DataFrame) -> DataFrame:
     return packs.where(F.length(text.strip(F.col("content"))) >= fv.MIN_REVIEW_CHARS)
 
@@ -38,31 +43,32 @@ def with_prompt(packs: DataFrame) -> DataFrame:
     return packs.withColumn("prompt", prompt(c("relative_path"), c("chunk_type"), c("name"), c("start_line"), c("content")))
 
 
-_RESPONSES = "repository_name string, chunk_rank int, chunk_id string, file_path string, start_line int, response string, note string"
+_RESPONSES = "repository_name string, chunk_rank int, chunk_id string, file_path string, start_line int, response string, note string, error string"
 
 
-def call_scorer(prompts: DataFrame, scorer: Callable[[str], str], wait: float = fv.RETRY_WAIT_SECONDS) -> DataFrame:
-    """Ask ``scorer`` for every prompt, in rank order per repository.
+def call_scorer(prompts: DataFrame, scorer: Callable[..., str], wait: float = fv.RETRY_WAIT_SECONDS, system: str | None = None) -> DataFrame:
+    """Ask ``scorer(prompt)`` for every prompt, or ``scorer(system, prompt)`` with a system prompt, in rank order per repository.
 
     A rate limit is retried once; a second one ends the repository's review with a
-    note. Other errors give no response. A group has at most ``REVIEW_LIMIT`` rows.
+    note. Other errors give no response and stand in ``error``. A group has at most ``REVIEW_LIMIT`` rows.
     """
     def review(group: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in group.sort_values("chunk_rank").itertuples():
-            response, note = None, None
+            response, note, error = None, None, None
             for attempt in (1, 2):
                 try:
-                    response = scorer(r.prompt)
+                    response = scorer(r.prompt) if system is None else scorer(system, r.prompt)
                     break
-                except RateLimited:
+                except Exception as failure:  # a scorer may fail in any way; the other calls go on
+                    if not _rate_limited(failure):
+                        error = f"{type(failure).__name__}: {failure}"
+                        break
                     if attempt == 2:
                         note = fv.RATE_LIMIT_NOTE
                     else:
                         time.sleep(wait)
-                except Exception:
-                    break
-            rows.append((r.repository_name, r.chunk_rank, r.chunk_id, r.relative_path, r.start_line, response, note))
+            rows.append((r.repository_name, r.chunk_rank, r.chunk_id, r.relative_path, r.start_line, response, note, error))
             if note:
                 break
         return pd.DataFrame(rows, columns=[f.split()[0] for f in _RESPONSES.split(", ")])
@@ -75,7 +81,12 @@ def join_responses(packs: DataFrame, responses: DataFrame) -> DataFrame:
     """Use a stored ``responses(repository_name, chunk_id, response)`` table instead of a scorer."""
     return packs.join(responses, ["repository_name", "chunk_id"]).select(
         "repository_name", "chunk_rank", "chunk_id", F.col("relative_path").alias("file_path"), "start_line", "response",
-        F.lit(None).cast("string").alias("note"))
+        F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("error"))
+
+
+def failed_calls(responses: DataFrame) -> DataFrame:
+    """Calls that gave no response because the scorer failed."""
+    return responses.where(F.col("error").isNotNull()).select("repository_name", "chunk_rank", "chunk_id", "file_path", "error")
 
 
 def rebase_line(relative: Column, start_line: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from scanloom import fixed_values as fv
 from scanloom.operators import chunking, dependencies, findings as fnd, history, inventory, packing, review, rules, scoring
 from scanloom.session import cut_lineage
 
@@ -21,35 +22,40 @@ class Audit:
     frameworks: DataFrame
     findings: DataFrame
     scores: DataFrame
+    #: Calls in which the scorer failed; None if there was no scorer.
+    failed: DataFrame | None = None
 
 
-def review_packs(files: DataFrame) -> DataFrame:
+def review_packs(files: DataFrame, limit: int = fv.REVIEW_LIMIT) -> DataFrame:
     """The packs a model would be shown: chunk, pack, rank, drop the trivial ones, render prompts."""
     packs = packing.pack_files(chunking.chunk_arrays(packing.review_targets(files)))
-    return review.with_prompt(review.reviewable(packing.top_packs(packs)))
+    return review.with_prompt(review.reviewable(packing.top_packs(packs, limit)))
 
 
 def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | None = None,
-          scorer: Callable[[str], str] | None = None) -> Audit:
+          scorer: Callable[..., str] | None = None, system: str | None = None, pack_limit: int = fv.REVIEW_LIMIT) -> Audit:
     """Run all scanners over ``files`` (a stored table: it is read once per branch).
 
+    ``scorer`` reviews up to ``pack_limit`` packs a repository; with ``system`` it is called as ``scorer(system, prompt)``
+    (``review.SYSTEM_PROMPT`` asks for the form that is understood).
+
     The correlated findings are cut from their lineage because everything after reads them.
     """
     entries = inventory.manifest_entries(files)
     declared = inventory.dependencies(entries)
     parts = [fnd.in_order(scan(files), i) for i, scan in enumerate(scanners or [rules.scan_files])]
     parts.append(dependencies.dependency_findings(declared, files))
-    notes = None
+    notes = failed = None
     if scorer is not None:
-        responses = cut_lineage(review.call_scorer(review_packs(files), scorer))
+        responses = cut_lineage(review.call_scorer(review_packs(files, pack_limit), scorer, system=system))
         parts.append(review.parse_responses(responses))
-        notes = review.skip_notes(responses)
+        notes, failed = review.skip_notes(responses), review.failed_calls(responses)
     correlated = cut_lineage(fnd.correlate(fnd.union_findings(*parts), files))
     scans = files.select(F.col("repository_name").alias("scan_id")).distinct()
     scores = scoring.score_scans(correlated, scans)
     if notes is not None:
         scores = scoring.add_notes(scores, notes)
-    return Audit(files, inventory.language_stats(files), declared, inventory.frameworks(files, entries), correlated, scores)
+    return Audit(files, inventory.language_stats(files), declared, inventory.frameworks(files, entries), correlated, scores, failed)
 
 
 def reports(run: Audit, scans: DataFrame, listing: DataFrame | None = None) -> DataFrame:
