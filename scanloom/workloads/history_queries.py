@@ -177,14 +177,24 @@ def r2_change_feed(spark, folder):
     return progress.change_feed(ad.state_events(spark, folder)).select("seq", "scan_id", "status", "progress")
 
 
+def _started(spark, writer):
+    """Start a bounded replay. A stream keeps a state store for each shuffle partition and batch, so it gets no more of them than there are cores."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def _streamed(spark, folder, keep: str) -> DataFrame:
     """Run the events through the stream in arrival order; the sink is a table of the state log."""
     source, sink = scratch(spark, "events"), scratch(spark, "changes")
     events = ad.state_events(spark, folder).select(*[F.col(c.split()[0]) for c in schemas.STATE_EVENTS.split(", ")])
     events.repartitionByRange(2, "seq").write.parquet(source)
     rows = live.accepted_stream(live.read_events(spark, source), expire=False) if keep == "all" else live.change_stream(live.read_events(spark, source), expire=False)
-    started = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream")).trigger(
-        availableNow=True).start()
+    started = _started(spark, rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream")))
     started.awaitTermination()
     return spark.read.parquet(sink)
 
@@ -223,7 +233,7 @@ def _upserted(spark, events: DataFrame, sink: str, batches: int, compact_every:
         events.where(inside).repartition(files).write.mode("append").parquet(source)
     write = live.upsert_sink(sink, compact_every)
     rows = live.accepted_stream(live.read_events(spark, source, files, schemas.TIMED_EVENTS), expire=False, initial=initial)
-    started = rows.writeStream.foreachBatch(each(write) if each else write).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+    started = _started(spark, rows.writeStream.foreachBatch(each(write) if each else write).option("checkpointLocation", scratch(spark, "stream")))
     started.awaitTermination()
     done = [p["batchId"] for p in started.recentProgress if p["numInputRows"]]
     if len(done) < batches:
