@@ -11,7 +11,7 @@ from scanloom.functions import text
 from scanloom.operators import chunking as ch, packing, review
 from scanloom.plans.audit import review_packs
 from scanloom.workloads import adapters as ad
-from scanloom.workloads.registry import BLANK, WORD, lines_cte, nonblank_sql, query, split_sql
+from scanloom.workloads.registry import BLANK, WORD, lines_cte, nonblank_sql, query, split_sql, strip_sql
 
 _EXT = lambda kinds: "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
 _CHUNK = ["relative_path", "chunk_id", "chunk_type", "name", "start_line", "end_line", "digest"]
@@ -84,13 +84,15 @@ def d4_python_definitions(spark, folder):
     return spans.select("relative_path", "_s.chunk_type", "_s.name", "_s.start_line", "_s.end_line")
 
 
-@query("w4_module_scope", _PY + f""",
-{lines_cte('py_docs', 'pl')},
+_MODULES = f"""{lines_cte('py_docs', 'pl')},
 free AS (SELECT l.relative_path, l.line_number, l.line FROM pl l ANTI JOIN defs d ON d.relative_path = l.relative_path AND l.line_number BETWEEN d.start_line AND d.end_line),
 islands AS (SELECT *, line_number - row_number() OVER (PARTITION BY relative_path ORDER BY line_number) AS island FROM free),
 pieces AS (SELECT *, (row_number() OVER (PARTITION BY relative_path, island ORDER BY line_number) - 1) // 100 AS piece FROM islands),
 modules AS (SELECT relative_path, min(line_number) AS start_line, max(line_number) AS end_line, string_agg(line, chr(10) ORDER BY line_number) AS content
-  FROM pieces GROUP BY relative_path, island, piece)
+  FROM pieces GROUP BY relative_path, island, piece)"""
+
+
+@query("w4_module_scope", _PY + ",\n" + _MODULES + f"""
 SELECT relative_path, relative_path || '#module-' || start_line AS chunk_id, 'module' AS chunk_type, 'module_scope' AS name, start_line, end_line, md5(content) AS digest
 FROM modules WHERE {nonblank_sql('content')}""", ("code_files",))
 def w4_module_scope(spark, folder):
@@ -145,12 +147,35 @@ def w10_chunk_dispatch(spark, folder):
     return ad.code_files(spark, folder).groupBy(ch.chunk_kind(F.col("extension")).alias("kind")).agg(F.count("*").alias("files"))
 
 
-@query("w10_chunk_files")
+_CUT = "array_to_string(list_slice(ls, start_line, end_line), chr(10))"
+_PLAIN = f"extension NOT IN {_EXT([*fv.BRACE_EXTENSIONS, *fv.CONFIG_EXTENSIONS])} AND (extension <> '.py' OR file_seq % 7 = 3)"
+#: ``chunks``: the chunks of every kind of all source files.
+_CHUNKS = f"""{_CONFIG},
+{_PY},
+{_MODULES},
+{_BRACE},
+{text_cte('code_files', _PLAIN, 'plain')},
+found AS (SELECT relative_path, relative_path || '#config-' || name || '-' || start_line AS chunk_id, 'config' AS chunk_type, name, start_line, end_line, content FROM cq
+  UNION ALL SELECT relative_path, relative_path || '#' || CASE chunk_type WHEN 'class' THEN 'class-' ELSE 'fn-' END || name || '-' || start_line, chunk_type, name, start_line, end_line, {_CUT}
+    FROM defs JOIN pl_a USING (relative_path)
+  UNION ALL SELECT relative_path, relative_path || '#module-' || start_line, 'module', 'module_scope', start_line, end_line, content FROM modules
+  UNION ALL SELECT relative_path, chunk_id, chunk_type, name, start_line, end_line, {_CUT} FROM brace JOIN bl_a USING (relative_path)
+  UNION ALL SELECT relative_path, chunk_id, chunk_type, name, start_line, end_line, content FROM plain),
+chunks AS (SELECT c.repository_name, c.file_seq, c.extension, f.* FROM found f JOIN code_files c USING (relative_path) WHERE {nonblank_sql('f.content')})"""
+
+
+@query("w10_chunk_files", _CHUNKS + f" SELECT {_FLAT} FROM (SELECT *, md5(content) AS digest FROM chunks)", ("code_files",))
 def w10_chunk_files(spark, folder):
-    """All four kinds of chunks of all files (python text has no SQL form)."""
+    """All four kinds of chunks of all files."""
     return _chunks(ch.chunk_arrays(ad.code_files(spark, folder)))
 
 
+@query("a11_code_chunk_totals", _CHUNKS + """, per AS (SELECT repository_name, count(*) AS total_chunks FROM chunks GROUP BY 1)
+SELECT repository_name, count(*) AS total_files, coalesce(any_value(total_chunks), 0) AS total_chunks FROM code_files LEFT JOIN per USING (repository_name) GROUP BY 1""", ("code_files",))
+def a11_code_chunk_totals(spark, folder):
+    return ch.chunk_totals(ch.chunk_arrays(ad.code_files(spark, folder)))
+
+
 @query("a11_chunk_totals", text_cte("corpus") + """, per AS (SELECT repository_name, count(*) AS total_chunks FROM blocks GROUP BY 1)
 SELECT repository_name, count(*) AS total_files, coalesce(any_value(total_chunks), 0) AS total_chunks FROM corpus LEFT JOIN per USING (repository_name) GROUP BY 1""", ("corpus",))
 def a11_chunk_totals(spark, folder):
@@ -168,22 +193,29 @@ _TARGETS = f"extension IN {_EXT(fv.REVIEW_EXTENSIONS)}"
 _CAP = 2500  # small enough to split these files often
 
 
-def pack_cte(cap: int) -> str:
-    """Packs of the 100-line blocks of the review targets."""
-    return text_cte("code_files", _TARGETS) + f""",
-nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY start_line) AS n, length(content) AS len FROM blocks),
+_BLOCKS = text_cte("code_files", _TARGETS)
+
+
+def pack_cte(cap: int, chunks: str = _BLOCKS, name: str = "blocks") -> str:
+    """Packs of the review targets: of their 100-line blocks, or of the ``chunks`` (SQL that ends in a table ``name``)."""
+    return chunks + f""",
+nb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY start_line) AS n, length(content) AS len FROM {name}),
 walk AS (SELECT relative_path, n, len AS run, 1 AS pack FROM nb WHERE n = 1
   UNION ALL SELECT b.relative_path, b.n, CASE WHEN w.run + b.len > {cap} THEN b.len ELSE w.run + b.len END, CASE WHEN w.run + b.len > {cap} THEN w.pack + 1 ELSE w.pack END
   FROM walk w JOIN nb b ON b.relative_path = w.relative_path AND b.n = w.n + 1),
 inside AS (SELECT nb.*, pack, row_number() OVER (PARTITION BY nb.relative_path, pack ORDER BY nb.n) AS seg FROM nb JOIN walk USING (relative_path, n)),
 packs AS (SELECT repository_name, file_seq, relative_path, pack - 1 AS pack_seq, count(*) AS segments, min(start_line) AS start_line, max(end_line) AS end_line,
   CASE WHEN count(*) = 1 THEN any_value(chunk_id) ELSE 'merged-' || relative_path || '-' || min(start_line) END AS chunk_id,
-  CASE WHEN count(*) = 1 THEN 'general' ELSE 'merged' END AS chunk_type,
-  CASE WHEN count(*) = 1 THEN 'code_block' ELSE 'Merged Context (' || count(*) || ' segments)' END AS name,
+  CASE WHEN count(*) = 1 THEN any_value(chunk_type) ELSE 'merged' END AS chunk_type,
+  CASE WHEN count(*) = 1 THEN any_value(name) ELSE 'Merged Context (' || count(*) || ' segments)' END AS name,
   CASE WHEN count(*) = 1 THEN any_value(content) ELSE string_agg('// --- Code Segment ' || seg || ' (Lines ' || start_line || '-' || end_line || ') ---' || chr(10) || content || chr(10), chr(10) ORDER BY seg) END AS content
   FROM inside GROUP BY repository_name, file_seq, relative_path, pack)"""
 
 
+#: ``targets``: the chunks of every kind of the review targets.
+_CODE_TARGETS = _CHUNKS + f", targets AS (SELECT * FROM chunks WHERE lower(extension) IN {_EXT(fv.REVIEW_EXTENSIONS)})"
+
+
 def _packs(spark, folder, cap=_CAP):
     files = packing.review_targets(ad.code_files(spark, folder)).where(~text.is_blank(F.col("content")))
     files = files.withColumn("lines", text.split_lines(F.col("content")))
@@ -196,6 +228,13 @@ def w6_greedy_packs(spark, folder):
     return _packs(spark, folder).select("relative_path", "pack_seq", "segments", "start_line", "end_line")
 
 
+@query("w6_code_packs", pack_cte(_CAP, _CODE_TARGETS, "targets") + " SELECT relative_path, pack_seq, segments, chunk_id, name, end_line, md5(content) AS digest FROM packs", ("code_files",))
+def w6_code_packs(spark, folder):
+    """Packs of definitions, brace blocks, sections and text blocks in line order."""
+    chunked = ch.chunk_arrays(packing.review_targets(ad.code_files(spark, folder)))
+    return packing.pack_files(chunked, _CAP).select("relative_path", "pack_seq", "segments", "chunk_id", "name", "end_line", F.md5("content").alias("digest"))
+
+
 @query("a12_merged_chunks", pack_cte(10**9) + " SELECT relative_path, chunk_id, chunk_type, name, start_line, end_line, md5(content) AS digest FROM packs", ("code_files",))
 def a12_merged_chunks(spark, folder):
     return _packs(spark, folder, 10**9).withColumn("digest", F.md5("content")).select(*_CHUNK)
@@ -221,9 +260,10 @@ def a15_priority(spark, folder):
     return ad.code_files(spark, folder).select("relative_path", packing.priority(F.col("content")).alias("priority"))
 
 
-_TOP = pack_cte(_CAP) + f""",
+_RANKED = f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repository_name ORDER BY priority DESC, file_seq, start_line) AS chunk_rank FROM (SELECT *, {_PRIORITY} AS priority FROM packs)),
 top AS (SELECT * FROM ranked WHERE chunk_rank <= 6)"""
+_TOP = pack_cte(_CAP) + _RANKED
 
 
 @query("o2_top_packs", _TOP + " SELECT repository_name, chunk_rank, chunk_id, priority FROM top", ("code_files",))
@@ -269,7 +309,8 @@ def d3_model_review(spark, folder):
     return found.select("scan_id", "finding_id", "title", "severity", "line_number")
 
 
-@query("d3_review_packs")
+@query("d3_review_packs", pack_cte(fv.PACK_CHARS, _CODE_TARGETS, "targets") + _RANKED + f"""
+SELECT repository_name, chunk_rank, chunk_id, priority, md5({_PROMPT}) AS digest FROM top WHERE length({strip_sql('content')}) >= 40""", ("code_files",))
 def d3_review_packs(spark, folder):
     """Chunk, pack, rank and render all source files."""
     return review_packs(ad.code_files(spark, folder)).select("repository_name", "chunk_rank", "chunk_id", "priority", F.md5("prompt").alias("digest"))
