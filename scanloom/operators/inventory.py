@@ -66,6 +66,18 @@ def short_config_names(config_rows: DataFrame) -> DataFrame:
     return config_rows.groupBy(REPO, F.substring_index("config", " ", 1).alias("short_name")).agg(F.count("*").alias("n"))
 
 
+def short_config_text(config_rows: DataFrame, repositories: DataFrame) -> DataFrame:
+    """The listing as one text per repository of ``repositories``, as report heads show it.
+
+    Equal words are counted before they meet, so what a task gathers is one row for each different word.
+    """
+    entry = F.concat(F.repeat(F.concat("short_name", F.lit(", ")), F.col("n").cast("int") - 1), "short_name")
+    joined = short_config_names(config_rows).groupBy(REPO).agg(
+        F.sort_array(F.collect_list(F.struct("short_name", entry.alias("entry")))).alias("_e"))
+    return repositories.select(REPO).distinct().join(joined, REPO, "left").select(
+        REPO, F.coalesce(F.array_join(F.col("_e.entry"), ", "), F.lit(fv.NO_CONFIGS)).alias("short_names"))
+
+
 # ------------------------------------------------------------------ manifests
 _KEYS = [REPO, "file_seq", "relative_path"]
 

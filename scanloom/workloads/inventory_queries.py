@@ -142,6 +142,19 @@ def f11_short_config_names(spark, folder):
     return inv.short_config_names(inv.configs(listing, listing))
 
 
+_PARTS = _CONFIGS.replace("SELECT source AS repository_name", "SELECT source || '/' || (doc_id % 400) AS repository_name")
+
+
+@query("f11_short_config_text", _PARTS + """, repos AS (SELECT DISTINCT repository_name FROM listing)
+SELECT repository_name, coalesce(string_agg(string_split(config, ' ')[1], ', ' ORDER BY config), 'None Detected') AS short_names
+FROM repos LEFT JOIN configs USING (repository_name) GROUP BY 1""")
+def f11_short_config_text(spark, folder):
+    """One text per repository; a repository is a part of a source, and some have no configuration."""
+    part = F.concat("repository_name", F.lit("/"), (F.col("file_seq") % 400).cast("string"))
+    listing = _listing(spark, folder).withColumn("repository_name", part)
+    return inv.short_config_text(inv.configs(listing, listing), listing)
+
+
 # ------------------------------------------------------------------ manifests
 _M = "repository_name, relative_path"
 _NPM = "CASE package " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fv.NPM_FRAMEWORKS.items()) + " END"

@@ -1,14 +1,18 @@
 """The whole scan of small trees, from files to stored reports."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
-from scanloom.operators import review
+from scanloom import fixed_values as fv
+from scanloom.operators import dependencies, findings as fnd, inventory, review, rules
 from scanloom.plans import audit as plan
 from scanloom.session import cut_lineage
 from scanloom.sinks import reports as rep
 from scanloom.sources import records, trees
+from scanloom.workloads import adapters
+from scanloom.workloads.catalog import QUERIES
 
 CODE = "import os\n\n\ndef login(password):\n" + "    # check the user and open a session for the whole site\n" * 8 + "    return os.system(password)\n"
 
@@ -52,3 +56,28 @@ def test_trees_to_reports(spark, tmp_path, monkeypatch):
     assert "Note:" in read["limited"].score.risk_summary and "Note:" not in read["failing"].score.risk_summary
     assert [(r.repository_name, r.error) for r in run.failed.collect()] == [("failing", "ValueError: no answer")]
     assert "Command injection" not in titles.get("limited", []) + titles.get("failing", [])
+
+
+def test_whole_audit_query_agrees_with_its_parts(spark):
+    """Heads of the registered whole scan against the tables that its parts give, each counted by itself in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    heads = {r.scan_id: r for r in QUERIES["d3_whole_audit"](spark, folder).collect()}
+    code, manifests = adapters.code_files(spark, folder), adapters.manifest_files(spark, folder)
+    files = code.unionByName(manifests)
+    sizes, deps, levels = {}, {}, {}
+    for r in files.select("repository_name", "size").collect():
+        sizes.setdefault(r.repository_name, []).append(r.size)
+    for r in inventory.dependencies(inventory.manifest_entries(files)).collect():
+        deps.setdefault(r.repository_name, set()).add(r.dependency)
+    found = fnd.union_findings(rules.scan_files(files).select("*"), dependencies.dependency_findings(inventory.dependencies(inventory.manifest_entries(files)), files))
+    for r in found.select("scan_id", "severity").collect():
+        levels.setdefault(r.scan_id, []).append(r.severity)
+    assert set(heads) == set(sizes)
+    for name, head in heads.items():
+        counts = {s: getattr(head, f"n_{s.lower()}") for s in fv.DEDUCTIONS}
+        lost = sum(fv.DEDUCTIONS[s] * n for s, n in counts.items())
+        assert head.overall_score == max(0, 100 - lost) and head.status == "completed"
+        assert sum(counts.values()) <= head.findings
+        assert (head.total_files, head.total_size) == (len(sizes[name]), sum(sizes[name]))
+        assert head.dependencies == hashlib.md5("\n".join(sorted(deps.get(name, ()))).encode()).hexdigest()
+        assert bool(head.findings) or not levels.get(name)
