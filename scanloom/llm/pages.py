@@ -64,16 +64,20 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
-    """(feature, text, boilerplate, labelled content, words) in page order; tags have no text."""
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, content
-    raw = ""
-    for m in _TOKEN.finditer(page):
+    """(feature, text, boilerplate, labelled content, words) in page order; tags have no text.
+
+    Time is proportional to the page's length: an open element carries what words in it need to know.
+    """
+    # name, boilerplate, content, innermost block, inside a link
+    stack: list[tuple[str, bool, bool, str, bool]] = []
+    opened: Counter = Counter()
+    outermost = ("", False, False, "body", False)
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         closing, name, attributes = m[1] or m[4] or "", (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
-        off, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if raw:
-            if closing and name == raw:
-                raw = ""
-            continue
+        _, off, content, block, link = stack[-1] if stack else outermost
         if not name:
             text = m[0]
             if text[0] == "<" and text[1:2].strip():
@@ -81,29 +85,31 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
             text = html.unescape(text)
             n = len(text.split())
             if n:
-                block = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "body")
-                link = any(s[0] == "a" for s in stack)
                 yield f"word {'off' if off else block}{' a' if link else ''}", text, off, content, n
             else:
                 yield "blank", text, off, content, 0
             continue
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                content = stack[at - 1][2] if at else False
-                off = stack[at - 1][1] if at else False
-                del stack[at:]
+            if opened[name]:
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
+                _, off, content, *_ = stack[-1] if stack else outermost
             yield f"tag /{name}" if name in BLOCKS or name in INLINE else "tag other", " " if name in BLOCKS else "", off, content, 0
             continue
         if name in RAW and not attributes.endswith("/"):
-            raw = name
+            # nothing in it is markup: a "<" of a script would swallow the closing tag
+            end = re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if name in BLOCKS and name != "br":
             while stack and (stack[-1][0] in CLOSED_BY_BLOCK):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            off, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                opened[stack.pop()[0]] -= 1
+            _, off, content, block, link = stack[-1] if stack else outermost
         marks, body = _marks(attributes)
         body |= name in ("article", "main")
         own = name in OUTSIDE or name == "header" and not content or "hidden" in marks and name not in ("html", "body")
@@ -111,7 +117,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
             own = True
         yield f"tag {name}" if name in BLOCKS or name in INLINE else "tag other", " " if name in BLOCKS else "", off or own, content, 0
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, off or own, content or body))
+            stack.append((name, off or own, content or body, name if name in BLOCKS else block, link or name == "a"))
+            opened[name] += 1
 
 
 # ------------------------------------------------------------------ weights
