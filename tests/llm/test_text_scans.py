@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -52,6 +53,45 @@ def test_guess_cost_is_a_minimum():
         assert secrets.log_guesses(value) == pytest.approx(brute_cost(value))
 
 
+def brute_cost_of_all_kinds(value):
+    """The cheapest segmentation, by trying every stretch as every kind of segment."""
+    char, found = np.log10(secrets.alphabet(value)), set(secrets.dates(value))
+    steps = (lambda a, b: b in secrets.NEAR.get(a, ()), lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(b) - ord(a) == -1)
+    best = [0.0]
+    for e in range(1, len(value) + 1):
+        options = [best[e - 1] + char]
+        for s in range(e - 2):
+            part = value[s:e]
+            if (word := secrets.word_cost(part)) is not None:
+                options.append(best[s] + word)
+            if any(all(step(a, b) for a, b in zip(part.lower(), part.lower()[1:])) for step in steps):
+                options.append(best[s] + secrets.run_cost(e - s))
+            if (s, e) in found:
+                options.append(best[s] + secrets.date_cost(e - s))
+            options += [best[s + u] + secrets.repeat_cost(e - s, u) for u in range(1, secrets.LONGEST_UNIT + 1)
+                        if e - s >= 2 * u and part[u:] == part[:-u]]
+        best.append(min(options))
+    return best[-1]
+
+
+def test_guess_cost_is_a_minimum_over_all_kinds():
+    rng = np.random.default_rng(7)
+    parts = ["monkey", "uiop", "qwerty", "abcd", "aaa", "ab", "abab", "2024", "20240131", "31", "x", "Q", "9", "zzzzzzzz", "P@ss", "word", "654", "\u00e9", "\u0130", "asdasd"]
+    values = ["monkeyuiop", "", "12024-01-3199"]
+    for k in range(400):
+        values.append("".join(rng.choice(parts if k % 2 else list("ab12q"), rng.integers(1, 9 if k % 2 else 30))))
+    for value in values:
+        assert secrets.log_guesses(value) == pytest.approx(brute_cost_of_all_kinds(value)), value
+    assert secrets.log_guesses("monkeyuiop") < 4
+
+
+def test_name_before_a_key_word_has_no_bound(table):
+    value = "Xy(9)k#2,Qw!z"
+    texts = [f'{"a" * n}password="{value}"' for n in (0, 1, 41, 100_000)]
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.secrets] for r in secrets.scan(table(texts)).collect()}
+    assert got == {i: [value] for i in range(4)}
+
+
 def test_guess_spans(table):
     texts = ["db_pwd: 'k3$Jq!9zPw%x'", "pwd=changeme", "auth-key=qwertyuiop", "password=b7db7aa4a5fcc78305"]
     got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.secrets] for r in secrets.scan(table(texts)).collect()}
@@ -174,3 +214,19 @@ def test_empty_tables(spark, table):
 def test_query_rows(spark, tmp_path):
     assert json.dumps(sorted(queries.QUERIES)) == json.dumps(sorted(f"op{n}_{k}" for n, k in enumerate(
         ("license_scan", "secret_scan", "simhash", "neighbours", "decontaminate", "suffix_dedup", "main_text", "byte_bpe", "line_runs", "toxicity"), 1)))
+
+
+def test_scripts_may_hold_signs_of_markup():
+    page = """<body><script>for (i=0;i<n;i++) { s = "it's" }</script><nav>Home</nav><style>a>b{c:"<d"}</style><article><p>the real words of this page</p></article></body>"""
+    assert pages.main_text(page, {}) == "the real words of this page"
+    assert pages.main_text("<article><p>one two three</p><SCRIPT>if (a<b) x()</script ><p>four five</p></article><script>never closed <p>six", {}) == "one two three four five"
+
+
+def test_time_is_proportional_to_nesting():
+    def seconds(page):
+        begin = time.perf_counter()
+        pages.main_text(page, {})
+        return time.perf_counter() - begin
+
+    for unit in ("<div>word ", '<a ">x ', "<b>x</i> ", "<p>x<li>y"):
+        assert seconds(unit * 60_000) < 10  # walks over the open elements would take hours
