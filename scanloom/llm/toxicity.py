@@ -28,9 +28,7 @@ from scanloom.llm import texts
 MOST_TOXIC, MOST_CLEAN = 4_000, 12_000
 LEXICON = 50_000
 LEAST_TEXTS, LEAST_ODDS = 6, 2.5
-#: A training text with more evidence tokens is left out of the chain's fit (not of the counts).
-MOST_EVIDENCE = 300
-#: Training texts of each kind that the chain itself is fitted on.
+#: Training rows of each kind that the chain itself is fitted on, whole texts of any length; all are calibrated on.
 MOST_FIT = 1_000
 PREFIX_BYTES, PREFIX_FROM = 4, 6
 TAGGED = 0.5
@@ -186,9 +184,17 @@ class Model:
     scale: tuple[float, float]
 
 
+def sample_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
+    """doc_id, key, toxic, text: at most so many different rows of each kind, also if one id stands on very many rows."""
+    ids = texts.written(sample_ids(docs, labels, most_toxic, most_clean))
+    keyed = texts.id_text(docs).join(F.broadcast(ids), "doc_id").withColumn("key", texts.text_key(F.col("text")))
+    known, order = keyed.select("doc_id", "key", "toxic").distinct(), (F.xxhash64("doc_id"), "key")
+    picked = texts.written(known.where("toxic = 1").orderBy(*order).limit(most_toxic).union(known.where("toxic = 0").orderBy(*order).limit(most_clean)))
+    return keyed.join(F.broadcast(picked.drop("toxic")), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model | None:
-    ids = texts.written(sample_ids(docs, labels, most_toxic, most_clean))  # at most most_toxic + most_clean rows
-    chosen = texts.id_text(docs).join(F.broadcast(ids), "doc_id")
+    chosen = texts.written(sample_rows(docs, labels, most_toxic, most_clean))
 
     def features(batches):
         powers = texts.Powers()
@@ -234,25 +240,32 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
                 places.append(at)
                 w.append(vw[s:e][at])
                 p.append(vp[s:e][at])
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(count, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64()))],
-                                             ["toxic", "n", "places", "w", "p"])
-
-    rows = chosen.mapInArrow(evidence, "toxic int, n long, places array<long>, w array<double>, p array<double>").where(F.size("places") <= MOST_EVIDENCE).collect()
-    rows.sort(key=lambda r: (r["toxic"], r["n"], r["places"], r["w"]))  # the same model whatever order the rows came in
-    toxic, n_tokens = np.array([r["toxic"] for r in rows]), np.array([r["n"] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r["places"]) for r in rows])
-    join = lambda k: np.array([x for r in rows for x in r[k]])
-    w, p, seq = join("w"), join("p"), sequences(owner, join("places").astype(np.int64), n_tokens)
-    # the chain is fitted on every so many of the rows, the calibration on all
-    pick = np.zeros(len(rows), bool)
-    for kind in (0, 1):
-        own = np.flatnonzero(toxic == kind)
-        pick[own[::max(1, -(-len(own) // MOST_FIT))]] = True
-    inside, back = pick[owner], np.cumsum(pick) - 1
-    few = sequences(back[owner[inside]], join("places").astype(np.int64)[inside], n_tokens[pick])
-    chain = fit(w[inside], p[inside], few, toxic[pick])
-    log_z = forward(chain, chain.emission(w, p), seq)
-    return Model(word, prefix, chain, logistic(raw_logit(log_z), toxic))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("toxic"), pa.array(count, pa.int64()), pa.array(places, pa.list_(pa.int64())),
+                                              pa.array(w, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "key", "toxic", "n", "places", "w", "p"])
+
+    proofs = texts.written(chosen.mapInArrow(evidence, "doc_id long, key string, toxic int, n long, places array<long>, w array<double>, p array<double>"))
+    rows = []
+    for kind in (1, 0):  # in one order, so the same model whatever order the rows came in
+        rows += proofs.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "key").limit(MOST_FIT).collect()
+    toxic, owner = np.array([r["toxic"] for r in rows]), np.repeat(np.arange(len(rows)), [len(r["places"]) for r in rows])
+    join = lambda k, kind: np.array([x for r in rows for x in r[k]], kind)
+    chain = fit(join("w", float), join("p", float), sequences(owner, join("places", np.int64), np.array([r["n"] for r in rows])), toxic)
+    weights = chain.weights
+
+    def logits(batches):
+        own = Chain(weights)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = batch.column("places")
+            sizes = np.diff(places.offsets.to_numpy())
+            flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+            seq = sequences(np.repeat(np.arange(len(sizes)), sizes), flat("places"), batch.column("n").to_numpy())
+            log_z = forward(own, own.emission(flat("w"), flat("p")), seq)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw_logit(log_z))], ["toxic", "logit"])
+
+    pairs = np.array(sorted((r["logit"], r["toxic"]) for r in proofs.select("toxic", "n", "places", "w", "p").mapInArrow(logits, "toxic int, logit double").collect()))
+    return Model(word, prefix, chain, logistic(pairs[:, 0], pairs[:, 1]))
 
 
 def fit(w: np.ndarray, p: np.ndarray, seq: Sequences, toxic: np.ndarray) -> Chain:
