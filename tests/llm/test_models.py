@@ -133,6 +133,26 @@ def test_toxicity_held_out(spark, table):
     assert all(again[i] == pytest.approx(r.score, abs=1e-6) for i, r in got.items())
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:20]
+    rows = [(ids[0], f"text number {k}") for k in range(300)] + [(ids[0], "text number 1")] * 50 + [(i, f"other {i}") for i in ids[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
+    got = toxicity.sample_rows(docs, labels, 30, 10).collect()
+    assert sum(r.toxic for r in got) == 30 and len(got) == 40 and len({(r.doc_id, r.text) for r in got}) == 40
+    assert {(r.doc_id, r.text) for r in got} <= set(rows)
+
+
+def test_long_texts_with_much_evidence_are_learned_from(spark):
+    """Every toxic text has some thousand evidence tokens, and is learned from nevertheless."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["vile", "scum"] if i % 3 == 0 and rng.random() < 0.4 else [f"w{k}" for k in range(50)]) for _ in range(3000)), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert all((score[i] >= 0.5) == bool(y) for i, _, y in rows)
+
+
 def test_toxicity_without_labels(spark, table):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.score(table(["a", None, Ellipsis]), none).collect()] == [0.0, 0.0, 0.0]

@@ -87,7 +87,7 @@ def test_guess_cost_is_a_minimum_over_all_kinds():
 
 def test_name_before_a_key_word_has_no_bound(table):
     value = "Xy(9)k#2,Qw!z"
-    texts = [f'{"a" * n}password="{value}"' for n in (0, 1, 41, 100_000)]
+    texts = [f'{"z" * n}password="{value}"' for n in (0, 1, 41, 100_000)]
     got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.secrets] for r in secrets.scan(table(texts)).collect()}
     assert got == {i: [value] for i in range(4)}
 
