@@ -66,58 +66,106 @@ def _weights(row: str = "") -> dict[str, Column]:
     }
 
 
-def _candidates() -> dict[str, Column]:
+def _candidates(at: Column) -> dict[str, Column]:
     """Of each field a struct that is smallest for the heaviest row and, among equals, for the earliest one."""
-    return {f: F.struct((-w).cast("int").alias("weight"), F.col("_at").alias("at"), F.col(f).alias("value")) for f, w in _weights().items()}
+    return {f: F.struct((-w).cast("int").alias("weight"), at.alias("at"), F.col(f).alias("value")) for f, w in _weights().items()}
 
 
-def _key(c: str) -> Column:
-    """A text that is never NULL, and equal where the values are."""
-    return F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
+#: Findings of one file up to which they are merged together in one task, and files above that whose table is broadcast.
+MOST_TOGETHER, MOST_CROWDED = 20_000, 1_000_000
+#: Findings of a task on average; it sorts them in memory.
+TASK_ROWS = 250_000
 
 
-def deduplicate(findings: DataFrame) -> DataFrame:
+def deduplicate(findings: DataFrame, together: int = MOST_TOGETHER) -> DataFrame:
     """Merge findings of one line and category (or, without a line, of one file and title).
 
     The first row survives and takes the longest explanation and fix and the highest
     severity and confidence of its copies. A repeated row without a line merges into
     the first surviving row of the same file and title, whatever line that has.
 
-    Nothing is sorted globally. Copies of a line are one aggregation whose partial rows carry the survivor and the
-    best field values themselves. Of rows without a line at most the two best candidates of each field leave a map
-    task: the first row of a key is no copy of itself, so the best of its copies is one of two. What is left has few
-    rows a file and title; there the earliest survivor is elected and takes the copies' best values.
+    All that can merge is in one file of one scan. Rows of a file with at most ``together`` of them meet by one exchange
+    of plain rows; files with more, few by this bound, are merged by aggregations that spread their rows over all tasks.
     """
     columns = findings.columns
     stored = cut_lineage(findings.withColumn("_row", F.monotonically_increasing_id()))  # rows with equal numbers keep one order
-    rows = stored.select(F.struct("finding_seq", "_row").alias("_at"), F.struct(*columns).alias("_first"), _key("scan_id").alias("_s"), _key("file_path").alias("_f"),
-                         _key("title").alias("_t"), "line_number", "category", *_BEST)
-    place = ["_s", "_f", "_t"]
-
-    lined = rows.where(F.col("line_number").isNotNull()).groupBy("_s", "_f", "line_number", "category").agg(
-        F.min(F.struct("_at", "_first", "_t")).alias("_e"), *[F.min(c).alias(f"_b_{f}") for f, c in _candidates().items()])
-    lined = lined.select("_s", "_f", "_e._t", "_e._at", "_e._first", *[f"_b_{f}" for f in _BEST], *[F.lit(None).cast(lined.schema[f"_b_{f}"].dataType).alias(f"_r_{f}") for f in _BEST])
+    sizes = stored.groupBy("scan_id", "file_path").agg(F.count("*").alias("_n"))
+    total = stored.count()
+    if total <= together:
+        return _merge_spread(stored, columns)  # small, whatever its files: not counted first
+    least = max(together, total // MOST_CROWDED)
+    crowded = cut_lineage(sizes.where(F.col("_n") > least).select(F.col("scan_id").alias("_s"), F.col("file_path").alias("_f")))
+    wide = total // TASK_ROWS > int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = [total // TASK_ROWS] if wide else []  # more than the session's exchanges have
+    if crowded.isEmpty():
+        return _merge_together(stored.repartition(*tasks, "scan_id", "file_path"), columns)
+    there = F.col("scan_id").eqNullSafe(F.col("_s")) & F.col("file_path").eqNullSafe(F.col("_f"))
+    few, many = (stored.join(F.broadcast(crowded), there, how) for how in ("left_anti", "left_semi"))
+    return _merge_together(few.repartition(*tasks, "scan_id", "file_path"), columns).unionByName(_merge_spread(many.repartition(*tasks, F.xxhash64("_row")), columns))
+
+
+def _merge_together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The merge where a file's rows are few and together: each window is inside one file, so nothing is exchanged again."""
+    file = ["scan_id", "file_path"]
+    lined = F.col("line_number").isNotNull()
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*file).orderBy("finding_seq", "_row"))).drop("_row")
+    key = Window.partitionBy(*file, "line_number", F.when(lined, F.col("category")).otherwise(F.col("title")))
+    rows = rows.withColumn("_first", F.col("_at") == F.min("_at").over(key))
+    own = _candidates(F.col("_at"))
+    # Of a line the best of all rows, without a line the best of the copies.
+    rows = rows.withColumns({f"_x_{f}": F.min(F.when(lined | ~F.col("_first"), c)).over(key) for f, c in own.items()}).where("_first")
+    place = Window.partitionBy(*file, "title")
+    rows = rows.withColumns({"_earliest": F.col("_at") == F.min("_at").over(place), **{
+        f"_r_{f}": F.min(F.when(~lined, F.col(f"_x_{f}"))).over(place) for f in _BEST}})
+    best = {f: F.when(lined, F.col(f"_x_{f}")).otherwise(own[f]) for f in _BEST}
+    taken = {f: F.when(F.col("_earliest"), F.least(best[f], f"_r_{f}")).otherwise(best[f])["value"] for f in _BEST}
+    return rows.select(*[taken[c].alias(c) if c in _BEST else F.col(c) for c in columns])
+
+
+def _merge_spread(findings: DataFrame, columns: list[str]) -> DataFrame:
+    """The merge where a file's rows may be many; of a large table they come dealt evenly, so that a task's share fits its memory.
+
+    Nothing is sorted globally. Copies of a line are one
+    aggregation whose partial rows carry the survivor and the best field values themselves. Of rows without a line at most
+    the two best candidates of each field leave a task: the first row of a key is no copy of itself, so the best of its
+    copies is one of two. What is left has few rows a file and title; there the earliest survivor is elected and takes
+    the copies' best values.
+    """
+    place = ["scan_id", "file_path", "title"]
+    order = F.struct("finding_seq", "_row")
+    rest = lambda *known: F.struct(*[c for c in columns if c not in (*known, "scan_id", "file_path", "finding_seq", *_BEST)])
+
+    rows = findings.where(F.col("line_number").isNotNull()).withColumn("_at", order)
+    lined = rows.groupBy("scan_id", "file_path", "line_number", "category").agg(
+        F.min(F.struct("_at", rest("line_number", "category").alias("rest"))).alias("_e"), *[F.min(c).alias(f"_b_{f}") for f, c in _candidates(F.col("_at")).items()])
+    none = {f: F.lit(None).cast(lined.schema[f"_b_{f}"].dataType).alias(f"_r_{f}") for f in _BEST}
+    value = lambda c, *known: F.col(c) if c in (*known, "scan_id", "file_path") else F.col("_e._at.finding_seq") if c == "finding_seq" else F.col(f"_e.rest.{c}")
+    plain = [c for c in columns if c not in _BEST]
+    lined = lined.select("_e._at", *[value(c, "line_number", "category").alias(c) for c in plain], *[f"_b_{f}" for f in _BEST], *none.values())
 
     # Rows without a line: one narrow row a field, and one with the whole row for the place of the first.
+    whole = F.struct(rest("title").alias("rest"), *_BEST)
+    rows = findings.where(F.col("line_number").isNull()).withColumns({"_at": order, "_whole": whole})
     option = lambda field, weight, value, row: F.struct(F.lit(field).alias("field"), weight.cast("int").alias("weight"), value.alias("value"), row.alias("row"))
-    no_row = F.lit(None).cast(rows.schema["_first"].dataType)
-    options = F.array(option("", F.lit(0), F.lit(None).cast("string"), F.col("_first")), *[option(f, -w, F.col(f), no_row) for f, w in _weights().items()])
-    unlined = rows.where(F.col("line_number").isNull()).select(*place, "_at", F.inline(options))
+    no_row = F.lit(None).cast(rows.schema["_whole"].dataType)
+    options = F.array(option("", F.lit(0), F.lit(None).cast("string"), F.col("_whole")), *[option(f, -w, F.col(f), no_row) for f, w in _weights().items()])
+    unlined = rows.select(*place, "_at", F.inline(options))
     best = Window.partitionBy(*place, "field").orderBy("weight", "_at")
     two = unlined.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 2)
     candidate = F.struct("weight", F.col("_at").alias("at"), "value")
     pair = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, candidate)))
-    few = two.groupBy(*place).agg(
+    pairs = two.groupBy(*place).agg(
         F.min(F.when((F.col("field") == "") & (F.col("_n") == 1), F.struct("_at", "row"))).alias("_e"), *[pair(f).alias(f"_p_{f}") for f in _BEST])
-    first_of = lambda f: F.struct((-_weights("_e.row")[f]).cast("int").alias("weight"), F.col("_e._at").alias("at"), F.col(f"_e.row.{f}").alias("value"))
+    pairs = pairs.withColumn("_e", F.struct("_e._at", "_e.row.*"))
+    first_of = lambda f: F.struct((-_weights("_e")[f]).cast("int").alias("weight"), F.col("_e._at").alias("at"), F.col(f"_e.{f}").alias("value"))
     copies_of = lambda f: F.get(F.filter(f"_p_{f}", lambda c: c["at"] != F.col("_e._at")), F.lit(0))
-    single = few.select(*place, "_e._at", F.col("_e.row").alias("_first"), *[first_of(f).alias(f"_b_{f}") for f in _BEST], *[copies_of(f).alias(f"_r_{f}") for f in _BEST])
+    single = pairs.select("_e._at", *[value(c, "title").alias(c) for c in plain], *[first_of(f).alias(f"_b_{f}") for f in _BEST], *[copies_of(f).alias(f"_r_{f}") for f in _BEST])
 
     there = Window.partitionBy(*place)
-    elected = lined.unionByName(single).select(
-        "_first", *[f"_b_{f}" for f in _BEST], (F.col("_at") == F.min("_at").over(there)).alias("_earliest"), *[F.min(f"_r_{f}").over(there).alias(f"_r_{f}") for f in _BEST])
+    elected = lined.unionByName(single).withColumns({
+        "_earliest": F.col("_at") == F.min("_at").over(there), **{f"_r_{f}": F.min(f"_r_{f}").over(there) for f in _BEST}})
     taken = lambda f: F.when(F.col("_earliest"), F.least(f"_b_{f}", f"_r_{f}")).otherwise(F.col(f"_b_{f}"))["value"]
-    return elected.select(*[taken(c).alias(c) if c in _BEST else F.col("_first")[c].alias(c) for c in columns])
+    return elected.select(*[taken(c).alias(c) if c in _BEST else F.col(c) for c in columns])
 
 
 # ------------------------------------------------------------------ test data

@@ -241,6 +241,25 @@ def test_dedupe_of_missing_keys_and_hot_groups(spark):
     assert plan.count("Exchange hashpartitioning") == 4 and "WindowGroupLimit" in plan and "rangepartitioning" not in plan
 
 
+def test_dedupe_exchanges_plain_rows_once(spark):
+    """Files of few findings merge by one exchange, beside files of many that are spread; NULL files and scans included."""
+    rng = random.Random(8)
+    fields = ("finding_seq", "file_path", "line_number", "category", "title", "severity", "confidence", "explanation", "fix_suggestion")
+    make = lambda i: dict(zip(fields, (i, rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([None, None, 1, 2]), rng.choice(["c", None]), rng.choice(["t", None, "n"]),
+                                       rng.choice(["HIGH", "LOW", "odd"]), rng.choice(["HIGH", "LOW"]), "e" * rng.randrange(4) + str(i % 10), "f" * rng.randrange(3) + str(i % 7))))
+    scans = {s: [make(i) for i in range(n)] for s, n in (("s", 90), (None, 60), ("t", 12))}
+    df = spark.createDataFrame([(s, *[r[f] for f in fields]) for s, rs in scans.items() for r in rs],
+                               "scan_id string, finding_seq int, file_path string, line_number int, category string, title string, "
+                               "severity string, confidence string, explanation string, fix_suggestion string").repartition(5)
+    want = sorted(str((s, *[r[f] for f in fields])) for s, rs in scans.items() for r in _merge_model(rs))
+    plans = {}
+    for together in (1, 20, 100, 1000):  # each file spread, some of them, none, all because the table is small
+        out = findings.deduplicate(df, together)
+        plans[together] = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, map(tuple, out.collect()))) == want
+    assert plans[100].count("Exchange hashpartitioning") == 1 and "Aggregate" not in plans[100]
+
+
 def test_score_edges(spark):
     df = spark.createDataFrame([("a", "critical", "xss")] * 6 + [("b", "odd", "nothing")], "scan_id string, severity string, category string")
     scans = spark.createDataFrame([("a",), ("b",), ("c",)], "scan_id string")
