@@ -1,5 +1,7 @@
 import time
 
+from pyspark.sql import Row
+
 from scanloom import schemas
 from scanloom.sources.folders import complete_numbers
 from scanloom.streaming import states
@@ -89,3 +91,29 @@ def test_state_table_is_compacted_and_batches_replayed(spark, tmp_path):
     # A snapshot that was not completed does not count.
     (tmp_path / "states" / "snapshot" / "upto=10").mkdir()
     assert {r.scan_id: r.progress for r in states.latest_states(spark, path).collect()} == want
+
+
+def test_scan_is_folded_from_plain_rows_with_one_read_and_one_write():
+    """A scan's events cost one read and one write of its state, and no data frame of their own; refused ones no write."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    fold = states.ScanStates(None)
+    fold.state = Value()
+    event = Row(*[c.split()[0] for c in schemas.TIMED_EVENTS.split(", ")])
+    rows = [event(*r) for r in _rows((3, "a", "COMPLETED", 9, None), (1, "a", "CLONING", 5, None), (2, "a", "QUEUED", 6, "n"))]
+    out = list(fold.handleInputRows(("a",), iter(rows), None))
+    assert [(r.seq, r.status, r.started_at, r.finished_at, r.repository_name, r.changed) for r in out] == [
+        (1, "CLONING", 5, None, None, True), (3, "COMPLETED", 5, 9, None, True)]
+    assert calls == ["get", "update"]
+    assert list(fold.handleInputRows(("a",), iter(rows[1:]), None)) == [] and calls == ["get", "update", "get"]
