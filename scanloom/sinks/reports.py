@@ -24,10 +24,11 @@ def write_reports(reports: DataFrame, findings: DataFrame, path: str) -> int:
 
     Every export has a folder of its own, and of each scan its newest complete export counts (``sources.records``): a scan
     that is exported again replaces its report, reports of other scans stay. Heads are written last and complete an
-    export; one that failed is written over. One export at a time may write to a path.
+    export; one that failed is written over. One export at a time may write to a path. Files of findings are
+    gzip, as their texts repeat much; readers know them by name.
     """
     number = max(complete_numbers(reports.sparkSession, f"{path}/reports", "export"), default=-1) + 1
-    findings.drop("finding_seq").write.mode("overwrite").json(f"{path}/findings/export={number}")
+    findings.drop("finding_seq").write.mode("overwrite").json(f"{path}/findings/export={number}", compression="gzip")
     reports.write.mode("overwrite").json(f"{path}/reports/export={number}")
     return number
 
@@ -36,12 +37,12 @@ def csv_rows(findings: DataFrame) -> DataFrame:
     return findings.withColumn("references", F.array_join("references", "; ")).drop("finding_seq")
 
 
-def write_csv(findings: DataFrame, path: str) -> None:
+def write_csv(findings: DataFrame, path: str, compression: str = "none") -> None:
     """A folder of CSV files per scan, in order; a second export of a scan replaces its folder only."""
     columns = [c for c in findings.columns if c not in ("scan_id", "finding_seq")]
     rows = findings.repartitionByRange("scan_id", "finding_seq").sortWithinPartitions("scan_id", "finding_seq")
     flat = rows.withColumn("references", F.array_join("references", "; ")) if "references" in columns else rows
-    flat.select("scan_id", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").option("header", True).option("escape", '"').csv(path)
+    flat.select("scan_id", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").option("header", True).option("escape", '"').csv(path, compression=compression)
 
 
 def append_history(entries: DataFrame, path: str) -> None:
@@ -140,20 +141,23 @@ DOCUMENTS = {
 }
 
 
-def write_document(lines: DataFrame, path: str) -> None:
+def write_document(lines: DataFrame, path: str, compression: str = "none") -> None:
     """A second export of a scan replaces its document; documents of other scans stay."""
     (lines.repartitionByRange("scan_id", "part", "finding_seq").sortWithinPartitions("scan_id", "part", "finding_seq")
-     .select("scan_id", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").text(path))
+     .select("scan_id", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").text(path, compression=compression))
 
 
-def export(reports: DataFrame, findings: DataFrame, format_name: str, path: str) -> None:
-    """Write all scans in one format; ``reports`` has scan_id, repository_name, overall_score, risk_summary."""
+def export(reports: DataFrame, findings: DataFrame, format_name: str, path: str, compression: str = "none") -> None:
+    """Write all scans in one format; ``reports`` has scan_id, repository_name, overall_score, risk_summary.
+
+    CSV files and documents may be gzip: part files put together in name order are then one gzip document.
+    """
     name = format_name.lower().strip()
     if name == "json":
         write_reports(reports, findings, path)
     elif name == "csv":
-        write_csv(findings, path)
+        write_csv(findings, path, compression)
     elif name in DOCUMENTS:
-        write_document(DOCUMENTS[name](reports, findings), path)
+        write_document(DOCUMENTS[name](reports, findings), path, compression)
     else:
         raise ValueError(f"unknown report format: {format_name}")

@@ -530,8 +530,8 @@ def k2_csv_files(spark, folder):
     path = scratch(spark, "csv")
     found = ad.raw_findings(spark, folder, by_repository=True).withColumn("references", F.array("finding_id"))
     heads = found.select("scan_id").distinct()
-    rep.export(heads, found, "csv", path)
-    rep.export(heads, found.where("scan_id = 'src3'"), " CSV ", path)
+    rep.export(heads, found, "csv", path, "gzip")
+    rep.export(heads, found.where("scan_id = 'src3'"), " CSV ", path, "gzip")
     text_columns = ", ".join(f"{c} {'int' if c == 'line_number' else 'string'}" for c in found.columns if c not in ("scan_id", "finding_seq"))
     back = spark.read.schema(f"{text_columns}, scan_id string").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return back.select(*_BACK, _digest())
@@ -542,7 +542,7 @@ def k9_export_dispatch(spark, folder):
     """SARIF documents written per scan; entries are counted in the files."""
     path = scratch(spark, "sarif")
     found = ad.raw_findings(spark, folder, by_repository=True)
-    rep.export(found.select("scan_id").distinct(), found, " SARIF ", path)
+    rep.export(found.select("scan_id").distinct(), found, " SARIF ", path, "gzip")
     lines = spark.read.schema("value string, scan_id string").text(path)
     marks = F.size(F.regexp_extract_all("value", F.lit('"ruleId":"|"results":'), 0))
     return lines.groupBy("scan_id").agg(F.sum(marks).cast("bigint").alias("entries"))

@@ -1,3 +1,5 @@
+import gzip
+import json
 import zipfile
 
 import pytest
@@ -185,3 +187,19 @@ def test_a_large_archive_is_read_by_many_tasks(spark, tmp_path):
         assert files.select(F.input_file_name().alias("f")).distinct().count() >= 3
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exports_are_stored_compressed(spark, tmp_path):
+    """JSON findings always, CSV and documents if asked for; what is read back is the same, and parts in name order are one gzip document."""
+    rows = [("s1", i, f"id{i}", "t", "d" * 500, "HIGH", "HIGH", "f", i, "c") for i in range(2000)]
+    found = spark.createDataFrame(rows, "scan_id string, finding_seq int, finding_id string, title string, description string, severity string, "
+                                  "confidence string, file_path string, line_number int, category string")
+    heads = found.select("scan_id").distinct()
+    rep.export(heads, found, "json", str(tmp_path / "json"))
+    files = list((tmp_path / "json" / "findings").rglob("part-*"))
+    assert files and sum(f.stat().st_size for f in files) < 100_000
+    assert records.read_report_findings(spark, str(tmp_path / "json" / "findings")).count() == 2000
+    rep.export(heads, found, "sarif", str(tmp_path / "plain"))
+    rep.export(heads, found, "sarif", str(tmp_path / "packed"), "gzip")
+    stored = {k: b"".join(p.read_bytes() for p in sorted((tmp_path / k / "scan_id=s1").glob("part-*"))) for k in ("plain", "packed")}
+    assert gzip.decompress(stored["packed"]) == stored["plain"] and len(json.loads(stored["plain"])["runs"][0]["results"]) == 2000
