@@ -8,9 +8,12 @@ them never meets a regular expression.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom import fixed_values as fv
@@ -109,10 +112,14 @@ def match_lines(lines: DataFrame, kinds: list[str]) -> DataFrame:
         *lines.columns, "_hit.scanner", "_hit.hit_set", "_hit.rule")
 
 
-#: Rules up to which a user's table is broadcast and every rule tried, and up to which an index of grams is broadcast.
-MOST_BROADCAST_RULES, MOST_BROADCAST_GRAMS = 10_000, 200_000
-#: Characters of a gram.
-GRAM = 4
+#: Rules up to which a user's table is broadcast and every rule tried.
+MOST_BROADCAST_RULES = 10_000
+#: Characters of the shortest and of the longest window that a rule of a larger table is sought by.
+GRAM, LONGEST_WINDOW = 4, 16
+#: The bit table of sought windows has 16 bits a window within these powers of two; with more windows it only lets more others pass.
+LEAST_TABLE_BITS, MOST_TABLE_BITS = 20, 28
+#: Bytes of lines that are searched at once.
+SLICE_BYTES = 1 << 20
 _PLAIN = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-/:=@#%&~ ,;!<>'\"`")
 _HOLDERS = "\\([{.^$|?*+)"
 
@@ -121,10 +128,10 @@ def longest_literal(pattern: str) -> str | None:
     """Longest run of plain ASCII characters that every match holds, whatever the case; None if none is as long as a gram.
 
     Only characters outside groups and classes count that are there at least once. A pattern with alternatives outside
-    groups, quoting or free spacing has none, and whatever is not understood ends a run.
+    groups, quoting, free spacing or case rules beyond ASCII has none, and whatever is not understood ends a run.
     """
     runs, run, at, depth = [], "", 0, 0
-    if "\\Q" in pattern or "(?x" in pattern or "(?-" in pattern or any(f in pattern for f in ("(?ix", "(?sx", "(?mx")):
+    if "\\Q" in pattern or re.search(r"\(\?[a-zA-Z-]*[xuUd-]", pattern):
         return None
     while at < len(pattern):
         c = pattern[at]
@@ -158,71 +165,132 @@ def longest_literal(pattern: str) -> str | None:
     return best.lower() if len(best) >= GRAM else None
 
 
-def _grams(col: Column) -> Column:
-    """Distinct grams of a text in lower case."""
-    lowered = F.lower(col)
-    return F.when(F.length(col) >= GRAM, text.let(lowered, lambda t: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda i: F.substring(t, i, F.lit(GRAM))))))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def _with_held_grams(lines: DataFrame, wanted: list[str]) -> DataFrame:
-    """``lines`` with the grams of ``wanted`` that each holds."""
-    shared = lines.sparkSession.sparkContext.broadcast(frozenset(wanted))
+def _windows(texts: pa.Array, sizes: list[int]):
+    """For each size the windows of that many bytes inside the texts, in ASCII lower case: (size, number of the text, hash)."""
+    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    lengths = pc.binary_length(lowered).to_numpy(zero_copy_only=False).astype(np.int64)
+    owners = np.repeat(np.arange(len(lengths)), lengths)
+    room = np.cumsum(lengths)[owners] - np.arange(len(owners))
+    data = np.frombuffer("".join(lowered.to_pylist()).encode(), np.uint8).astype(np.uint64)
+    total, power = np.zeros(len(data), np.uint64), 1
+    for n in range(1, min(max(sizes, default=0), len(data)) + 1):
+        total = total[:len(data) - n + 1] + data[n - 1:] * np.uint64(power)
+        power = power * 0x9E3779B97F4A7C15 % (1 << 64)
+        if n in sizes:
+            whole = np.flatnonzero(room[:len(total)] >= n)
+            yield n, owners[whole], _mixed(total[whole] + np.uint64(n))
 
+
+def _bit_table(keys: DataFrame) -> bytes:
+    """Two bits for each ``_key``; the driver gets blocks of 8 KB, at most 2**MOST_TABLE_BITS bits in all."""
+    bits = min(MOST_TABLE_BITS, max(LEAST_TABLE_BITS, (16 * keys.count()).bit_length()))
+    both = F.array(F.col("_key"), F.shiftrightunsigned("_key", 32))
+    slots = keys.select(F.explode(both).alias("x")).select(F.col("x").bitwiseAND((1 << bits) - 1).alias("slot"))
+
+    def packed(held):
+        out = np.zeros(1 << 16, bool)
+        out[held] = True
+        return np.packbits(out, bitorder="little").tobytes()
+
+    blocks = slots.groupBy(F.shiftright("slot", 16).alias("block")).agg(F.collect_set(F.col("slot").bitwiseAND(0xFFFF).cast("int")).alias("held"))
+    table = bytearray(1 << (bits - 3))
+    for r in blocks.select("block", F.udf(packed, "binary")("held").alias("bits")).collect():
+        table[r["block"] << 13:(r["block"] + 1) << 13] = r["bits"]
+    return bytes(table)
+
+
+def _held_keys(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(``_id``, rule set, ``_key``): the windows of ``keys(_size, _key)`` that each line holds, and a few others that share their bits."""
+    sizes = sorted(r["_size"] for r in keys.select("_size").distinct().collect())
+    shared = lines.sparkSession.sparkContext.broadcast(_bit_table(keys.select("_key").distinct()))
+
+    def run(batches):
+        table = np.frombuffer(shared.value, np.uint8)
+        mask = np.uint64(len(table) * 8 - 1)
+
+        def marked(h):
+            slot = (h & mask).astype(np.int64)
+            return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("line")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1, [len(ends)]]))
+            for low, high in zip(cuts, cuts[1:]):
+                part, found = batch.slice(low, high - low), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                for _, owner, h in _windows(part.column("line"), sizes):
+                    hit = np.flatnonzero(marked(h))
+                    hit = hit[marked(h[hit] >> np.uint64(32))]
+                    found.append((owner[hit], h[hit]))
+                owner, h = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((h, owner))
+                owner, h = owner[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])])[:len(h)])
+                owner = pa.array(owner[first])
+                yield pa.RecordBatch.from_arrays([part.column("_id").take(owner), part.column("rule_set").take(owner), pa.array(h[first].view(np.int64))],
+                                                 ["_id", "rule_set", "_key"])
+
+    return lines.select("_id", "rule_set", "line").mapInArrow(run, "_id bigint, rule_set string, _key bigint")
+
+
+def _with_windows(rules: DataFrame) -> DataFrame:
+    """``rules`` with the hashes of all windows (``_keys``, of ``_size`` characters) of their longest literals; NULL without a literal."""
     def run(batches):
         for batch in batches:
-            held = []
-            for line in batch.column("line").to_pylist():
-                low = (line or "").lower()
-                held.append(list(shared.value.intersection(low[i:i + GRAM] for i in range(len(low) - GRAM + 1))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.list_(pa.string()))], [*batch.schema.names, "_held"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(run, f"{fields}, _held array<string>")
-
-
-def gram_index(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules`` with ``gram``: of the grams of a rule's longest literal the one that the fewest lines hold; NULL without a literal."""
-    literal = F.udf(longest_literal, "string")  # once a rule
-    parts = rules.withColumn("_literal", literal("pattern")).withColumn("gram", F.explode_outer(_grams(F.col("_literal")))).drop("_literal")
-    sought = [r["gram"] for r in parts.where("gram is not null").select("gram").distinct().limit(MOST_BROADCAST_GRAMS + 1).collect()]
-    if len(sought) <= MOST_BROADCAST_GRAMS:
-        found = _with_held_grams(lines.select("line"), sought).select(F.explode("_held").alias("gram"))
-    else:
-        found = lines.select(F.posexplode_outer(_grams(F.col("line"))).alias("_at", "gram"))
-    held = found.groupBy("gram").agg(F.count("*").alias("_held"))
-    keys = [c for c in rules.columns]
-    counted = parts.join(held, "gram", "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
-    return counted.groupBy(*keys).agg(F.min_by("gram", F.struct("_held", "gram")).alias("gram"))
+            literals = [longest_literal(p) for p in batch.column("pattern").to_pylist()]
+            size = [min(len(l), LONGEST_WINDOW) if l else None for l in literals]
+            keys = [None] * len(literals)
+            for n in {x for x in size if x}:
+                own = [i for i, x in enumerate(size) if x == n]
+                for _, owner, h in _windows(pa.array([literals[i] for i in own]), [n]):
+                    for i, group in zip(own, np.split(h.view(np.int64), np.flatnonzero(np.diff(owner)) + 1)):
+                        keys[i] = np.unique(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "_size", "_keys"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rules.schema)
+    return rules.mapInArrow(run, f"{fields}, _size int, _keys array<bigint>")
+
+
+def rule_keys(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rules`` with ``_key``: a literal of at most ``LONGEST_WINDOW`` characters itself, of a longer one the window that the fewest lines hold."""
+    known = cut_lineage(_with_windows(rules))
+    several = known.where(F.size("_keys") > 1)
+    one = known.where(F.coalesce(F.size("_keys"), F.lit(1)) <= 1).withColumn("_key", F.col("_keys")[0]).drop("_keys")
+    if several.isEmpty():
+        return one
+    parts = several.withColumn("_key", F.explode("_keys")).drop("_keys")
+    held = _held_keys(lines, parts).groupBy("_key").agg(F.count("*").alias("_held"))
+    counted = parts.join(held, "_key", "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    return one.unionByName(counted.groupBy(*rules.columns, "_size").agg(F.min_by("_key", F.struct("_held", "_key")).alias("_key")))
 
 
 def match_rule_table(lines: DataFrame, rules: DataFrame, most: int = MOST_BROADCAST_RULES) -> DataFrame:
     """Table form for user-supplied rules: ``rules(rule_set, scanner, rule, pattern)``, without repeated rows.
 
     Up to ``most`` rules are broadcast and tried on every line of their set. Of a larger table, a line meets only the
-    rules whose rarest gram it holds, by an equi-join, and the pattern confirms. Rules without a literal are tried on
-    all lines: their table is repeated once a bucket and the lines of a rule set are dealt over the buckets.
+    rules whose literal (or its rarest window) it holds, by an equi-join of hashes and line numbers, and the pattern
+    confirms. Rules without a literal are tried on all lines: their table is repeated once a bucket and the lines of a
+    rule set are dealt over the buckets.
     """
     names = [f"`{c}`" for c in lines.columns]
     if rules.limit(most + 1).count() <= most:
         return lines.alias("l").join(F.broadcast(rules).alias("r"), (F.col("l.rule_set") == F.col("r.rule_set")) & F.expr("l.line rlike r.pattern")).select(
             "l.*", "r.scanner", "r.rule")
-    indexed = cut_lineage(gram_index(lines, rules))
-    by_gram, bare = indexed.where(F.col("gram").isNotNull()), indexed.where(F.col("gram").isNull()).drop("gram")
-    table = by_gram.select("rule_set", "gram", F.struct("scanner", "rule", "pattern").alias("_r"))
-    wanted = [r["gram"] for r in by_gram.select("gram").distinct().limit(MOST_BROADCAST_GRAMS + 1).collect()]
-    if len(wanted) <= MOST_BROADCAST_GRAMS:
-        # A line is repeated only for grams that some rule is sought by.
-        holding = _with_held_grams(lines, wanted).withColumn("gram", F.explode("_held")).drop("_held")
-        met = holding.join(F.broadcast(table) if by_gram.count() <= MOST_BROADCAST_GRAMS else table, ["rule_set", "gram"])
-    else:
-        met = lines.withColumn("gram", F.explode(_grams(F.col("line")))).join(table, ["rule_set", "gram"])
-    met = met.where(F.expr("line rlike _r.pattern"))
+    lines = cut_lineage(lines.withColumn("_id", F.monotonically_increasing_id()))
+    keyed = cut_lineage(rule_keys(lines, rules))
+    by_key, bare = keyed.where(F.col("_key").isNotNull()), keyed.where(F.col("_key").isNull()).drop("_key", "_size")
+    table = by_key.select("rule_set", "_key", F.struct("scanner", "rule", "pattern").alias("_r"))
+    met = _held_keys(lines, by_key).join(table, ["rule_set", "_key"]).select("_id", "_r").join(lines, "_id").where(F.expr("line rlike _r.pattern"))
     out = met.select(*names, "_r.scanner", "_r.rule")
     if bare.isEmpty():
         return out
     n = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.withColumn("_bucket", F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")).alias("l")
+    dealt = lines.withColumn("_bucket", F.pmod("_id", F.lit(n)).cast("int")).alias("l")
     repeated = bare.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).alias("r")
     tried = dealt.join(repeated, (F.col("l.rule_set") == F.col("r.rule_set")) & (F.col("l._bucket") == F.col("r._bucket")) & F.expr("l.line rlike r.pattern"))
     return out.unionByName(tried.select(*[f"l.{c}" for c in names], "r.scanner", "r.rule"))

@@ -188,6 +188,21 @@ def test_rule_table_by_grams_equals_trying_every_rule(spark):
     assert got == sorted((i, k) for i, s, line in rows for k, p in enumerate(made) if s == sets[k] and re.search(p, line)) and len(got) > 500
 
 
+def test_long_lines_meet_only_rules_whose_literal_they_hold(spark):
+    rng = random.Random(3)
+    parts = ["tion", "ment", "ther", "ance", "able"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(n)) for n in (3, 4, 6) for _ in range(40)})
+    apart = [a + " " + b + a[2:] + b[:2] for a in parts for b in parts]  # every gram of the words, none of the words
+    rows = [(0, "a", " ".join(apart)), (1, "a", " ".join(apart + [words[5].upper(), words[50]])), (2, "b", words[7]), (3, "a", None), (4, "a", "ſtion é" + words[9]), (5, "a", "")]
+    lines = spark.createDataFrame(rows, "_id bigint, rule_set string, line string")
+    table = spark.createDataFrame([("a", 1, w, f"(?i){w}") for w in words], "rule_set string, scanner int, rule string, pattern string")
+    got = sorted((r.n, r.rule) for r in rules.match_rule_table(lines.withColumnRenamed("_id", "n"), table, most=5).collect())
+    assert got == sorted((n, w) for n, s, line in rows if s == "a" and line for w in words if w in line.lower()) and len(got) >= 3
+    keys = rules.rule_keys(lines, table)
+    assert keys.count() == len(words) and rules._held_keys(lines, keys).where("_id = 0").isEmpty()
+    assert rules.longest_literal("(?iu)tokens") is None
+
+
 # ------------------------------------------------------------------ findings
 def _merge_model(rows):
     """Sequential reading of the merge: a list of survivors, first match wins."""
