@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom import fixed_values as fv
-from scanloom.operators.ordered import drop_stamps, previous, spread_in_order, spread_join
+from scanloom.operators.ordered import drop_stamps, previous, salted_join, spread_in_order, spread_join, tasks_for
 from scanloom.session import cut_lineage
 
 
@@ -23,10 +23,25 @@ def score_delta() -> Column:
     return F.coalesce(F.col("score") - F.col("previous.score"), F.lit(0))
 
 
+def _counts() -> list[Column]:
+    return [F.count("*").alias("n"), F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("n_serious")]
+
+
 def finding_keys(findings: DataFrame) -> DataFrame:
-    """Findings of a scan reduced to (file, title) keys with their row counts."""
-    return findings.groupBy("scan_id", "file_path", "title").agg(
-        F.count("*").alias("n"), F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("n_serious"))
+    """Findings of a scan reduced to (file, title) keys with their row counts.
+
+    The plain rows are dealt before they are counted: few of them share a key (one file's findings of one title), so
+    counting them where they are read would fill a task's memory with as many keys as it reads rows.
+    """
+    rows = findings.select(*_KEY, "severity").repartition(tasks_for(findings.sparkSession, findings.count()), *_KEY)
+    return rows.groupBy(*_KEY).agg(*_counts())
+
+
+def finding_keys_of(findings: DataFrame, scans: DataFrame) -> DataFrame:
+    """``finding_keys`` of the scans in ``scans(scan_id, ...)``, with its other columns: findings meet their scan and are counted in one exchange."""
+    met = salted_join(findings.select(*_KEY, "severity"), scans, ["scan_id"], ["file_path", "title"])
+    others = [c for c in scans.columns if c != "scan_id"]
+    return met.groupBy("scan_id", "_salt", "file_path", "title").agg(*[F.first(c).alias(c) for c in others], *_counts()).drop("_salt")
 
 
 _KEY = ["scan_id", "file_path", "title"]
@@ -49,8 +64,9 @@ def scan_diff(keys: DataFrame, links: DataFrame) -> DataFrame:
     uses = uses.groupBy("of").agg(F.collect_list("use").alias("_uses")).withColumnRenamed("of", "scan_id")
     used = spread_join(keys, uses, ["scan_id"], ["file_path", "title"]).select(
         F.explode("_uses").alias("_u"), "file_path", "title", "n", "n_serious")
-    both = used.groupBy("_u.scan_id", "file_path", "title").agg(
-        F.bool_or("_u.now").alias("_now"), F.bool_and("_u.now").alias("_only_now"), F.sum("n").alias("n"), F.sum("n_serious").alias("n_serious"))
+    used = used.select("_u.*", "file_path", "title", "n", "n_serious").repartition(tasks_for(keys.sparkSession, 2 * keys.count()), *_KEY)
+    both = used.groupBy(*_KEY).agg(
+        F.bool_or("now").alias("_now"), F.bool_and("now").alias("_only_now"), F.sum("n").alias("n"), F.sum("n_serious").alias("n_serious"))
     return both.where(~F.col("_now") | F.col("_only_now")).select(
         *_KEY, F.when(F.col("_now"), "new").otherwise("fixed").alias("change"), "n", "n_serious")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scanloom.session import cut_lineage
 
@@ -103,21 +103,39 @@ def drop_stamps(df: DataFrame) -> DataFrame:
 
 HOT_ROWS = 1_000_000
 MOST_HOT_KEYS = 10_000
+#: Slots of keys that are counted together to find hot ones: a count for each key would be held in memory by every task.
+HOT_SLOTS = 1 << 16
+#: Rows that a task gets where rows are dealt by key, so its memory does not grow with the table.
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
 
 
 def spread_join(large: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a large side with hot keys to a side that has one row per key.
 
-    Keys with more than ``hot_rows`` rows (or a ten-thousandth of all rows, if that is
-    more) are split into buckets by the ``by`` columns, and only their small-side rows
-    are repeated. That threshold leaves at most ``MOST_HOT_KEYS`` hot keys, so their
-    table may be broadcast. ``large`` is read twice: pass a stored table.
+    Keys are counted in ``HOT_SLOTS`` slots. Those of slots with more than ``hot_rows`` rows (or a ten-thousandth of
+    all rows, if that is more) are split into buckets by the ``by`` columns, and only their small-side rows are
+    repeated. That threshold leaves at most ``MOST_HOT_KEYS`` hot slots, so their table may be broadcast. ``large`` is
+    read twice: pass a stored table. Its rows are dealt once, ``ROWS_A_TASK`` a task.
     """
-    counts = large.groupBy(*on).agg(F.count("*").alias("_n"))
-    limit = counts.agg(F.greatest(F.lit(hot_rows), F.sum("_n") / MOST_HOT_KEYS).alias("limit")).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_b")))
+    return salted_join(large, small, on, by, how, hot_rows).drop("_salt")
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner",
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``spread_join`` that keeps ``_salt``: rows that agree in ``on`` and ``_salt`` are in one task, and those that agree in ``on`` and ``by`` have one salt."""
+    spark, slot = large.sparkSession, F.pmod(F.xxhash64(*on), F.lit(HOT_SLOTS)).cast("int")
+    counts = [tuple(r) for r in large.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_n")).collect()]  # numbers, at most ``HOT_SLOTS`` rows
+    rows = sum(n for _, n in counts)
+    limit = max(hot_rows, rows / MOST_HOT_KEYS)
+    hot = [(s, int(-(-n // limit))) for s, n in counts if n > limit]
+    table = F.broadcast(spark.createDataFrame(hot, "_slot int, _b int"))
     buckets = F.coalesce("_b", F.lit(1))
-    salted = large.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), buckets).cast("int")).drop("_b")
-    repeated = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1))).drop("_b")
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    salted = large.withColumn("_slot", slot).join(table, "_slot", "left").withColumn("_salt", F.pmod(F.xxhash64(*by), buckets).cast("int")).drop("_b", "_slot")
+    repeated = small.withColumn("_slot", slot).join(table, "_slot", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1))).drop("_b", "_slot")
+    n = tasks_for(spark, rows)
+    return salted.repartition(n, *on, "_salt").join(repeated.repartition(n, *on, "_salt"), [*on, "_salt"], how)

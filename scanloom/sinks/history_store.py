@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.operators.history import entries_of, finding_keys, with_previous
+from scanloom.operators.history import entries_of, finding_keys_of, with_previous
 from scanloom.session import cut_lineage
 from scanloom.sources.folders import complete_numbers
 
@@ -63,8 +63,7 @@ def append_scans(path: str, scans: DataFrame, findings: DataFrame) -> int | None
     linked = cut_lineage(linked.withColumn("previous", F.coalesce("previous", "_stored")).drop("_stored"))
 
     bucket = F.pmod(F.xxhash64("repository_name"), BUCKETS).cast("int").alias("bucket")
-    own = finding_keys(findings.join(fresh.select("scan_id"), "scan_id", "left_semi"))
-    own.join(fresh.select("scan_id", bucket), "scan_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/keys/append={number}")
+    finding_keys_of(findings, fresh.select("scan_id", bucket)).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/keys/append={number}")
     new_keys = spark.read.schema(f"{_KEYS}, bucket int").parquet(f"{path}/keys/append={number}").drop("bucket")
     keys = new_keys.unionByName(_old_keys(spark, path, latest))
     entries_of(linked, keys, linked.select("scan_id", F.col("previous.scan_id").alias("previous_id"))).withColumns(

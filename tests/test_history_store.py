@@ -52,3 +52,21 @@ def test_only_keys_of_latest_scans_are_read(spark, tmp_path):
     assert {r.scan_id for r in old.collect()} <= {r.scan_id for r in latest.collect()}
     plan = old._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_tasks_of_keys_grow_with_the_findings(spark, monkeypatch):
+    """Rows are dealt before they are counted, a fixed number a task; hot scans are split."""
+    from scanloom.operators import history, ordered
+
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 100)
+    rows = [("s0" if i % 2 else f"s{i % 40}", f"f{i % 7}", f"t{i % 3}", "HIGH" if i % 5 else "LOW") for i in range(2000)]
+    found = spark.createDataFrame(rows, "scan_id string, file_path string, title string, severity string")
+    want = sorted(map(tuple, found.groupBy("scan_id", "file_path", "title").agg(F.count("*"), F.count_if(F.col("severity") == "HIGH")).collect()))
+    keys = history.finding_keys(found)
+    assert keys.rdd.getNumPartitions() >= 20 and sorted(map(tuple, keys.collect())) == want
+    scans = spark.createDataFrame([("s0", 5), ("s2", 6), ("none", 7)], "scan_id string, bucket int")
+    of = history.finding_keys_of(found, scans)
+    assert sorted(map(tuple, of.select("scan_id", "file_path", "title", "n", "n_serious", "bucket").collect())) == sorted(
+        (*w, {"s0": 5, "s2": 6}[w[0]]) for w in want if w[0] in ("s0", "s2"))
+    split = ordered.salted_join(found, scans, ["scan_id"], ["file_path", "title"], hot_rows=100).where("scan_id = 's0'")
+    assert split.count() == sum(r[0] == "s0" for r in rows) and split.select("_salt").distinct().count() > 2
