@@ -83,10 +83,13 @@ _KEYS = [REPO, "file_seq", "relative_path"]
 
 
 def _first_framework(name: Column, table) -> Column:
-    out = F.lit(None).cast("string")
-    for needle, label in reversed(list(table)):
-        out = F.when(F.contains(name, F.lit(needle)), F.lit(label)).otherwise(out)
-    return out
+    def first(known):
+        out = F.lit(None).cast("string")
+        for needle, label in reversed(list(table)):
+            out = F.when(F.contains(known, F.lit(needle)), F.lit(label)).otherwise(out)
+        return out
+
+    return text.let(name, first)
 
 
 # Each reader turns a manifest's text into an array of (dependency, framework), inside the file's row.
@@ -127,9 +130,9 @@ def _pyproject_toml(content: Column) -> Column:
     The lines are cut into sections at every ``[`` line and only the wanted sections are kept.
     """
     def entry(line: Column) -> Column:
-        parts = F.split(line, "=", -1)
-        name = _unquote(parts[0])
-        return _declared(F.concat(name, F.lit("=="), _unquote(F.substring_index(parts[1], "#", 1))), _first_framework(F.lower(name), fv.POETRY_FRAMEWORKS))
+        version = lambda parts: _unquote(F.substring_index(parts[1], "#", 1))
+        both = text.let(F.split(line, "=", -1), lambda parts: F.struct(_unquote(parts[0]).alias("name"), version(parts).alias("version")))
+        return text.let(both, lambda b: _declared(F.concat(b["name"], F.lit("=="), b["version"]), _first_framework(F.lower(b["name"]), fv.POETRY_FRAMEWORKS)))
 
     def kept(lines: Column) -> Column:
         marks = F.transform(lines, lambda l, i: F.when(l.startswith("["), F.struct(
@@ -147,9 +150,13 @@ def _go_mod(content: Column) -> Column:
     lines = F.transform(F.split(content, text.NEWLINE, -1), lambda l: text.strip(l))
 
     def entry(line: Column) -> Column:
-        words, at = F.split(line, f"[{text.BLANK}]+", -1), F.when(line.startswith("require"), 1).otherwise(0)
-        module, version = F.get(words, at), F.get(words, at + 1)
-        return F.when(F.size(words) >= at + 2, _declared(F.concat(module, F.lit("=="), version), _first_framework(module, fv.GO_FRAMEWORKS)))
+        at = F.when(line.startswith("require"), 1).otherwise(0)
+
+        def declared(words):
+            module, version = F.get(words, at), F.get(words, at + 1)
+            return F.when(F.size(words) >= at + 2, _declared(F.concat(module, F.lit("=="), version), _first_framework(module, fv.GO_FRAMEWORKS)))
+
+        return text.let(F.split(line, f"[{text.BLANK}]+", -1), declared)
 
     wanted = F.filter(lines, lambda l: l.startswith("require") | ~l.rlike(r"^(?:\)|module|go )"))
     return F.filter(F.transform(wanted, entry), lambda e: e.isNotNull())
@@ -158,13 +165,17 @@ def _go_mod(content: Column) -> Column:
 def _pom_xml(content: Column) -> Column:
     def entry(block: Column) -> Column:
         tag = lambda t: text.strip(F.regexp_extract(block, f"<{t}>([^<]+)</{t}>", 1))
-        group, artifact = tag("groupId"), tag("artifactId")
         version = F.when(block.rlike("<version>[^<]+</version>"), tag("version")).otherwise("latest")
-        spring = F.contains(artifact, F.lit("spring-boot")) | F.contains(group, F.lit("spring-framework"))
-        return F.when((group != "") & (artifact != ""), _declared(
-            F.concat(group, F.lit(":"), artifact, F.lit("=="), version), F.when(spring, F.lit(fv.MAVEN_FRAMEWORK))))
 
-    blocks = F.regexp_extract_all(content, F.lit(r"<dependency>([\s\S]*?)</dependency>"), 1)
+        def declared(named):
+            group, artifact = named["group"], named["artifact"]
+            spring = F.contains(artifact, F.lit("spring-boot")) | F.contains(group, F.lit("spring-framework"))
+            return F.when((group != "") & (artifact != ""), _declared(
+                F.concat(group, F.lit(":"), artifact, F.lit("=="), version), F.when(spring, F.lit(fv.MAVEN_FRAMEWORK))))
+
+        return text.let(F.struct(tag("groupId").alias("group"), tag("artifactId").alias("artifact")), declared)
+
+    blocks = F.regexp_extract_all(content, F.lit(r"(?s)<dependency>(.*?)</dependency>"), 1)
     return F.filter(F.transform(blocks, entry), lambda e: e.isNotNull())
 
 

@@ -163,6 +163,15 @@ def test_manifests_and_vulnerabilities(spark):
     assert found == {"dependency-django-3.2.5": "requirements.txt", "dependency-urllib3-1.25": "requirements.txt", "dependency-log4j-1.2.17": "pom.xml"}
 
 
+def test_manifest_readers_evaluate_each_name_once(spark, capsys):
+    pom = "<dependency>\n<groupId>org.springframework</groupId>\r<artifactId>spring-boot-x\u2028</artifactId></dependency><dependency>\x85</dependency>"
+    files = _files(spark, [("pom.xml", pom)])
+    entries = inventory.pom_xml(files)
+    entries.explain()
+    assert capsys.readouterr().out.count("<groupId>") == 1
+    assert [(r.dependency, r.framework) for r in entries.collect()] == [("org.springframework:spring-boot-x==latest", "Spring Boot")]
+
+
 def test_longest_literal():
     want = {r"password\s*=": "password", r"abc|abcdef": None, r"(abcdef)xyzw?v": None, r"key_?name": "name", r"AKIA[0-9A-Z]{16}": "akia", r"secret+ly": "secret",
             r"[abcd]efgh": "efgh", r"a{5}bcde": "bcde", r"\bvalue\b": "value", r"www\.example\.org": "www.example.org", r"(?i)PassWord": "password", r"ab.cd": None,
