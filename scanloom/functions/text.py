@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Unicode word and blank classes, spelled out because Java's \w, \s and \b are ASCII.
 WORD = r"\p{L}\p{N}_"
 BLANK = r"\t-\r\x1c-\x20\x85\p{Z}"
+#: The characters of ``BLANK`` one by one.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 NEWLINE = r"\r\n|[\n\r]"
 
@@ -59,8 +61,8 @@ def explode_array(df: DataFrame, keep: list, array: Column, value: str, position
 
 
 def strip(col: Column) -> Column:
-    """Trim Unicode white space on both ends (``trim`` knows blanks only)."""
-    return F.regexp_replace(col, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    """Trim Unicode white space on both ends (``trim`` alone knows blanks only); the middle is not searched."""
+    return F.trim(col, F.lit(BLANKS))
 
 
 def is_blank(col: Column) -> Column:
@@ -69,7 +71,11 @@ def is_blank(col: Column) -> Column:
 
 def split_lines(col: Column, breaks: str = LINE_BREAK) -> Column:
     """Lines of a text with universal line ends; a final line end opens no new line."""
-    pieces = F.split(col, breaks, -1)
+    return let(F.split(col, breaks, -1), closed)
+
+
+def closed(pieces: Column) -> Column:
+    """Lines from the pieces between line ends. ``pieces`` is used more than once: pass a column that is computed already."""
     return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
 
 

@@ -14,8 +14,7 @@ def split_dependency(dependency: Column) -> tuple[Column, Column, Column]:
     at = F.locate("==", dependency)
     package = F.when(pinned, F.substring(dependency, F.lit(1), at - 1)).otherwise(dependency)
     version = F.when(pinned, F.substring(dependency, at + 2, F.length(dependency))).otherwise("latest")
-    bare = F.regexp_replace(text.strip(version), r'^"+|"+\z', "")
-    return package, F.lower(text.strip(package)), F.regexp_replace(bare, r"^'+|'+\z", "")
+    return package, F.lower(text.strip(package)), F.trim(F.trim(text.strip(version), F.lit('"')), F.lit("'"))
 
 
 def match_vulnerabilities(dependencies: DataFrame) -> DataFrame:

@@ -120,8 +120,7 @@ def _requirements_txt(content: Column) -> Column:
 
 def _unquote(col: Column) -> Column:
     """Blanks, then double quotes, then single quotes off both ends."""
-    bare = F.regexp_replace(text.strip(col), r'^"+|"+\z', "")
-    return F.regexp_replace(bare, r"^'+|'+\z", "")
+    return F.trim(F.trim(text.strip(col), F.lit('"')), F.lit("'"))
 
 
 def _pyproject_toml(content: Column) -> Column:

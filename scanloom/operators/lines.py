@@ -11,10 +11,12 @@ def explode_lines(files: DataFrame, keep: list[str] | None = None,
                   breaks: str = text.LINE_BREAK) -> DataFrame:
     """One row per line with a 1-based ``line_number``. Narrow: no shuffle.
 
-    Only ``keep`` columns travel with the lines, so the content is not repeated.
+    Only ``keep`` columns travel with the lines, so the content is not repeated. The pieces are a column of their own, so a
+    text is split once.
     """
     keep = keep or [c for c in files.columns if c != "content"]
-    return text.explode_array(files, keep, text.split_lines(F.col("content"), breaks), "line", "_pos").select(
+    pieces = files.select(*keep, F.split("content", breaks, -1).alias("_pieces"))
+    return text.explode_array(pieces, keep, text.closed(F.col("_pieces")), "line", "_pos").select(
         *keep, (F.col("_pos") + 1).alias("line_number"), "line")
 
 

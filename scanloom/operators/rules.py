@@ -95,19 +95,25 @@ def _matches(line: Column, kind: Column, kinds: list[str]) -> Column:
 
 def _screen(col: Column, kind: Column, kinds: list[str]) -> Column:
     """Does the text hold a key word of its rule sets? The lambda makes ``lower`` run once per text."""
-    def test(lowered):
-        tests = []
-        for k in kinds:
-            hit = text.contains_any(lowered, KEY_WORDS[k])
-            tests.append(hit if k == SECRET else (kind == k) & hit)
-        return reduce(lambda a, b: a | b, tests)
+    return F.exists(F.array(F.lower(col)), lambda lowered: _holds_key_word(lowered, kind, kinds))
 
-    return F.exists(F.array(F.lower(col)), test)
+
+def _holds_key_word(lowered: Column, kind: Column, kinds: list[str]) -> Column:
+    tests = []
+    for k in kinds:
+        hit = text.contains_any(lowered, KEY_WORDS[k])
+        tests.append(hit if k == SECRET else (kind == k) & hit)
+    return reduce(lambda a, b: a | b, tests)
 
 
 def match_lines(lines: DataFrame, kinds: list[str]) -> DataFrame:
-    """Lines (with ``rule_set``) to one row per (line, rule) hit."""
-    screened = lines.where(_screen(F.col("line"), F.col("rule_set"), kinds))
+    """Lines (with ``rule_set``) to one row per (line, rule) hit.
+
+    The lower-cased line is a column from a generator, which the optimizer doesn't inline into each test; without a lambda
+    the screen of the lines is compiled together with their split.
+    """
+    lowered = lines.select("*", F.explode_outer(F.array(F.lower("line"))).alias("_lowered"))
+    screened = lowered.where(_holds_key_word(F.col("_lowered"), F.col("rule_set"), kinds)).drop("_lowered")
     return text.explode_array(screened, lines.columns, _matches(F.col("line"), F.col("rule_set"), kinds), "_hit").select(
         *lines.columns, "_hit.scanner", "_hit.hit_set", "_hit.rule")
 

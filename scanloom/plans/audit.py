@@ -24,6 +24,8 @@ class Audit:
     scores: DataFrame
     #: Calls in which the scorer failed; None if there was no scorer.
     failed: DataFrame | None = None
+    #: Distinct (repository, dependency, framework) of all manifests; None: not stored, ``reports`` reads the manifests.
+    entries: DataFrame | None = None
 
 
 def review_packs(files: DataFrame, limit: int = fv.REVIEW_LIMIT) -> DataFrame:
@@ -39,9 +41,9 @@ def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | N
     ``scorer`` reviews up to ``pack_limit`` packs a repository; with ``system`` it is called as ``scorer(system, prompt)``
     (``review.SYSTEM_PROMPT`` asks for the form that is understood).
 
-    The correlated findings are cut from their lineage because everything after reads them.
+    The distinct manifest entries and the correlated findings are cut from their lineage because everything after reads them.
     """
-    entries = inventory.manifest_entries(files)
+    entries = cut_lineage(inventory.manifest_entries(files).select("repository_name", "dependency", "framework").distinct())
     declared = inventory.dependencies(entries)
     parts = [fnd.in_order(scan(files), i) for i, scan in enumerate(scanners or [rules.scan_files])]
     parts.append(dependencies.dependency_findings(declared, files))
@@ -55,7 +57,7 @@ def audit(files: DataFrame, scanners: list[Callable[[DataFrame], DataFrame]] | N
     scores = scoring.score_scans(correlated, scans)
     if notes is not None:
         scores = scoring.add_notes(scores, notes)
-    return Audit(files, inventory.language_stats(files), declared, inventory.frameworks(files, entries), correlated, scores, failed)
+    return Audit(files, inventory.language_stats(files), declared, inventory.frameworks(files, entries), correlated, scores, failed, entries)
 
 
 def reports(run: Audit, scans: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -63,7 +65,7 @@ def reports(run: Audit, scans: DataFrame, listing: DataFrame | None = None) -> D
 
     ``listing`` is the unfiltered listing of the trees, for the CI workflows; without it the files stand for it.
     """
-    entries = inventory.manifest_entries(run.files)
+    entries = inventory.manifest_entries(run.files) if run.entries is None else run.entries
     configs = inventory.configs(run.files, run.files if listing is None else listing)
     known = inventory.inventory_records(run.files, entries, configs).withColumnRenamed("repository_name", "scan_id")
     record = scoring.as_record(run.scores)

@@ -7,10 +7,13 @@ the SQL of the same table as a common table expression.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from scanloom.functions.text import let
+
 DIRECTORIES = ["tests/", "app/auth/", "app/routes/", "app/db/", "config/", "src/"]
 CORPUS_EXTENSIONS = [".py", ".js", ".ts", ".java", ".yaml", ".toml", ".md", ".txt"]
 # Line templates per language; {i} is the word's position. Later slots are plain words.
@@ -118,9 +121,27 @@ def _slot(word: Column, i: Column) -> Column:
     return (i * 31 + F.length(word) * 17) % 101
 
 
+def _version(i: Column, word: Column) -> Column:
+    return F.concat_ws(".", (F.length(word) % 5).cast("string"), (i % 30).cast("string"), (F.length(word) * i % 20).cast("string"))
+
+
 def _fill(template: Column, i: Column, word: Column) -> Column:
-    version = F.concat_ws(".", (F.length(word) % 5).cast("string"), (i % 30).cast("string"), (F.length(word) * i % 20).cast("string"))
-    return F.replace(F.replace(template, F.lit("{i}"), i.cast("string")), F.lit("{v}"), version)
+    return F.replace(F.replace(template, F.lit("{i}"), i.cast("string")), F.lit("{v}"), _version(i, word))
+
+
+def _filled(templates: list[str], at: Column, i: Column, word: Column) -> Column:
+    """``_fill`` of the template at ``at``; a template computes only what it shows."""
+    def fill(template: str) -> Column:
+        values = {"{i}": i.cast("string"), "{v}": _version(i, word)}
+        return F.concat(*[values.get(p, F.lit(p)) for p in re.split(r"(\{[iv]\})", template) if p]) if template else F.lit("")
+
+    def chosen(k):
+        out = F.lit(None).cast("string")
+        for n, template in reversed(list(enumerate(templates))):
+            out = F.when(k == n, fill(template)).otherwise(out)
+        return out
+
+    return let(at, chosen)
 
 
 def _templated(words: Column, templates: list[str], plain: str = "") -> Column:
@@ -165,14 +186,13 @@ def manifest_files(spark: SparkSession, folder: str) -> DataFrame:
         at = F.transform("_w", lambda w, j: F.struct(w.alias("w"), (j + 1).alias("i")))
         chosen = F.filter(at, lambda x: keep(x["i"]))
         return F.array_join(F.transform(chosen, lambda x: F.concat(
-            F.lit('"'), pick(NPM_NAMES, (F.length(x["w"]) + x["i"]) % 8), F.lit('": "'), _fill(F.lit("{v}"), x["i"], x["w"]), F.lit('"'))), ", ")
+            F.lit('"'), pick(NPM_NAMES, (F.length(x["w"]) + x["i"]) % 8), F.lit('": "'), _version(x["i"], x["w"]), F.lit('"'))), ", ")
 
     package = F.concat(F.lit('{"name": "x", "dependencies": {'), npm(lambda i: i % 3 != 0), F.lit('}, "devDependencies": {'),
                        npm(lambda i: i % 3 == 0), F.lit("}"), F.when(d % 35 == 0, "").otherwise("}"))
 
     def listing(templates):
-        options = F.array(*[F.lit(t) for t in templates])
-        return F.array_join(F.transform("_w", lambda w, j: _fill(F.get(options, _slot(w, j + 1) % len(templates)), j + 1, w)), "\n")
+        return F.array_join(F.transform("_w", lambda w, j: _filled(templates, _slot(w, j + 1) % len(templates), j + 1, w)), "\n")
 
     content = reduce(lambda acc, n: F.when(F.col("name") == n, listing(MANIFEST_LINES[n])).otherwise(acc), MANIFEST_LINES, package)
     return once(docs.select(
