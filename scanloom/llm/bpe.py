@@ -67,7 +67,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc = encoding(shared.value, pattern)
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             ids = [encode_text(enc, t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
@@ -94,7 +94,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc = encoding(shared.value, pattern)
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             counts, ids_sha, raw_sha = [], [], []
             for t in part.column("text").to_pylist():
                 ids = encode_text(enc, t)

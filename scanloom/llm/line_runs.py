@@ -43,7 +43,7 @@ def lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def run(batches):
         import xxhash
 
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             doc, key, number, ids, forward, backward = [], [], [], [], [], []
             for d, k, t in zip(part.column("doc").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist()):
                 own = t.encode("utf-8", "surrogatepass").split(b"\n")
@@ -142,7 +142,7 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, carry: bool =
     cut = known.join(later_copies(docs, least_words), DOC, "left").select(F.expr(f"nullif(doc, {(1 << 63) - 1})").alias("doc_id"), "text", "cuts", *more)
 
     def run(batches):
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             kept, count, gone = [], [], []
             for t, c in zip(part.column("text").to_pylist(), part.column("cuts").to_pylist()):
                 own, away = t.split("\n"), removed_lines(c)

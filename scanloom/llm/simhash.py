@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, carry: b
     names = ["doc_id", "bits", *["row"] * carry]
 
     def run(batches):
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             bits = [fingerprint(shingle_hashes(t.encode("utf-8", "surrogatepass"), words, seed)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(bits, np.uint64).view(np.int64)), *(part.column(c) for c in names[2:])], names)
 

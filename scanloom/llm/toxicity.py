@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
 
     def features(batches):
         powers = texts.Powers()
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             data, starts = texts.flat(part.column("text"), lower=True)
             _, _, word, prefix, owner = tokens(data, starts, powers)
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
 
     def evidence(batches):
         powers = texts.Powers()
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             count, places, w, p = [], [], [], []
             data, starts = texts.flat(part.column("text"), lower=True)
             _, _, hw, hp, owner = tokens(data, starts, powers)
@@ -339,7 +339,7 @@ def score(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     def run(batches):
         powers, plain = texts.Powers(), shared.value
         m = plain and Model(Lookup(*plain[:2]), Lookup(*plain[2:4]), Chain(plain[4]), plain[5])
-        for part in texts.slices(batches):
+        for part in texts.slices(batches, most=texts.SMALL_SLICE_BYTES):
             n = part.num_rows
             more = [part.column("row")] if carry else []
             if m is None:

@@ -230,3 +230,21 @@ def test_time_is_proportional_to_nesting():
 
     for unit in ("<div>word ", '<a ">x ', "<b>x</i> ", "<p>x<li>y"):
         assert seconds(unit * 60_000) < 10  # walks over the open elements would take hours
+
+
+def test_pipeline_stages_work_on_small_slices(spark, monkeypatch):
+    """A worker's memory follows 0.5 MB of text, not the batch: what one stage takes is kept while the next ones run."""
+    import pyarrow as pa
+
+    from scanloom.llm import simhash, texts
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(texts, "id_text", lambda *a, **k: Rows())
+    many = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": ["one two three four " * 1000] * 100})  # 1.9 MB
+    run = simhash.fingerprints(None)
+    out = list(run(iter([many])))
+    assert sum(b.num_rows for b in out) == 100 and len(out) >= 4
+    assert max(b.num_rows for b in out) * len("one two three four " * 1000) <= 1 << 19
