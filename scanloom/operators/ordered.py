@@ -133,6 +133,10 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], by: list[str]
     rows = sum(n for _, n in counts)
     limit = max(hot_rows, rows / MOST_HOT_KEYS)
     hot = [(s, int(-(-n // limit))) for s, n in counts if n > limit]
+    if not hot:  # the common case: no table to build and to meet, one salt
+        n = tasks_for(spark, rows)
+        alone = lambda side: side.withColumn("_salt", F.lit(0))
+        return alone(large.repartition(n, *on)).join(alone(small.repartition(n, *on)).drop("_salt"), on, how)
     table = F.broadcast(spark.createDataFrame(hot, "_slot int, _b int"))
     buckets = F.coalesce("_b", F.lit(1))
     salted = large.withColumn("_slot", slot).join(table, "_slot", "left").withColumn("_salt", F.pmod(F.xxhash64(*by), buckets).cast("int")).drop("_b", "_slot")

@@ -63,7 +63,9 @@ def append_scans(path: str, scans: DataFrame, findings: DataFrame) -> int | None
     linked = cut_lineage(linked.withColumn("previous", F.coalesce("previous", "_stored")).drop("_stored"))
 
     bucket = F.pmod(F.xxhash64("repository_name"), BUCKETS).cast("int").alias("bucket")
-    finding_keys_of(findings, fresh.select("scan_id", bucket)).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/keys/append={number}")
+    # dealt by bucket, so a bucket is one file (a large one several), not one of every task that counted keys
+    keys = finding_keys_of(findings, fresh.select("scan_id", bucket)).hint("rebalance", F.col("bucket"))
+    keys.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/keys/append={number}")
     new_keys = spark.read.schema(f"{_KEYS}, bucket int").parquet(f"{path}/keys/append={number}").drop("bucket")
     keys = new_keys.unionByName(_old_keys(spark, path, latest))
     entries_of(linked, keys, linked.select("scan_id", F.col("previous.scan_id").alias("previous_id"))).withColumns(

@@ -70,3 +70,15 @@ def test_tasks_of_keys_grow_with_the_findings(spark, monkeypatch):
         (*w, {"s0": 5, "s2": 6}[w[0]]) for w in want if w[0] in ("s0", "s2"))
     split = ordered.salted_join(found, scans, ["scan_id"], ["file_path", "title"], hot_rows=100).where("scan_id = 's0'")
     assert split.count() == sum(r[0] == "s0" for r in rows) and split.select("_salt").distinct().count() > 2
+
+
+def test_files_of_keys_do_not_grow_with_the_tasks(spark, tmp_path):
+    """A bucket of an append is one file however many tasks counted its keys; before, it had one of each task."""
+    scans = spark.createDataFrame([(i, f"s{i}", f"r{i % 8}", "u", None, 1) for i in range(400)],
+                                  "seq bigint, scan_id string, repository_name string, repository_url string, timestamp timestamp, score int")
+    found = spark.createDataFrame([(f"s{i % 400}", f"f{i % 5}", "t", "HIGH") for i in range(4000)], "scan_id string, file_path string, title string, severity string")
+    path = str(tmp_path / "history")
+    history_store.append_scans(path, scans, found)
+    folders = list((tmp_path / "history" / "keys" / "append=0").glob("bucket=*"))
+    assert len(folders) > 2 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    assert _rows(history_store.read_entries(spark, path, scans)) == _rows(history_entries(scans, found))
