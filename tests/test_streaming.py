@@ -1,8 +1,10 @@
 import time
 
 from pyspark.sql import Row
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from scanloom import schemas
+from scanloom.operators import progress
 from scanloom.sources.folders import complete_numbers
 from scanloom.streaming import states
 
@@ -117,3 +119,94 @@ def test_scan_is_folded_from_plain_rows_with_one_read_and_one_write():
         (1, "CLONING", 5, None, None, True), (3, "COMPLETED", 5, 9, None, True)]
     assert calls == ["get", "update"]
     assert list(fold.handleInputRows(("a",), iter(rows[1:]), None)) == [] and calls == ["get", "update", "get"]
+
+
+class _Value:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+
+class _Timers(list):
+    registerTimer = list.append
+
+
+_EVENT = Row(*[c.split()[0] for c in schemas.TIMED_EVENTS.split(", ")])
+
+
+def test_scans_of_a_bucket_share_one_read_and_one_write():
+    """Calls of the state don't grow with the number of scans, and each scan has its own course."""
+    fold = states.ScanStates(None)
+    fold.state = _Value()
+    ids = [f"s{k}" for k in range(50)] + [None, "null", 'q"\n\u2028é']
+    rows = lambda seq, status: [_EVENT(*r) for r in _rows(*[(seq + k, i, status, seq + k, None) for k, i in enumerate(ids)])]
+    assert [r.scan_id for r in fold.handleInputRows((7,), iter(rows(0, "SCORING")), None)] == ids
+    later = rows(100, "CLONING")[::2] + rows(200, "COMPLETED")[1::2] + rows(300, "FAILED")
+    out = list(fold.handleInputRows((7,), iter(later), None))
+    assert sorted((r.scan_id or "", r.status, r.started_at) for r in out) == sorted(
+        (i or "", "COMPLETED" if k % 2 else "FAILED", k) for k, i in enumerate(ids))
+    assert fold.state.calls == ["get", "update"] * 2
+
+
+def test_timer_of_a_bucket_forgets_only_what_is_old():
+    fold = states.ScanStates(1000)
+    fold.state, fold.handle = _Value(), _Timers()
+    put = lambda *events: list(fold.handleInputRows((7,), iter([_EVENT(*r) for r in _rows(*events)]), None))
+    expire = lambda now: list(fold.handleExpiredTimer((7,), TimerValues(now), None))
+    put((1, "late", "COMPLETED", 9_000_000, None), (2, "soon", "FAILED", 5_000_000, None), (3, "open", "CLONING", 1_000_000, None))
+    assert fold.handle == [6000]  # one timer, at the earliest
+    put((4, "sooner", "FAILED", 3_000_000, None))
+    assert fold.handle == [6000, 4000]
+    assert put((5, "soon", "CLONING", 99_000_000, None)) == [] and fold.handle == [6000, 4000]
+    expire(4000)
+    assert fold.handle == [6000, 4000, 6000]
+    expire(7000)  # the next one
+    assert fold.handle == [6000, 4000, 6000, 10000]
+    again = put((6, "soon", "CLONING", 8_000_000, None), (7, "late", "CLONING", 8_000_000, None), (8, "open", "QUEUED", 8_000_000, None))
+    assert [r.scan_id for r in again] == ["soon"]
+    put((9, "soon", "COMPLETED", 8_000_000, None), (10, "open", "FAILED", 8_000_000, None))
+    expire(10000)
+    assert fold.state.held is None
+
+
+def test_buckets_of_many_scans_equal_the_batch_form(spark, tmp_path, monkeypatch):
+    """Scans that meet in a bucket, in rows of several events, over two micro-batches and after a table of states."""
+    for name, value in (("BUCKETS", 3), ("_MOST_CHANGES", 4), ("_MOST_GATHERED", 16)):
+        monkeypatch.setattr(states, name, value)
+    ids, order = [*[f"s{k}" for k in range(30)], "null", None, 'q"\n\u2028é,]'], ["QUEUED", "CLONING", "odd", "SCORING", "COMPLETED", None, "FAILED"]
+    events = [(seq, ids[seq * 7 % 33], order[(seq * seq + seq // 5) % 7], None if seq % 4 == 0 else seq % 3 * 10, "g", "m", "e" if seq % 6 == 1 else None, None,
+               2 ** 53 + seq, f"r{seq}" if seq % 3 else None, None) for seq in range(300)]
+    source = str(tmp_path / "in")
+    for part in (events[:150], events[150:]):
+        spark.createDataFrame(part, schemas.TIMED_EVENTS).repartition(2).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files arrive in order of their time
+    stored = spark.createDataFrame([(f"s{k}", "FAILED" if k % 2 else "SCORING", k, None, "x", None, 5 if k % 2 else None, "kept", None) for k in range(6)],
+        "scan_id string, status string, progress int, error string, report_path string, started_at bigint, finished_at bigint, repository_name string, repository_url string")
+    for initial, seen in ((None, []), (stored, [(k - 9, f"s{k}", "FAILED" if k % 2 else "SCORING", k, "g", "m", None, "x", None, "kept", None) for k in range(6)])):
+        sink, at = str(tmp_path / f"out{len(seen)}"), str(tmp_path / f"c{len(seen)}")
+        states.accepted_stream(states.read_events(spark, source, 2, schemas.TIMED_EVENTS), expire=False, initial=initial).writeStream.format("parquet").option(
+            "path", sink).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(sink)
+        want = progress.accepted_events(spark.createDataFrame(seen + events, schemas.TIMED_EVENTS)).where("seq >= 0")
+        key = lambda r: (r.seq, r.scan_id, r.status)
+        assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str) and got.count() == want.count() > 30
+        last = {r.scan_id: r for r in got.orderBy("seq").collect()}
+        for r in progress.final_states(progress.accepted_events(spark.createDataFrame(seen + events, schemas.TIMED_EVENTS))).collect():
+            if r.scan_id in last:
+                f = last[r.scan_id]
+                assert (f.status, f.error, f.report_path, f.started_at, f.finished_at) == (r.status, r.error, r.report_path, r.started_at, r.finished_at)
+        if initial is not None:
+            assert all(last[f"s{k}"].repository_name == "kept" for k in (0, 2, 4)) and not {"s1", "s3", "s5"} & set(last)
