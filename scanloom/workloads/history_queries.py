@@ -192,7 +192,8 @@ def _streamed(spark, folder, keep: str) -> DataFrame:
     """Run the events through the stream in arrival order; the sink is a table of the state log."""
     source, sink = scratch(spark, "events"), scratch(spark, "changes")
     events = ad.state_events(spark, folder).select(*[F.col(c.split()[0]) for c in schemas.STATE_EVENTS.split(", ")])
-    events.repartitionByRange(2, "seq").write.parquet(source)
+    files = max(2, min(live.FILES, spark.sparkContext.defaultParallelism))  # all arrive at once
+    events.repartitionByRange(files, "seq").write.parquet(source)
     rows = live.accepted_stream(live.read_events(spark, source), expire=False) if keep == "all" else live.change_stream(live.read_events(spark, source), expire=False)
     started = _started(spark, rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream")))
     started.awaitTermination()
